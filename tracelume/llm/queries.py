@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelume.llm import decontaminate, quality_rules, scratch, simhash, tokens
+from tracelume.llm import brown, decontaminate, factorization, quality_rules, scratch, simhash, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,18 +36,35 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_crc32(tokens.read_tokens(spark, path))
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scored(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
     return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "warc")
+    manifest = warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
         "op3_tokens": op3_tokens,
+        "op4_brown": op4_brown,
         "op7_quality_rules": op7_quality_rules,
+        "op8_warc": op8_warc,
+        "op9_factorization": op9_factorization,
     }
 
 
@@ -62,5 +79,14 @@ from ds join be using (x) group by doc_id, r, item_id, n having count(*) >= 0.8
 """
 
 
+_OP8 = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest, max(page_id) over (partition by coalesce(html, '')) as m from pages)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> m then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> m then m end as refers_to
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2}
+    return {"op2_decontaminate": _OP2, "op8_warc": _OP8}
