@@ -1,30 +1,60 @@
-"""Connected components by minimum labels with pointer jumping."""
+"""Connected components by contraction with minimum labels and pointer jumping."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelume.llm.scratch import Scratch
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the edges that make a spanning forest, in order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
 def connected_components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges(a, b)``; the label is the component's smallest node.
 
-    Each round takes the smallest label among a node and its neighbours, then the
-    label of that label, so long chains halve. Every join is between two written
-    tables, so a hot node is split at run time; minima combine before the shuffle.
-    No edges give no rows. ``edges`` must be a written table, as it is read each round.
+    Each round points every node at its smallest neighbour, jumps pointers twice, and
+    moves the edges to what their ends point at; equal and closed edges go. The edges
+    left shrink by a factor every round, a long chain's by four. Minima combine before
+    the shuffle, and every join is between two written tables, so a hot node is split at
+    run time. No edges give no rows. ``edges`` must be a written table.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    labels = None
     while True:
-        told = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("was"))
-        own = labels.select("node", "label", F.col("label").alias("was"))
-        least = own.union(told).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        least = scratch.table(least, "least")
-        up = least.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = scratch.table(least.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "was"), "labels")
-        if labels.where("label <> was").isEmpty():
-            scratch.drop("least")
-            return labels.select("node", "label")
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        up = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "up")
+        for _ in range(2):
+            ahead = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            up = scratch.table(up.join(ahead, "up", "left").select("node", F.coalesce("next", "up").alias("up")), "up")
+        if labels is None:
+            labels = scratch.table(up.select("node", F.col("up").alias("label")), "labels")
+        else:
+            moved = up.select(F.col("node").alias("label"), F.col("up").alias("to"))
+            labels = scratch.table(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        left = up.select(F.col("node").alias("a"), F.col("up").alias("x"))
+        right = up.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        moved = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = scratch.table(moved, "left_edges")
+        if edges.isEmpty():
+            scratch.drop("up", "left_edges")
+            return labels

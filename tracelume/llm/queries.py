@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelume.llm import brown, decontaminate, factorization, quality_rules, scratch, simhash, tokens, warc
+from tracelume.llm import brown, decontaminate, factorization, line_dedup, mixing, quality_rules, scratch, simhash, tokens, tool_calls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scored(_read(spark, sf_dir, "documents"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tool_calls.link_turns(_read(spark, sf_dir, "conversations"))
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_pages(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_kept", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -56,15 +66,34 @@ def op9_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+#: Target shares of tokens by the domains that ``labels`` names.
+WEIGHTS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain``: toxic, clean or low; none where the labels that decide are null."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = mixing.mixed(_read(spark, sf_dir, "documents"), label_domains(_read(spark, sf_dir, "labels")), WEIGHTS, carry=["doc_id"])
+    posteriors = [F.element_at("mix_posteriors", k + 1).alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posteriors, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
         "op3_tokens": op3_tokens,
         "op4_brown": op4_brown,
+        "op5_tool_calls": op5_tool_calls,
+        "op6_site_lines": op6_site_lines,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc": op8_warc,
         "op9_factorization": op9_factorization,
+        "op10_mixing": op10_mixing,
     }
 
 
@@ -88,5 +117,36 @@ from p
 """
 
 
+_OP5 = """
+with recursive t as (select conv_id, turn, role, text, concat_ws('-', 'call', conv_id, case when role = 'assistant' then turn - 1 else turn end) as call_id from conversations),
+c as (select conv_id, call_id, min(row(turn, case when role = 'system' then 'configure' else 'reply' end, coalesce(text, ''))) as c, count(*) as n_calls from t where role in ('user', 'system') group by conv_id, call_id),
+r as (select conv_id, call_id, min(row(turn, text)) as r, count(*) as n_results from t where role = 'assistant' group by conv_id, call_id),
+d as (select distinct t.conv_id, t.call_id, concat_ws('-', 'call', t.conv_id, t.turn - 2) as dep from t where role = 'user'),
+e as (select d.* from d join c on c.conv_id = d.conv_id and c.call_id = d.dep),
+l as (select conv_id, call_id, 0 as level from c where not exists (select 1 from e where e.conv_id = c.conv_id and e.call_id = c.call_id)
+  union all select e.conv_id, e.call_id, level + 1 from l join e on e.conv_id = l.conv_id and e.dep = l.call_id)
+select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, c.c[1] as turn, r.r[1] as result_turn,
+  coalesce(n_calls, 0) as n_calls, coalesce(n_results, 0) as n_results,
+  case when n_calls > 0 and n_results > 0 then 'linked' when n_calls > 0 then 'missing_result' else 'orphan_result' end as status,
+  l.level, case when n_calls > 0 then case when c.c[2] = 'configure' then 'unknown:turn' else '' end end as errors,
+  case when n_calls > 0 then '{"arguments":{"text":' || to_json(c.c[3])::varchar || ',"turn":' || c.c[1] || '}' ||
+    case when r.r[2] is not null then ',"content":' || to_json(r.r[2])::varchar else '' end || ',"id":"' || c.call_id || '","name":"' || c.c[2] || '"}' end as json
+from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id left join l on l.conv_id = c.conv_id and l.call_id = c.call_id
+"""
+
+_OP6 = r"""
+with h as (select row_number() over () as r, page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) as host,
+  list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''),
+    '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|</?(?:a|b|i|em|strong|span|u|small|sup|sub|code)(?:\s[^<>]*)?>', '', 'g'), '<[^<>]*>|\n'),
+    lambda x: trim(x)), lambda x: x <> '') as lines from pages),
+l as (select r, page_id, host, unnest(lines) as line, generate_subscripts(lines, 1) as pos from h),
+c as (select host, line, count(distinct r) as n from l group by all),
+p as (select host, count(*) as pages from h group by host),
+bars as (select c.host, line from c join p on c.host = p.host where pages >= 5 and n > 0.3 * pages),
+k as (select r, count(*) as n_kept, string_agg(line, chr(10) order by pos) as text from l where not exists (select 1 from bars b where b.host = l.host and b.line = l.line) group by r)
+select page_id, host, len(lines)::bigint as n_lines, coalesce(n_kept, 0)::bigint as n_kept, md5(coalesce(text, '')) as kept_md5 from h left join k using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op8_warc": _OP8}
+    return {"op2_decontaminate": _OP2, "op5_tool_calls": _OP5, "op6_site_lines": _OP6, "op8_warc": _OP8}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelume.llm.components import connected_components
+from tracelume.llm.components import connected_components, spanning
 from tracelume.llm.scratch import Scratch
 
 RADIUS, WIDTH, SEED = 4, 4, 42
@@ -142,7 +142,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
                     out.append((a, b))
             if out:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
-                keep = a != b
+                keep = spanning(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return pairs.select("fps", "g_fps").mapInArrow(run, "a long, b long").distinct()
