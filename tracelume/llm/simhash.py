@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelume.llm.components import connected_components, spanning
 from tracelume.llm.scratch import Scratch
@@ -148,26 +149,63 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return pairs.select("fps", "g_fps").mapInArrow(run, "a long, b long").distinct()
 
 
+def classes(scratch: Scratch, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, label, component_id`` of each distinct fingerprint of the written table ``prints(id, fp)``.
+
+    ``label`` names the class by its smallest fingerprint, ``component_id`` is its smallest id.
+    """
+    distinct = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
+    edges = scratch.table(links(distinct, radius), "edges")
+    labels = connected_components(distinct.sparkSession, scratch, edges)
+    linked = distinct.join(labels, distinct.fp == labels.node).select("fp", "rep", "label")
+    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = linked.join(least, "label").select("fp", "label", "component_id")
+    out = distinct.join(named, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = scratch.table(out, "classes")
+    scratch.drop("distinct", "edges", "labels")
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """``id, fp, component_id``: a row per row of ``docs``, in the class of what it links to.
 
     ``component_id`` is the smallest id reachable over links of at most ``radius``
     differing bits. Nulls: a null text has no words and fingerprint zero, which links
-    like any other; a null id keeps its row and never is a ``component_id`` unless
-    all ids of its class are null. Repeated rows are repeated in the result. An empty
-    table gives an empty result. Other columns are not read.
+    like any other; a null id keeps its row and is a ``component_id`` only if all ids of
+    its class are null. Repeated rows are repeated in the result. An empty table gives
+    an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     prints = scratch.table(fingerprints(docs, id_col, text_col, width), "prints")
-    distinct = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    edges = scratch.table(links(distinct, radius), "edges")
-    labels = connected_components(spark, scratch, edges)
-    linked = distinct.join(labels, distinct.fp == labels.node).select("fp", "rep", "label")
-    classes = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = linked.join(classes, "label").select("fp", "component_id")
-    classed = scratch.table(
-        distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "classed"
-    )
-    scratch.drop("distinct", "edges", "labels")
-    return prints.join(classed, "fp").select("id", "fp", "component_id")
+    return prints.join(classes(scratch, prints, radius), "fp").select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: that of its smallest id, null ids last.
+
+    Of rows of one class that share that id, the smallest fingerprint stays, and of rows that
+    share both, one. All columns are kept, whatever their names; the rules of
+    :func:`near_duplicates` hold.
+    """
+    scratch = Scratch(docs.sparkSession)
+    fp, at = "fp", docs.columns.index(text_col)
+    while fp in docs.columns:
+        fp += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([simhash(x.as_py().encode() if x.is_valid else None, width) for x in b.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, fp])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    marked = scratch.table(marked, "marked")
+    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("one")
+    kept = prints.join(classes(scratch, prints, radius), "fp").groupBy("label").agg(least).select(F.col("one.id").alias("k_id"), F.col("one.fp").alias("k_fp"))
+    kept = scratch.table(kept, "kept")
+    on = (F.col(fp) == F.col("k_fp")) & F.col(id_col).eqNullSafe(F.col("k_id"))
+    out = marked.join(kept, on, "left_semi")
+    again = prints.join(kept, F.col("fp").eqNullSafe(F.col("k_fp")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi").groupBy("id", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        out = out.dropDuplicates([id_col, fp])
+    return out.drop(fp)
