@@ -22,7 +22,7 @@ _COLUMNS = [c.split()[0] for c in schema.CALLS.replace(schema.TOOL_COUNT, "array
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``session_id, pos, line`` of the complete lines of each file; ``pos`` counts from zero."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path)
-    return complete_lines(files.select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"), F.decode("content", F.lit("UTF-8")).alias("text")))
+    return complete_lines(files.select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"), F.decode("content", "UTF-8").alias("text")))
 
 
 def complete_lines(files: DataFrame) -> DataFrame:
