@@ -1,0 +1,58 @@
+"""The pipeline's stages against what each must keep."""
+
+import pyarrow.parquet as pq
+import pytest
+
+import corpus_pipeline
+from tracelume.llm import decontaminate, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("stages")
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        df = f(spark, docs, SF)
+        df.write.parquet(f"{top}/{k}")
+        out.append((docs.columns, docs.toPandas(), spark.read.parquet(f"{top}/{k}").toPandas()))
+        docs = spark.read.parquet(f"{top}/{k}")
+    return out
+
+
+def test_columns_and_chaining(stages):
+    for columns, _, after in stages[:-1]:
+        assert list(after.columns) == columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert len(stages[-1][2]) == len(stages[-1][1]) > 0
+    assert list(stages[-1][2].columns) == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_clean_documents_stay(stages):
+    labels = pq.read_table(f"{SF}/labels.parquet").to_pandas()
+    clean = set(labels[(labels.quality == 1) & (labels.toxic == 0)].doc_id)
+    _, before, after = stages[0]
+    fit = {d for d, t in zip(before.doc_id, before.text) if d in clean and len(t.split()) >= 20}
+    assert len(fit & set(after.doc_id)) >= 0.99 * len(fit)
+    _, before, after = stages[3]
+    assert len(clean & set(after.doc_id)) >= 0.98 * len(clean & set(before.doc_id))
+
+
+def test_one_of_each_group(stages):
+    _, before, after = stages[1]
+    fp = {d: simhash.simhash(t.encode()) for d, t in zip(before.doc_id, before.text)}
+    ids = list(fp)
+    top = {d: d for d in ids}
+    for _ in range(3):
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                if (fp[a] ^ fp[b]).bit_count() <= 4:
+                    top[a] = top[b] = min(top[a], top[b])
+    assert sorted(after.doc_id) == sorted({top[d] for d in ids})
+
+
+def test_no_item_is_left(stages):
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pandas()
+    block = decontaminate.Items(list(zip(items.item_id.tolist(), items.text)), 5, 0.8)
+    _, before, after = stages[2]
+    assert set(after.doc_id) == {d for d, t in zip(before.doc_id, before.text) if not block.found(t)}

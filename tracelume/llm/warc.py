@@ -218,7 +218,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, gzip: boo
                 leave: dict[int, int] = {}
                 for off, after in reversed(found):
                     leave[off] = leave.get(after, after)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(leave)), pa.array(list(leave), pa.int64()), pa.array(list(leave.values()), pa.int64())], names=["file", "off", "exit"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(leave), pa.string()), pa.array(list(leave), pa.int64()), pa.array(list(leave.values()), pa.int64())], names=["file", "off", "exit"])
 
     # a range is little work, so tasks follow the number of ranges
     tasks = max(1, min(100_000, ranges.count() // 2))
