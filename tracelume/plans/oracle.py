@@ -139,5 +139,6 @@ select call as id, case when prior is null then null when prior > 0 and fresh >
  case when prior is null then null when prior > 0 and fresh > 0 then fresh else len(messages) end as sent, case when prior is null then null when prior > 0 and fresh > 0 then len(messages) - fresh else 0 end as skipped from q""",
         "chain_prefix": f"""with {_LISTS}, p as (select *, lag(messages) over (partition by session_id order by pos) as prior from lists)
 select call, case when prior is null then 0 else (select count(*) from range(1, least(len(prior), len(messages)) + 1) r(i) where prior[1:i] = messages[1:i]) end as prefix from p""",
+        "spans_days": f"with {_CALLS} select session_id, min(started_at // 86400000) <> max(started_at // 86400000) as spans_days from calls group by 1",
         "session_files": r"select c_custkey, regexp_replace(regexp_replace(c_name || '/x:' || c_custkey || '..', '[^a-zA-Z0-9._-]', '_', 'g'), '\.+$', '') || '.jsonl' as file from customer",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelume.functions import expr, text
-from tracelume.operators import chart, decimate, maintain, objects, paging, rollup, steps, tree, wire
+from tracelume.operators import chart, decimate, ledger, maintain, objects, paging, rollup, steps, tree, wire
 from tracelume.sources.driver import calls_from_events, read, turns_as_lists
 from tracelume.streaming import stream
 
@@ -274,6 +274,14 @@ def formats(spark, d):
     return c.select("id", text.duration_text(F.col("duration_ms").cast("double")).alias("duration"), text.tokens_text(F.col("input_tokens").cast("double")).alias("tokens"), text.size_text((F.col("duration_ms") * 999).cast("double")).alias("size"), text.full_time(F.col("started_at")).alias("time"))
 
 
+def ledger_rows(spark, d):
+    return ledger.ledger_rows(stepped(spark, d))
+
+
+def spans_days(spark, d):
+    return ledger.spans_days(calls(spark, d))
+
+
 def stream_attempts(spark, d):
     """The retry numbering as a stream over the whole table, written and read back."""
     source = read(spark, d, "events")
@@ -289,7 +297,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [session_summary, model_tally, ledger_page, ledger_page_model, retry_attempts, step_numbers, predecessor_call, call_metrics, chart_step_series, chart_time_series, chart_excluded]
     found += [token_buckets_5m, token_buckets_60m, token_stack, gap_runs, metric_extent, bar_columns, lttb_series, trim_by_bytes, trim_by_count, storage_footprint, piece_dedup, marginal_bytes]
     found += [message_reassembly, packing_order, tree_nodes, tree_resolve, mark_reachable, gc_candidates, pack_candidates, repack_candidates, redact_text, redact_capped, tool_dispatches]
-    found += [protocol_detect, wire_usage_totals, wire_chain, chain_prefix, session_files, formats, stream_attempts]
+    found += [protocol_detect, wire_usage_totals, wire_chain, chain_prefix, session_files, formats, ledger_rows, spans_days, stream_attempts]
     shapes = {"anthropic": "anthropic-messages", "chat": "openai-completions", "responses": "openai-responses"}
     wires = {f"wire_{name}_{side}": _wire(p, side) for name, p in shapes.items() for side in ("request", "response")}
     return {f.__name__: f for f in found} | wires
