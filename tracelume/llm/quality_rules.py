@@ -197,8 +197,9 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     Null languages and sources are groups like others. A document is kept if it passes
     the base rules and its distance is within the cut-off; with nothing to estimate from,
     it is kept if it passes the base rules. Ties at a concentration cut all stay in.
-    Repeated rows count each time. An empty table gives an empty result. Columns whose
-    names begin with q_, v_, m_ or l_ are refused, as they would clash.
+    Repeated rows count each time. An empty table gives an empty result. Columns of
+    ``docs`` that clash with names used inside keep their names in the result, unless one
+    begins with q_: then all that clash come back under in__ and their name.
     """
     clash = [c for c in docs.columns if c[:2] in ("q_", "v_", "m_", "l_") or c in ("d2", "scale", "n_group", "g_lang", "g_source")]
     if clash:
