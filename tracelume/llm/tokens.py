@@ -8,6 +8,8 @@ a reader of some documents or of the metadata columns alone fetches only those.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,8 +32,25 @@ FORMAT = {
     "parquet.columnindex.truncate.length": "64",
     "compression": "zstd",
 }
-#: Distinct words whose ids a worker remembers.
-MEMO = 500_000
+#: Distinct chunks, and pieces of them, whose ids a worker remembers.
+MEMO = 250_000
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Chunks whose pieces are plain: no apostrophe, no composing or uncommon character.
+_PLAIN = re.compile(rf"[!-&(-~{_LETTER}]{{1,64}}")
+_PIECE = re.compile(rf"[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 in order.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
+_SPELLED = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(192, 256)}
+
+
+class _Packed(dict):
+    def __missing__(self, i: int) -> bytes:
+        self[i] = out = i.to_bytes(4, "little")
+        return out
+
+
+_PACKED = _Packed()
 
 
 @cache
@@ -43,25 +62,55 @@ def _tokenizer(path: str):
     return t
 
 
-class Encoder(dict):
-    """A chunk between ASCII white space -> its ids, as little-endian unsigned 32-bit bytes.
+def _stages(path: str) -> bool:
+    """Whether the file's stages are those that plain pieces stand for: NFC, lower case, runs of letters, single digits, runs of others, byte level."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    norm = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return norm == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": split} and not pre[1]["add_prefix_space"]
+
+
+class Encoder:
+    """Ids of texts by way of their chunks between ASCII white space, each encoded once.
 
     The tokenizer drops white space and no piece of it reaches across, so a text's ids
-    are its chunks' ids in order; :func:`encode` is checked against whole-text encoding.
+    are its chunks' ids in order. The pieces of a plain chunk go to the tokenizer's model
+    directly, which skips the alignment that a whole encoding keeps; any other chunk, and
+    any chunk of a tokenizer with other stages, is encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.path = path
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = _tokenizer(self.path).encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[chunk] = out
-        return out
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.plain = _stages(path)
+        self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _chunk(self, data: bytes) -> bytes:
+        text = data.decode("utf-8", "replace")
+        if not (self.plain and _PLAIN.fullmatch(text)) or "<|" in text:
+            return b"".join([_PACKED[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        out = []
+        for piece in _PIECE.findall(text.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                spelled = piece if piece.isascii() else piece.translate(_SPELLED)
+                ids = self.pieces[piece] = b"".join([_PACKED[t.id] for t in self.model.tokenize(spelled)])
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, texts: list[bytes | None], end_id: int = END_ID) -> list[np.ndarray]:
+        """Ids of each text, ended by ``end_id``; a null text has the end alone."""
+        words = [(x or b"").split() for x in texts]
+        for held in (self.chunks, self.pieces):
+            if len(held) > MEMO:
+                held.clear()
+        for c in set().union(*words) - self.chunks.keys():
+            self.chunks[c] = self._chunk(c)
+        end, get = np.uint32(end_id).tobytes(), self.chunks.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)) + end, "<u4") for w in words]
 
 
 @cache
@@ -69,11 +118,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(data: bytes | None, path: str, end_id: int = END_ID) -> np.ndarray:
-    get = encoder(path).__getitem__
-    return np.frombuffer(b"".join(map(get, (data or b"").split())) + np.uint32(end_id).tobytes(), "<u4")
-
-
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, partitions: int | None = None
 ) -> None:
@@ -90,9 +134,9 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            for k in range(0, b.num_rows, 512):  # as arrays of ids are several times as large as what came
-                piece = b.slice(k, 512)
-                ids = [encode(x.as_py(), tokenizer, end_id) for x in piece.column(1)]
+            for k in range(0, b.num_rows, 256):  # as arrays of ids are several times as large as what came
+                piece = b.slice(k, 256)
+                ids = encoder(tokenizer).encode(piece.column(1).to_pylist(), end_id)
                 n = np.array(list(map(len, ids)), np.int64)
                 ends = np.cumsum(n)
                 flat = np.concatenate(ids).view(np.int32)
