@@ -8,6 +8,7 @@ a reader of some documents or of the metadata columns alone fetches only those.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -32,8 +33,8 @@ FORMAT = {
     "parquet.columnindex.truncate.length": "64",
     "compression": "zstd",
 }
-#: Distinct chunks, and pieces of them, whose ids a worker remembers.
-MEMO = 250_000
+#: Distinct chunks, and pieces of them, in each of the two generations that a worker remembers.
+MEMO = 150_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks whose pieces are plain: no apostrophe, no composing or uncommon character.
 _PLAIN = re.compile(rf"[!-&(-~{_LETTER}]{{1,64}}")
@@ -85,30 +86,43 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.plain = _stages(path)
+        # what a full generation held stays at hand while the next one fills, so frequent chunks are never lost
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_chunks, self.old_pieces = self.chunks, self.pieces
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None and (ids := self.old_pieces.get(piece)) is not None:
+            self.pieces[piece] = ids
+        if ids is None:
+            spelled = piece if piece.isascii() else piece.translate(_SPELLED)
+            ids = self.pieces[piece] = b"".join([_PACKED[t.id] for t in self.model.tokenize(spelled)])
+        return ids
 
     def _chunk(self, data: bytes) -> bytes:
+        if self.plain and len(data) <= 64:
+            low = data.lower()
+            if low.isalpha():  # bytes: ASCII letters only
+                return self._piece(low.decode())
+            if low[:-1].isalpha() and 33 <= low[-1] < 127:
+                return self._piece(low[:-1].decode()) + self._piece(chr(low[-1]))
         text = data.decode("utf-8", "replace")
         if not (self.plain and _PLAIN.fullmatch(text)) or "<|" in text:
             return b"".join([_PACKED[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
-        out = []
-        for piece in _PIECE.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelled = piece if piece.isascii() else piece.translate(_SPELLED)
-                ids = self.pieces[piece] = b"".join([_PACKED[t.id] for t in self.model.tokenize(spelled)])
-            out.append(ids)
-        return b"".join(out)
+        low = text.lower()
+        return self._piece(low) if low.isalpha() else b"".join(map(self._piece, _PIECE.findall(low)))
 
     def encode(self, texts: list[bytes | None], end_id: int = END_ID) -> list[np.ndarray]:
         """Ids of each text, ended by ``end_id``; a null text has the end alone."""
         words = [(x or b"").split() for x in texts]
-        for held in (self.chunks, self.pieces):
-            if len(held) > MEMO:
-                held.clear()
+        if len(self.chunks) > MEMO:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.pieces) > MEMO:
+            self.old_pieces, self.pieces = self.pieces, {}
+        known = self.old_chunks.get
         for c in set().union(*words) - self.chunks.keys():
-            self.chunks[c] = self._chunk(c)
+            self.chunks[c] = known(c) or self._chunk(c)
         end, get = np.uint32(end_id).tobytes(), self.chunks.__getitem__
         return [np.frombuffer(b"".join(map(get, w)) + end, "<u4") for w in words]
 
@@ -133,6 +147,7 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
+        gc.disable()  # nothing here makes cycles, and a collection would walk all that is remembered
         for b in batches:
             for k in range(0, b.num_rows, 256):  # as arrays of ids are several times as large as what came
                 piece = b.slice(k, 256)
