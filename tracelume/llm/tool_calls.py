@@ -1,9 +1,9 @@
 """Tool-call linking, ordering, validation and canonical JSON, JVM-side throughout.
 
 Calls and results are reduced to one row per conversation and identifier, combining
-before the shuffle, and hash-joined by both. Dependencies between calls give levels
-by repeated peeling: a round takes the calls whose dependencies all have levels, so
-rounds follow the deepest chain of one conversation and not the number of calls. A
+before the shuffle, and hash-joined by both. Dependencies between calls give levels:
+chains are jumped in a logarithmic number of rounds, and calls with several
+dependencies are peeled, a round taking those whose dependencies all have levels. A
 conversation is never gathered in one row or task. Arguments are parsed to variants;
 canonical JSON has an object's keys in order and no white space.
 """
@@ -50,25 +50,54 @@ def _errors(arguments: Column, spec: Column) -> Column:
     return F.when(~whole, F.array(F.lit("malformed"))).when(spec.isNull(), F.array(F.lit("unknown_tool"))).otherwise(found)
 
 
+def _anchors(scratch: Scratch, calls: DataFrame, deps: DataFrame) -> DataFrame:
+    """``conv_id, call_id, anchor, dist, done``: where a call's chain of single dependencies ends, and how far that is.
+
+    A chain ends at a call without dependencies or with several. Pointers double each
+    round; when a round finishes no call, those left are on a cycle or lead to one.
+    """
+    key = ["conv_id", "call_id"]
+    each = deps.groupBy(*key).agg(F.count("*").alias("k"), F.min("dep").alias("dep"))
+    at = calls.select(*key).join(each, key, "left")
+    single = F.coalesce(F.col("k") == 1, F.lit(False))
+    at = at.select(*key, F.when(single, F.col("dep")).otherwise(F.col("call_id")).alias("anchor"), single.cast("long").alias("dist"), (~single).alias("done"))
+    at = scratch.table(at, "anchors")
+    while True:
+        ahead = at.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("to"), F.col("dist").alias("more"), F.col("done").alias("end"))
+        out = at.join(ahead, ["conv_id", "anchor"], "left")
+        out = out.select(*key, F.coalesce("to", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.coalesce("end", F.col("done")).alias("done"), F.col("done").alias("was"))
+        at = scratch.table(out, "anchors")
+        if at.where("done and not was").isEmpty():
+            return at.drop("was")
+
+
 def levels(scratch: Scratch, calls: DataFrame, after: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of ``calls``: 0 without dependencies, else one beyond the highest; null on a cycle.
+    """``conv_id, call_id, level`` of ``calls``: 0 without dependencies, else one beyond the highest; calls on a cycle or behind one have no row.
 
     ``after(conv_id, call_id, dep)`` are dependencies; those on calls that do not exist
-    have no effect.
+    have no effect. Chains of single dependencies are jumped; what remains is peeled, so
+    rounds follow the nesting of calls with several dependencies.
     """
     key = ["conv_id", "call_id"]
     there = calls.select("conv_id", F.col("call_id").alias("dep"))
-    left = scratch.table(after.select(*key, "dep").distinct().join(there, ["conv_id", "dep"], "left_semi"), "deps")
-    waiting = left.select(*key).distinct()
-    fresh = scratch.table(calls.select(*key).join(waiting, key, "left_anti").withColumn("level", F.lit(0)), "level0")
-    done, k = fresh, 0
-    while not left.isEmpty() and not fresh.isEmpty():
+    deps = scratch.table(after.select(*key, "dep").distinct().join(there, ["conv_id", "dep"], "left_semi"), "deps")
+    at = _anchors(scratch, calls, deps).where("done")
+    known = scratch.table(at.where("dist = 0").join(deps, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")), "level0")
+    several = deps.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key)
+    left = deps.join(several, key, "left_semi").join(at.select("conv_id", F.col("call_id").alias("dep"), "anchor", "dist"), ["conv_id", "dep"], "left")
+    left = scratch.table(left.select(*key, "anchor", (F.col("dist") + 1).alias("dist")), "several")
+    k = 0
+    while not left.isEmpty():
         k += 1
-        known = fresh.select("conv_id", F.col("call_id").alias("dep"))
-        rest = scratch.table(left.join(known, ["conv_id", "dep"], "left_anti"), f"rest{k}")
-        fresh = scratch.table(left.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(k)), f"level{k}")
-        done, left = done.union(fresh), rest
-    return done
+        told = left.join(known.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"], "left")
+        whole = told.groupBy(*key).agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.max(F.col("level").isNull()).alias("waits"))
+        fresh = scratch.table(whole.where("not waits").select(*key, "level"), f"fresh{k % 2}")
+        if fresh.isEmpty():
+            break
+        known = scratch.table(known.union(fresh), "known")
+        left = scratch.table(left.join(fresh, key, "left_anti"), "several")
+    found = known.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    return at.join(found, ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, after: DataFrame | None = None) -> DataFrame:
