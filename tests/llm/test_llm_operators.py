@@ -9,8 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracelume.llm import brown, components, decontaminate, factorization, line_dedup, mixing, quality_rules, scratch, simhash, text, tokens, tool_calls, warc
-from tracelume.llm.queries import tokenizer_path
+from tracelume.llm import brown, components, decontaminate, factorization, line_dedup, mixing, quality_rules, scratch, simhash, text, tool_calls, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that operators use inside
@@ -127,25 +126,6 @@ def test_contamination_matches_brute_force(spark, docs, none):
     assert decontaminate.contaminated(none, table).collect() == [] and decontaminate.contaminated(docs, table.limit(0)).collect() == []
 
 
-def test_tokens_round_trip(spark, docs, none):
-    import tokenizers
-
-    path, t = scratch.new_path(spark, "tokens"), tokenizers.Tokenizer.from_file(tokenizer_path())
-    odd = [(200, "Don't <|endoftext|> naïve ÉCOLE x́ ΣΑΣ 12 a.b İ  ﬁ\x0bz"), (201, "<|startoftext|>"), (202, "ab cd " + "x" * 5000)]
-    more = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
-    tokens.write_tokens(more, path, tokenizer_path())
-    found = sorted(tokens.with_crc32(tokens.read_tokens(spark, path)).collect(), key=lambda r: r.start)
-    rows = sorted([(r[0], r[1]) for r in corpus()] + odd, key=lambda r: (r[0] is not None, r[0] or 0))
-    at = 0
-    for r, (d, x) in zip(found, rows, strict=True):
-        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
-        assert tuple(r) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
-    empty = scratch.new_path(spark, "tokens")
-    tokens.write_tokens(none, empty, tokenizer_path())
-    assert tokens.with_crc32(tokens.read_tokens(spark, empty)).collect() == []
-
-
 def test_base_scores_and_a_better_model(docs, none):
     found = brown.scored(docs, head=60, clustered=30, classes=5).collect()
     rows = corpus()

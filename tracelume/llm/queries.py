@@ -33,7 +33,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     tokens.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer_path())
-    return tokens.with_crc32(tokens.read_tokens(spark, path))
+    return tokens.digests(spark, path)
 
 
 def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
