@@ -1,224 +1,331 @@
 """Quality rules with robust multivariate outlier rejection, JVM-side throughout.
 
 Each text gives counts, the counts a vector of transformed statistics. For every
-language and source a minimum-covariance-determinant estimate is fitted over all of
-its documents: from a coordinatewise robust start, concentration steps take the mean
-and covariance of the ``ALPHA`` share of documents nearest by Mahalanobis distance,
-until the last step. The estimate is rescaled to the median distance, and documents
-beyond the cut-off are rejected. Means, covariances and distance quantiles are
-aggregates that combine before the shuffle, so a hot group costs no task more.
-Cholesky factors are unrolled column expressions.
+language and source a minimum-covariance-determinant estimate is fitted over all of its
+distinct texts that pass the base rules. From three starts, concentration steps take the
+mean and covariance of the ``ALPHA`` share of texts nearest by Mahalanobis distance, until
+the determinant falls no further; of the starts the least determinant stays. It is made
+consistent for normal data, and reweighted: mean and covariance of all within the 0.975
+quantile of chi-squared, made consistent again. Documents beyond the quantile ``CUT`` of
+chi-squared are rejected.
+
+A group's estimate is drawn towards its language's, and that towards the whole corpus',
+with the weight of ``PRIOR`` texts: a small group follows its language, and no size is a
+switch. A group that is degenerate, whose least covariance has no volume (fewer texts
+than dimensions, or three quarters on one line), has no weight of its own.
+
+Means, covariances and distance quantiles are aggregates that combine before the shuffle,
+so a hot group costs no task more. Cholesky factors are unrolled column expressions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelume.llm.names import Held
 from tracelume.llm.scratch import Scratch
-from tracelume.llm.text import SPACE, let, words
+from tracelume.llm.text import let, words
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of a group that an estimate rests on, and steps of concentration.
-ALPHA, STEPS = 0.75, 3
-#: Quantiles of chi-squared with four degrees of freedom: fixed values.
-CHI2_MEDIAN, CHI2_FAR = 3.3567, 40.0
-#: A group of fewer documents takes the estimate of its language.
-MIN_GROUP = 200
-#: Least standard deviation of each statistic: what is constant in a group must not reject by rounding.
-VECTOR = {"v_word_len": 0.10, "v_symbols": 0.05, "v_dup_lines": 0.10, "v_repeats": 0.10}
+#: Share of a group that an estimate rests on, share of normal data within the cut-off, and texts that a parent's estimate counts for.
+ALPHA, CUT, PRIOR = 0.75, 1 - 1e-6, 100
+VECTOR = ("v_word_len", "v_diversity", "v_symbols", "v_dup_lines", "v_repeats")
+#: Of the three shares: how many lines or words they are shrunk by, and what share counts as one unit of their logarithm.
+LINES_BEFORE, WORDS_BEFORE, UNIT = 20, 100, 0.02
+#: Least gain of a step in the determinant's logarithm; least scale that is not rounding.
+GAIN, ROUNDING = 1e-4, 1e-6
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _D = len(VECTOR)
+_CELLS = [(i, j) for j in range(_D) for i in range(j, _D)]
 #: Distances are counted in so many steps for each doubling.
-_GRAIN = 16
+_GRAIN = 32
 
 
-def _repeated_words(w: Column) -> Column:
-    """Words of array ``w`` inside 8-word windows found twice or more in it."""
-    n = F.size(w) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+def chi2_cdf(x: float, k: int) -> float:
+    """Share of chi-squared with ``k`` degrees of freedom below ``x``: the series of the lower incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, x = k / 2, x / 2
+    total = term = 1 / a
+    while term > 1e-17 * total:
+        a += 1
+        term *= x / a
+        total += term
+    return total * math.exp(-x + k / 2 * math.log(x) - math.lgamma(k / 2))
 
-    def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        def spread(s: Column) -> Column:
-            last = F.size(s) - 1
-            same = lambda x, k: (k >= 0) & (k <= last) & (F.get(s, k)["h"] == x["h"])
-            hit = F.array_sort(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
-            zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("p"))
-            return F.aggregate(
-                hit, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["p"])).alias("n"), p.alias("p")), lambda a: a["n"]
-            )
+def chi2_quantile(p: float, k: int) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_cdf(mid, k) < p else (lo, mid)
+    return hi
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, spread))
 
-    return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(hashes, covered))
+def consistency(share: float) -> float:
+    """What the covariance of the nearest ``share`` of normal data falls short by."""
+    return share / chi2_cdf(chi2_quantile(share, _D), _D + 2)
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed as ``q_*`` columns.
+def _turned(x: Column, k: int) -> Column:
+    return F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
 
-    Null and empty texts have no words: all counts are zero and base_failed is true.
+
+def _doubled(h: Column, k: int) -> Column:
+    """Hashes of runs of 2k words from those of k: each with the one k further on."""
+    n = F.greatest(F.size(h) - k, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, k + 1, n), lambda x, y: x.bitwiseXOR(_turned(y, k)))
+
+
+def _again(h: Column) -> Column:
+    return F.size(h) - F.size(F.array_distinct(h))
+
+
+def _covered(h: Column) -> Column:
+    """Words under windows whose hash stands in ``h`` twice or more."""
+    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def spread(s: Column) -> Column:
+        last = F.size(s) - 1
+        same = lambda x, k: (k >= 0) & (k <= last) & (F.get(s, k)["h"] == x["h"])
+        hit = F.array_sort(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("p"))
+        return F.aggregate(hit, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["p"])).alias("n"), p.alias("p")), lambda a: a["n"])
+
+    return let(pairs, spread)
+
+
+def _repeated_words(h: Column) -> Column:
+    """Words, of which ``h`` has the hashes, inside 8-word windows found twice or more.
+
+    Two equal windows have seven equal pairs and five equal runs of four, so most texts
+    are done with their pairs.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    none = F.lit(0).cast("long")
+    eights = lambda f: let(_doubled(f, 4), lambda e: F.when(_again(e) == 0, none).otherwise(_covered(e)))
+    fours = lambda t: let(_doubled(t, 2), lambda f: F.when(_again(f) < WINDOW - 3, none).otherwise(eights(f)))
+    return let(_doubled(h, 1), lambda t: F.when(_again(t) < WINDOW - 1, none).otherwise(fours(t)))
+
+
+def _statistics(text: Column) -> Column:
+    """All counts of a text in one struct; null and empty texts have no words, and all their counts are zero."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    of_hashes = lambda h: F.struct(F.size(F.array_distinct(h)).cast("long").alias("n_distinct"), _repeated_words(h).alias("n_repeat_words"))
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), let(hashed(w), of_hashes).alias("r"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    w = words(text)
-    n = F.size(w).cast("long")
-    packed = let(
-        w,
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).alias("n_repeat_words")),
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), _again(x).cast("long").alias("n_dup_lines"))
+    return F.struct(
+        let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.xxhash64(text).alias("seed")
     )
-    counted = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.withColumns(
-        {
-            "_q": packed,
-            "q_word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-            "q_n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            "q_n_dup_lines": counted,
-        }
-    )
-    out = out.withColumns({"q_n_words": F.col("_q.n_words"), "q_n_repeat_words": F.col("_q.n_repeat_words")}).drop("_q")
-    n, r = F.col("q_n_words"), F.col("q_n_repeat_words")
-    return out.withColumn("q_base_failed", (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n))
-
-
-def with_vector(stats: DataFrame) -> DataFrame:
-    """Variance-stabilised statistics: logarithm of word length, arcsines of shares."""
-    n = F.greatest(F.col("q_n_words"), F.lit(1)).cast("double")
-    share = lambda c: F.asin(F.sqrt(F.least(F.lit(1.0), F.col(c) / n)))
-    return stats.withColumns(
-        {
-            "v_word_len": F.log((F.col("q_word_chars") + 1) / n),
-            "v_symbols": F.asin(F.sqrt(F.col("q_n_symbols") / F.greatest(F.col("q_word_chars"), F.lit(1)))),
-            "v_dup_lines": share("q_n_dup_lines"),
-            "v_repeats": share("q_n_repeat_words"),
-        }
+
+
+def _columns(q: str) -> dict[str, Column]:
+    """Counts, base_failed and vector from the struct ``q``.
+
+    Logarithm of word length; distinct words as a power of all; and of three shares the
+    logarithm, as what is one in fifty more is as telling at any level. A count has no parts
+    below one: shares are spread there by a hash of the text, evenly over an eighth to one
+    unit, so that a statistic that most texts have none of has a spread of its own, and
+    equal texts fare alike.
+    """
+    f = {c: F.col(f"{q}.{p}") for c, p in zip(COUNTS, ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.r.n_repeat_words"))}
+    n, chars, r = f["n_words"], f["word_chars"], f["n_repeat_words"]
+    spread = lambda k: F.lit(0.125) + F.pmod(F.xxhash64(F.col(f"{q}.seed"), F.lit(k)), F.lit(1 << 20)) * (0.875 / (1 << 20))
+    log = lambda k, c, of: F.log(spread(k) + c / (of * UNIT))
+    vector = (
+        F.log((chars + 1) / (n + 1)),
+        F.log(F.col(f"{q}.w.r.n_distinct") + 1.0) / F.log(n + 2.0),
+        log(0, f["n_symbols"], chars + 1),
+        log(1, f["n_dup_lines"], F.col(f"{q}.l.n_lines") + LINES_BEFORE),
+        log(2, r, n + WORDS_BEFORE),
     )
+    return f | {"base_failed": (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)} | dict(zip(VECTOR, vector))
+
+
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed as ``q_*`` columns, which replace columns of those names.
+
+    Null and empty texts have no words: all counts are zero and base_failed is true.
+    """
+    names = {f"q_{c}": c for c in (*COUNTS, "base_failed")}
+    held = Held(docs, tuple(names))
+    q = held.df.withColumn("q", _statistics(F.col(held.at(text_col))))
+    return held.back(q.withColumns({c: v for c, v in _columns("q").items() if c in names.values()}), names)
 
 
 def _cholesky(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
-    """Lower factor of a covariance whose variances have a floor, as columns l_ij."""
-    low: dict[tuple[int, int], Column] = {}
-    for j in range(_D):
-        for i in range(j, _D):
-            s = cov[i, j]
-            for k in range(j):
-                s = s - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            low[i, j] = F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l_{j}{j}")
-    return {f"l_{i}{j}": low[i, j] for j in range(_D) for i in range(j, _D)}
-
-
-def _distance(params: str = "") -> Column:
+    """Lower factor, as columns l_ij in the order that they need each other."""
+    low: dict[str, Column] = {}
+    for i, j in _CELLS:
+        s = cov[i, j]
+        for k in range(j):
+            s = s - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+        low[f"l_{i}{j}"] = F.sqrt(F.greatest(s, F.lit(1e-30))) if i == j else s / F.col(f"l_{j}{j}")
+    return low
+
+
+def _factored(df: DataFrame) -> DataFrame:
+    """``df`` with the factor of c_ij and ``ld``, the determinant's logarithm."""
+    for name, value in _cholesky({(i, j): F.col(f"c_{i}{j}") for i, j in _CELLS}).items():
+        df = df.withColumn(name, value)
+    total = F.lit(0.0)
+    for i in range(_D):
+        total = total + 2 * F.log(f"l_{i}{i}")
+    return df.withColumn("ld", total)
+
+
+def _distance() -> Column:
     """Squared Mahalanobis distance by forward substitution."""
     z: list[Column] = []
     for i, v in enumerate(VECTOR):
-        s = F.col(v) - F.col(f"{params}m_{i}")
+        s = F.col(v) - F.col(f"m_{i}")
         for k in range(i):
-            s = s - F.col(f"{params}l_{i}{k}") * z[k]
-        z.append(s / F.col(f"{params}l_{i}{i}"))
+            s = s - F.col(f"l_{i}{k}") * z[k]
+        z.append(s / F.col(f"l_{i}{i}"))
     total = z[0] * z[0]
     for x in z[1:]:
         total = total + x * x
     return total
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    names = list(VECTOR)
-    aggs = [F.count("*").alias("n")] + [F.avg(v).alias(f"m_{i}") for i, v in enumerate(names)]
-    aggs += [F.covar_pop(names[i], names[j]).alias(f"c_{i}{j}") for j in range(_D) for i in range(j, _D)]
-    out = rows.groupBy(*keys).agg(*aggs)
-    floor = list(VECTOR.values())
-    cov = {(i, j): F.greatest(F.col(f"c_{i}{j}"), F.lit(floor[i] ** 2)) if i == j else F.col(f"c_{i}{j}") for j in range(_D) for i in range(j, _D)}
-    for name, value in _cholesky(cov).items():
-        out = out.withColumn(name, value)
-    return out.select(*keys, "n", *[f"m_{i}" for i in range(_D)], *[f"l_{i}{j}" for j in range(_D) for i in range(j, _D)])
+_MEAN, _COV, _LOW = [f"m_{i}" for i in range(_D)], [f"c_{i}{j}" for i, j in _CELLS], [f"l_{i}{j}" for i, j in _CELLS]
 
 
-def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Coordinatewise medians, and half the central spread as deviations, floored."""
+def _moments(rows: DataFrame, *keys: str, scale: float = 1.0) -> DataFrame:
+    aggs = [F.count("*").alias("n")] + [F.avg(v).alias(m) for v, m in zip(VECTOR, _MEAN)]
+    aggs += [(F.covar_pop(VECTOR[i], VECTOR[j]) * scale).alias(f"c_{i}{j}") for i, j in _CELLS]
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def _starts(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """``g, s, ...``: medians with central spreads; mean and covariance; medians with the covariance of directions."""
     aggs = [F.percentile_approx(v, [0.16, 0.5, 0.84], 200).alias(f"p_{i}") for i, v in enumerate(VECTOR)]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
-    cols = {}
-    for i, least in enumerate(VECTOR.values()):
-        cols[f"m_{i}"] = F.col(f"p_{i}")[1]
-        for j in range(i + 1):
-            cols[f"l_{i}{j}"] = F.greatest((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 2, F.lit(least)) if i == j else F.lit(0.0)
-    return out.withColumns(cols).select(*keys, "n", *[f"m_{i}" for i in range(_D)], *[f"l_{i}{j}" for j in range(_D) for i in range(j, _D)])
-
-
-def _join(rows: DataFrame, params: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equal keys, nulls included. ``params`` is a written table: Spark broadcasts it by its size, or else splits hot keys."""
-    params = params.withColumnsRenamed({k: f"r__{k}" for k in keys})
-    on = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"r__{k}"))
-        on = c if on is None else on & c
-    return rows.join(params, on, how).drop(*[f"r__{k}" for k in keys])
-
-
-def _quantile(rows: DataFrame, keys: list[str], q: float) -> DataFrame:
-    """The q quantile of ``d2`` per group, to a step of the logarithmic grain: counts only, of bounded number."""
-    step = F.floor(F.log2(F.col("d2") + 1e-6) * _GRAIN).cast("int")
-    counts = rows.groupBy(*keys, step.alias("step")).agg(F.count("*").alias("n"))
-    by = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("h"), F.sum("n").alias("all"))
+    middle = rows.groupBy("g").agg(*aggs)
+    spread = [F.greatest((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 2, F.lit(ROUNDING)) for i in range(_D)]
+    diagonal = [(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in _CELLS]
+    first = scratch.table(middle.select("g", *[F.col(f"p_{i}")[1].alias(m) for i, m in enumerate(_MEAN)], *diagonal), "middle")
+    second = _moments(rows, "g")
+    out = rows.join(first, "g")
+    z = [(F.col(v) - F.col(m)) / F.sqrt(f"c_{i}{i}") for i, (v, m) in enumerate(zip(VECTOR, _MEAN))]
+    long = z[0] * z[0]
+    for x in z[1:]:
+        long = long + x * x
+    out = out.select("g", *_MEAN, *[F.sqrt(f"c_{i}{i}").alias(f"d_{i}") for i in range(_D)], *[x.alias(f"z_{i}") for i, x in enumerate(z)], F.greatest(long, F.lit(1e-12)).alias("long"))
+    signs = [F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("long")).alias(f"a_{i}{j}") for i, j in _CELLS]
+    third = out.groupBy("g").agg(*[F.first(c).alias(c) for c in (*_MEAN, *[f"d_{i}" for i in range(_D)])], *signs)
+    third = third.select("g", *_MEAN, *[(F.col(f"a_{i}{j}") * F.col(f"d_{i}") * F.col(f"d_{j}") * _D).alias(f"c_{i}{j}") for i, j in _CELLS])
+    every = [df.select("g", F.lit(s).alias("s"), *_MEAN, *_COV) for s, df in enumerate((first, second, third))]
+    return _factored(every[0].union(every[1]).union(every[2])).withColumns({"ld": F.lit(math.inf), "done": F.lit(False)})
+
+
+def _cuts(near: DataFrame, share: float) -> DataFrame:
+    """``g, s, cut``: the distance within which ``share`` of a group is, to a step of the logarithmic grain; what lies in the last step stays in whole."""
+    step = F.floor(F.log2(F.col("d2") + 1e-9) * _GRAIN).cast("int")
+    counts = near.groupBy("g", "s", step.alias("step")).agg(F.count("*").alias("n"))
+    by = counts.groupBy("g", "s").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("h"), F.sum("n").alias("all"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("at"))
     found = F.aggregate(
         "h",
         zero,
-        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["at"].isNull() & (a["n"] + x["n"] >= F.lit(q) * F.col("all")), x["step"]).otherwise(a["at"]).alias("at")),
+        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["at"].isNull() & (a["n"] + x["n"] >= F.lit(share) * F.col("all")), x["step"]).otherwise(a["at"]).alias("at")),
         lambda a: a["at"],
     )
-    return by.select(*keys, F.pow(F.lit(2.0), (found + 1) / F.lit(float(_GRAIN))).alias("cut"))
-
-
-def estimates(scratch: Scratch, rows: DataFrame, keys: list[str], alpha: float = ALPHA, steps: int = STEPS) -> DataFrame:
-    """Per group of ``keys``: n_group, mean m_i, factor l_ij and the scale of distances, by concentration."""
-    rows = rows.select(*keys, *VECTOR)
-    start = params = scratch.table(_start(rows, keys), "start")
-    for k in range(steps):
-        near = _join(rows, params.drop("n"), keys).withColumn("d2", _distance()).select(*keys, *VECTOR, "d2")
-        cut = scratch.table(_quantile(near, keys, alpha), f"cut{k % 2}")
-        params = scratch.table(_moments(_join(near, cut, keys).where("d2 <= cut").select(*keys, *VECTOR), keys), f"moments{k % 2}")
-    far = _join(rows, params.drop("n"), keys).withColumn("d2", _distance()).select(*keys, "d2")
-    middle = _quantile(far, keys, 0.5).withColumnRenamed("cut", "mid")
-    out = _join(_join(params.drop("n"), middle, keys), start.select(*keys, F.col("n").alias("n_group")), keys)
-    # a group whose statistics hardly vary has a small median; only a larger spread than normal rescales
-    out = out.withColumn("scale", F.greatest(F.col("mid") / CHI2_MEDIAN, F.lit(1.0))).drop("mid")
-    out = scratch.table(out, "_".join(["estimates", *keys]))
-    scratch.drop("start", "cut0", "cut1", "moments0", "moments1")
+    return by.select("g", "s", F.pow(F.lit(2.0), (found + 1) / F.lit(float(_GRAIN))).alias("cut"))
+
+
+def concentrated(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``g, n, m_i, c_ij, l_ij, ld`` of each group of the written table ``rows(g, VECTOR)``: the subset of least determinant.
+
+    A step that does not lower the determinant by ``GAIN`` ends its start, and what it had
+    before stays, so steps end by themselves; what has ended takes no further part.
+    """
+    params = scratch.table(_starts(scratch, rows), "params")
+    while True:
+        live = params.where("not done").select("g", "s", *_MEAN, *_LOW)
+        near = rows.join(live, "g").select("g", "s", *VECTOR, _distance().alias("d2"))
+        inside = near.join(_cuts(near, alpha), ["g", "s"]).where("d2 <= cut")
+        fresh = _factored(_moments(inside, "g", "s")).select("g", "s", F.struct("n", *_MEAN, *_COV, *_LOW, "ld").alias("f"))
+        both = params.join(fresh, ["g", "s"], "left")
+        better = F.coalesce(F.col("f.ld") < F.col("ld") - GAIN, F.lit(False))
+        new = {c: F.when(better, F.col(f"f.{c}")).otherwise(F.col(c)) for c in (*_MEAN, *_COV, *_LOW, "ld")}
+        moved = both.select("g", "s", *[v.alias(c) for c, v in new.items()], (F.col("done") | ~better).alias("done"))
+        params = scratch.table(moved, "params")
+        if params.where("not done").isEmpty():
+            break
+    best = F.min_by(F.struct(*_MEAN, *_COV, *_LOW, "ld"), F.struct("ld", "s")).alias("b")
+    out = scratch.table(params.groupBy("g").agg(best).select("g", "b.*"), "raw")
+    scratch.drop("params", "middle")
+    return out
+
+
+def estimates(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``g, n, own, m_i, c_ij``: consistent, reweighted estimates of each group of ``rows(g, VECTOR)``; ``own`` is false where degenerate."""
+    raw = concentrated(scratch, rows, alpha)
+    scale = consistency(alpha)
+    wide = raw.select("g", *_MEAN, *[(F.col(c) * math.sqrt(scale)).alias(c) for c in _LOW])
+    near = rows.join(wide, "g").where(_distance() <= chi2_quantile(0.975, _D))
+    sums = _moments(near, "g", scale=consistency(0.975)).drop("n")
+    flat = F.least(*[F.col(f"l_{i}{i}") for i in range(_D)]) <= ROUNDING
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    out = scratch.table(raw.select("g", (~flat).alias("own")).join(sizes, "g").join(sums, "g", "left").withColumn("own", F.col("own") & F.col("m_0").isNotNull()), "estimates")
+    scratch.drop("raw")
+    return out
+
+
+def _levels(lang: Column, source: Column) -> list[Column]:
+    """Keys of the corpus, of a language, and of a language and source; null is a value like others."""
+    named = lambda *c: F.xxhash64(F.lit(len(c)), *[x for v in c for x in (v.isNull(), F.coalesce(v.cast("string"), F.lit("")))])
+    return [named(), named(lang), named(lang, source)]
+
+
+def fitted(scratch: Scratch, sound: DataFrame, prior: float = PRIOR, alpha: float = ALPHA) -> DataFrame:
+    """``g, n_group, m_i, l_ij`` of each language and source of ``sound(g0, g1, g2, VECTOR)``: estimates drawn towards their parents'. Groups with nothing to estimate from have no row."""
+    rows = scratch.table(sound.distinct(), "sound")
+    levels = rows.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *VECTOR)
+    found = estimates(scratch, levels, alpha)
+    tree = rows.select("g0", "g1", "g2").distinct()
+    for k in range(3):
+        e = found.select(F.col("g").alias(f"g{k}"), F.when(F.col("own"), F.struct("n", *_MEAN, *_COV)).alias(f"e{k}"), F.col("n").alias(f"n{k}"))
+        tree = tree.join(e, f"g{k}")
+
+    def drawn(k: int, c: str) -> Column:
+        """The estimate of level k: its own, by its texts, with its parent's, by ``prior``."""
+        if k == 0:
+            return F.col(f"e0.{c}")
+        own, up, n = F.col(f"e{k}.{c}"), drawn(k - 1, c), F.col(f"e{k}.n")
+        return F.coalesce((n * own + prior * up) / (n + prior), own, up)
+
+    out = tree.select(F.col("g2").alias("g"), F.col("n2").alias("n_group"), *[drawn(2, c).alias(c) for c in (*_MEAN, *_COV)]).where("m_0 is not null")
+    out = scratch.table(_factored(out).select("g", "n_group", *_MEAN, *_LOW), "fitted")
+    scratch.drop("sound", "estimates")
     return out
 
 
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CHI2_FAR, carry: list[str] | None = None) -> DataFrame:
+def judged(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, carry: list[str] | None = None, prior: float = PRIOR, alpha: float = ALPHA
+) -> DataFrame:
     """``docs`` (or its columns ``carry``) with the ``q_*`` counts, q_distance and q_kept.
 
-    Estimates are fitted on the documents that pass the base rules, per language and
-    source; groups under ``MIN_GROUP`` use their language's.
-    Null languages and sources are groups like others. A document is kept if it passes
-    the base rules and its distance is within the cut-off; with nothing to estimate from,
-    it is kept if it passes the base rules. Ties at a concentration cut all stay in.
-    Repeated rows count each time. An empty table gives an empty result. Columns of
-    ``docs`` that clash with names used inside keep their names in the result, unless one
-    begins with q_: then all that clash come back under in__ and their name.
+    Estimates are fitted on the distinct texts of a language and source that pass the base
+    rules, so a group of copies counts once. Null languages and sources are groups like
+    others. A document is kept if it passes the base rules and its squared distance is
+    within the quantile ``cut`` of chi-squared; with nothing to estimate from, q_distance is
+    null and it is kept if it passes the base rules. Ties at a concentration cut all stay
+    in. Rows of equal text, language and source fare alike, however often they stand there.
+    A text of any length is read whole. An empty table gives an empty result. Other columns
+    come back as they are, whatever their names; those named like a result are replaced.
     """
-    clash = [c for c in docs.columns if c[:2] in ("q_", "v_", "m_", "l_") or c in ("d2", "scale", "n_group", "g_lang", "g_source")]
-    if clash:
-        docs = docs.withColumnsRenamed({c: f"in__{c}" for c in clash})
-    scratch = Scratch(docs.sparkSession)
-    name = lambda c: f"in__{c}" if c in clash else c
-    stats = with_vector(with_statistics(docs, name(text_col)).withColumns({"g_lang": F.col(name(lang_col)), "g_source": F.col(name(source_col))}))
-    if carry is not None:
-        extra = [c for c in stats.columns if c[:2] in ("q_", "v_", "g_")]
-        stats = stats.select(*[name(c) for c in carry], *extra)
-    stats = scratch.table(stats, "quality")
-    sound = stats.where("not q_base_failed").select("g_lang", "g_source", *VECTOR)
-    out = stats
-    names = [f"m_{i}" for i in range(_D)] + [f"l_{i}{j}" for j in range(_D) for i in range(j, _D)] + ["scale"]
-    for keys, least in ((["g_lang", "g_source"], MIN_GROUP), (["g_lang"], 1)):
-        e = estimates(scratch, sound, keys).where(F.col("n_group") >= least)
-        out = _join(out, e.select(*keys, F.struct(*names).alias(f"e{len(keys)}")), keys, "left")
-    out = out.withColumn("e", F.coalesce("e2", "e1")).drop("e1", "e2")
-    out = out.withColumn("q_distance", _distance("e.") / F.col("e.scale"))
-    out = out.withColumn("q_kept", ~F.col("q_base_failed") & F.coalesce(F.col("q_distance") <= cutoff, F.lit(True)))
-    drop = ["e", "g_lang", "g_source", *VECTOR]
-    return out.drop(*drop).withColumnsRenamed({f"in__{c}": c for c in clash} if not [c for c in clash if c[:2] == "q_"] else {})
+    names = {f"q_{c}": c for c in (*COUNTS, "base_failed", "distance", "kept")}
+    held, scratch = Held(docs, tuple(names)), Scratch(docs.sparkSession)
+    lang, source = F.col(held.at(lang_col)), F.col(held.at(source_col))
+    stats = held.df.select(*held.columns(carry), *[g.alias(f"g{k}") for k, g in enumerate(_levels(lang, source))], _statistics(F.col(held.at(text_col))).alias("q"))
+    stats = scratch.table(stats.withColumns(_columns("q")).drop("q"), "quality")
+    params = fitted(scratch, stats.where("not base_failed").select("g0", "g1", "g2", *VECTOR), prior, alpha)
+    out = stats.join(params.withColumnRenamed("g", "g2"), "g2", "left").withColumn("distance", _distance())
+    within = F.coalesce(F.col("distance") <= chi2_quantile(cut, _D), F.lit(True))
+    return held.back(out.withColumn("kept", ~F.col("base_failed") & within), names, carry)
