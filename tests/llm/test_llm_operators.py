@@ -118,11 +118,12 @@ def test_contamination_matches_brute_force(spark, docs, none):
             if w and len(grams(x, w) & grams(t, w)) >= 0.8 * len(grams(x, w)):
                 want.append((d, i, len(grams(x, w)), len(grams(x, w) & grams(t, w))))
     assert {(0, 1), (0, 2), (106, 3), (1, None)} <= {w[:2] for w in want}
-    for size in (1 << 20, 100):  # one block, several
-        assert sorted(map(str, map(tuple, decontaminate.contaminated(docs, table, block_bytes=size).collect()))) == sorted(map(str, want))
+    for size in (1 << 20, 100):  # sent to the executors, joined
+        assert sorted(map(str, map(tuple, decontaminate.contaminated(docs, table, broadcast_bytes=size).collect()))) == sorted(map(str, want))
     bad = {w[0] for w in want}
-    out = decontaminate.decontaminate(docs, table)
-    assert out.columns == docs.columns and sorted(map(key, out.select("doc_id").collect())) == sorted(key((r[0],)) for r in rows if r[0] not in bad)
+    for size in (1 << 20, 100):
+        out = decontaminate.decontaminate(docs, table, broadcast_bytes=size)
+        assert out.columns == docs.columns and sorted(map(key, out.select("doc_id").collect())) == sorted(key((r[0],)) for r in rows if r[0] not in bad)
     assert decontaminate.contaminated(none, table).collect() == [] and decontaminate.contaminated(docs, table.limit(0)).collect() == []
 
 
@@ -324,3 +325,27 @@ def test_tool_calls(spark):
 def test_words(spark):
     row = spark.createDataFrame([("Ä a\x0bB\x1c C\r\n",), (None,)], "t string").select(text.words(text.ascii_lower(text.F.col("t")))).collect()
     assert [r[0] for r in row] == [["Ä", "a", "b\x1c c"], []]
+
+
+def test_every_partition_finds_all_that_exact_containment_does(spark):
+    """Items of 1 to 700 words, some words exchanged, inside documents of any length."""
+    r = np.random.default_rng(12)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items, docs = [], []
+    for k, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 12, 20, 33, 64, 130, 260, 700] * 3):
+        w = list(r.choice(vocabulary, n))
+        items.append((k, " ".join(w)))
+        for share in (0.0, 0.01, 0.03, 0.2):
+            x = [v if r.random() >= share else "zz" for v in w]
+            docs.append((len(docs), " ".join([*r.choice(vocabulary, r.integers(0, 900)), *x, *r.choice(vocabulary, 40)])))
+    sets = [(k, w := min(5, len(x := decontaminate.tokens(t))), decontaminate.shingles(x, w)) for k, t in items]
+    want = set()
+    for d, t in docs:
+        own = {w: decontaminate.shingles(decontaminate.tokens(t), w) for w in range(1, 6)}
+        want |= {(d, k, len(s), len(s & own[w])) for k, w, s in sets if len(s & own[w]) >= 0.8 * len(s)}
+    assert len(want) > 100
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 100):
+        got = decontaminate.contaminated(a, b, broadcast_bytes=size).collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert len(decontaminate.Items(items).parts) > 10

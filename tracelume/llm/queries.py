@@ -99,12 +99,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _OP2 = r"""
 with d as (select doc_id, row_number() over () as r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
-b as (select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark),
-bs as (select item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) as s from b where len(w) >= 5),
-be as (select item_id, len(s) as n, unnest(s) as x from bs),
-ds as (select doc_id, r, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) as x from d where len(w) >= 5)
+b as (select item_id, row_number() over () as k, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from (select distinct item_id, text from benchmark)),
+bw as (select *, least(5, len(w)) as v from b where len(w) > 0),
+bs as (select item_id, k, v, list_distinct(list_transform(range(1, (len(w) - v + 2)::bigint), lambda i: array_to_string(w[i:i+v-1], ' '))) as s from bw),
+be as (select item_id, k, v, len(s) as n, unnest(s) as x from bs),
+dw as (select doc_id, r, w, v from d, (select distinct v from bw) where len(w) >= v),
+ds as (select doc_id, r, v, unnest(list_distinct(list_transform(range(1, (len(w) - v + 2)::bigint), lambda i: array_to_string(w[i:i+v-1], ' ')))) as x from dw)
 select doc_id, item_id, n as n_shingles, count(*) as n_shared
-from ds join be using (x) group by doc_id, r, item_id, n having count(*) >= 0.8 * n
+from ds join be on ds.v = be.v and ds.x = be.x group by doc_id, r, item_id, k, n having count(*) >= 0.8 * n
 """
 
 
