@@ -4,8 +4,9 @@ Calls and results are reduced to one row per conversation and identifier, combin
 before the shuffle, and hash-joined by both. Dependencies between calls give levels:
 chains are jumped in a logarithmic number of rounds, and calls with several
 dependencies are peeled, a round taking those whose dependencies all have levels. A
-conversation is never gathered in one row or task. Arguments are parsed to variants;
-canonical JSON has an object's keys in order and no white space.
+conversation is never gathered in one row or task. Arguments are parsed to variants and
+held against schemas of any depth. Canonical JSON has an object's keys in order, no white
+space, and numbers by their value: no exponent, no zeros that do not count.
 """
 
 from __future__ import annotations
@@ -14,40 +15,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelume.llm.scratch import Scratch
+from tracelume.llm.text import let
 
-#: JSON schema type -> pattern of a variant's type: fixed values.
+#: JSON schema type -> pattern of a variant's type: fixed values. An integer is a number whose canonical text has no point.
 TYPES = {
     "string": "STRING",
-    "integer": "BIGINT",
+    "integer": "BIGINT|DOUBLE|FLOAT|DECIMAL.*",
     "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*",
     "boolean": "BOOLEAN",
     "object": "OBJECT.*",
     "array": "ARRAY.*",
     "null": "VOID",
 }
+#: Strings, numbers, and what stands between; possessive, so that no length of string nests.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|.'
+_NUMBER = r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
+
+
+def canonical_number(token: Column) -> Column:
+    """A JSON number in plain decimals: leading zeros, closing zeros of a fraction and the sign of zero go."""
+    part = lambda k: F.regexp_extract(token, _NUMBER, k)
+    digits = F.concat(part(2), part(3))
+    point = F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
+    whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+    rest = F.when(point < 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.length(digits)))
+    whole, rest = F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.regexp_replace(rest, "0+$", "")
+    plain = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    return F.when(plain == "0", plain).otherwise(F.concat(part(1), plain))
+
+
+def _plain_numbers(json: Column) -> Column:
+    token = lambda t: F.when(t.rlike(r"^-?[0-9]") & t.rlike("[.eE]|^-0"), canonical_number(t)).otherwise(t)
+    whole = F.array_join(F.transform(F.regexp_extract_all(json, F.lit(f"(?s){_TOKEN}"), F.lit(0)), token), "")
+    return F.when(json.rlike(r"[0-9][.eE]|-0"), whole).otherwise(json)
+
+
+def _variant_text(v: Column) -> Column:
+    return let(F.to_json(v), _plain_numbers)
 
 
 def canonical(json: Column) -> Column:
-    """Canonical text of a JSON value; null if it is none or repeats a key."""
-    return F.to_json(F.try_parse_json(json))
+    """Canonical text of a JSON value; null if it is none or repeats a key. Integers and decimals of up to 38 digits keep all of them, other numbers are doubles."""
+    return _variant_text(F.try_parse_json(json))
+
+
+def _keys(v: Column) -> Column:
+    """Keys of a variant; none if it is no object."""
+    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+
+
+def _segments(path: Column) -> Column:
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(path, "/", -1))
+
+
+def _key(segment: Column) -> Column:
+    return F.replace(F.replace(F.replace(segment, F.lit("~2"), F.lit("*")), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+
+
+def _nodes(root: Column, path: Column) -> Column:
+    """Variants at a path: what stands under its keys, and for * all items of an array."""
+
+    def under(v: Column, segment: Column) -> Column:
+        quote = F.when(F.contains(segment, F.lit('"')), F.lit("'")).otherwise(F.lit('"'))
+        one = F.try_variant_get(v, F.concat(F.lit("$["), quote, _key(segment), quote, F.lit("]")), "variant")
+        each = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+        return F.when(segment == "*", each).otherwise(F.filter(F.array(one), lambda x: x.isNotNull()))
+
+    return F.aggregate(_segments(path), F.array(root), lambda vs, s: F.flatten(F.transform(vs, lambda v: under(v, s))))
+
+
+def _parent(path: Column) -> Column:
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
 def _errors(arguments: Column, spec: Column) -> Column:
-    """Sorted faults of ``arguments`` against ``spec``, an array of (name, type, required)."""
+    """Sorted distinct faults of ``arguments`` against ``spec``, an array of (name, type, required, choices)."""
     pattern = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    held = F.from_json(arguments, "map<string,variant>")
+    last = lambda path: F.element_at(_segments(path), -1)
+
+    def wrong(v: Column, kind: Column) -> Column:
+        fits = F.rlike(F.schema_of_variant(v), F.concat(F.lit("^("), F.try_element_at(pattern, kind), F.lit(")$")))
+        return ~fits | ((kind == "integer") & F.contains(_variant_text(v), F.lit(".")))
+
+    def faults(root: Column, s: Column) -> Column:
+        name = s["name"]
+        lacks = F.exists(_nodes(root, _parent(name)), lambda p: F.schema_of_variant(p).startswith("OBJECT") & ~F.array_contains(_keys(p), _key(last(name))))
+        missing = F.when(s["required"] & (last(name) != "*") & lacks, F.concat(F.lit("missing:"), name))
+        of = _nodes(root, name)
+        kind = F.when(F.exists(of, lambda v: wrong(v, s["type"])), F.concat(F.lit("type:"), name))
+        choice = F.when(s["choices"].isNotNull() & F.exists(of, lambda v: ~F.array_contains(s["choices"], _variant_text(v))), F.concat(F.lit("enum:"), name))
+        return F.filter(F.array(missing, kind, choice), lambda x: x.isNotNull())
 
-    def fault(s: Column) -> Column:
-        kind = F.schema_of_variant(F.try_element_at(held, s["name"]))
-        absent = ~F.array_contains(F.json_object_keys(arguments), s["name"])
-        wrong = ~F.rlike(kind, F.concat(F.lit("^("), F.try_element_at(pattern, s["type"]), F.lit(")$")))
-        return F.when(absent, F.when(s["required"], F.concat(F.lit("missing:"), s["name"]))).when(wrong, F.concat(F.lit("type:"), s["name"]))
+    def unknown(root: Column, parent: Column) -> Column:
+        known = F.transform(F.filter(spec, lambda s: _parent(s["name"]) == parent), lambda s: last(s["name"]))
+        keys = F.array_distinct(F.flatten(F.transform(_nodes(root, parent), _keys)))
+        more = F.array_except(keys, F.transform(known, _key))
+        under = F.when(parent == "", F.lit("")).otherwise(F.concat(parent, F.lit("/")))
+        return F.when(F.array_contains(known, "**"), F.array().cast("array<string>")).otherwise(F.transform(more, lambda k: F.concat(F.lit("unknown:"), under, k)))
 
-    names = F.transform(spec, lambda s: s["name"])
-    unknown = F.transform(F.array_except(F.json_object_keys(arguments), names), lambda k: F.concat(F.lit("unknown:"), k))
-    found = F.array_sort(F.concat(F.filter(F.transform(spec, fault), lambda x: x.isNotNull()), unknown))
-    whole = F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
-    return F.when(~whole, F.array(F.lit("malformed"))).when(spec.isNull(), F.array(F.lit("unknown_tool"))).otherwise(found)
+    real = F.filter(spec, lambda s: last(s["name"]) != "**")
+    parents = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(spec, lambda s: _parent(s["name"]))))
+    found = lambda root: F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(real, lambda s: faults(root, s))), F.flatten(F.transform(parents, lambda p: unknown(root, p))))))
+    root = F.try_parse_json(arguments)
+    whole = F.coalesce(F.schema_of_variant(root).startswith("OBJECT"), F.lit(False))
+    return F.when(~whole, F.array(F.lit("malformed"))).when(spec.isNull(), F.array(F.lit("unknown_tool"))).otherwise(let(root, found))
 
 
 def _anchors(scratch: Scratch, calls: DataFrame, deps: DataFrame) -> DataFrame:
@@ -75,7 +146,7 @@ def levels(scratch: Scratch, calls: DataFrame, after: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of ``calls``: 0 without dependencies, else one beyond the highest; calls on a cycle or behind one have no row.
 
     ``after(conv_id, call_id, dep)`` are dependencies; those on calls that do not exist
-    have no effect. Chains of single dependencies are jumped; what remains is peeled, so
+    have no effect. All three columns are without nulls here: see :func:`_code`. Chains of single dependencies are jumped; what remains is peeled, so
     rounds follow the nesting of calls with several dependencies.
     """
     key = ["conv_id", "call_id"]
@@ -100,42 +171,63 @@ def levels(scratch: Scratch, calls: DataFrame, after: DataFrame) -> DataFrame:
     return at.join(found, ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
+def _code(value: Column) -> Column:
+    """A text for an identifier of any type, another for null, so that nulls meet by plain equality."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
+
+
+def _coded(df: DataFrame, **extra: str) -> list[Column]:
+    """Keys of a table's rows by code, and more of its columns so."""
+    return [_code(F.col(c)).alias(name) for name, c in {"k_conv": "conv_id", "k_call": "call_id", **extra}.items()]
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, after: DataFrame | None = None) -> DataFrame:
     """One row per conversation and identifier that a call or a result has.
 
     ``calls(conv_id, call_id, turn, tool, arguments)``, ``results(conv_id, call_id, turn,
-    content)``, ``schemas(tool, name, type, required)``; a row of ``schemas`` with a null
-    name declares a tool without fields. Of several calls or results with one identifier
-    the first by turn, then by content, counts, and ``n_calls``, ``n_results`` tell the
-    number. ``status`` is linked, missing_result or orphan_result. ``level`` orders calls
-    topologically; ties go by turn. ``errors`` and ``json`` are null for orphans; in
-    ``json``, arguments that are no JSON stand as text and absent values are left out.
-    Null conversations and identifiers link like equal values. Empty tables give an
-    empty result; other columns are not read.
+    content)``, ``schemas(tool, name, type, required)`` and, if there, ``choices``, an array of
+    JSON values that an argument must be one of.
+
+    ``name`` is a path of keys parted by slashes (``~1`` is a slash in a key, ``~0`` a tilde),
+    with ``*`` for the items of an array (``~2`` is the key ``*``): ``to/*/city``. ``required`` holds
+    wherever the parent is an object. A field that is not named is a fault, unless its
+    parent also has the name ``**``. A row of ``schemas`` with a null name declares a tool
+    without fields; a null type allows any.
+
+    Of several calls or results with one identifier the first by turn, then by content,
+    counts, and ``n_calls``, ``n_results`` tell the number. ``status`` is linked,
+    missing_result or orphan_result. ``level`` orders calls topologically and is null for
+    those on a cycle or behind one. ``errors`` and ``json`` are null for orphans; in ``json``,
+    arguments that are no JSON stand as text and absent values are left out. Null
+    conversations and identifiers link, and depend on each other, like equal values. Repeated
+    rows add to the numbers only. Empty tables give an empty result; other columns are not
+    read, whatever their names. Arguments of any length are parsed whole, up to the 16 MB of
+    a variant: beyond that they count as malformed.
     """
     scratch = Scratch(calls.sparkSession)
-    key = ["conv_id", "call_id"]
-    c = calls.groupBy(*key).agg(F.min(F.struct("turn", "tool", "arguments")).alias("c"), F.count("*").alias("n_calls"))
-    c = scratch.table(c, "calls")
-    r = scratch.table(results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results")), "results")
-    field = F.when(F.col("name").isNotNull(), F.struct("name", "type", F.coalesce("required", F.lit(False)).alias("required")))
-    specs = scratch.table(schemas.groupBy("tool").agg(F.collect_set(field).alias("spec")), "specs")
-    level = levels(scratch, c, after) if after is not None else c.select(*key, F.lit(0).alias("level"))
-    l2 = level.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level")
-    r2 = r.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), "r", "n_results")
-    out = c.join(r2, c.conv_id.eqNullSafe(r2.r_conv) & c.call_id.eqNullSafe(r2.r_call), "full")
+    first = lambda *c: F.min(F.struct(*c))
+    c = calls.select(*_coded(calls), F.struct("conv_id", "call_id").alias("key"), "turn", "tool", "arguments")
+    c = scratch.table(c.groupBy("k_conv", "k_call").agg(F.any_value("key").alias("c_key"), first("turn", "tool", "arguments").alias("c"), F.count("*").alias("n_calls")), "calls")
+    r = results.select(*_coded(results), F.struct("conv_id", "call_id").alias("key"), "turn", "content")
+    r = scratch.table(r.groupBy("k_conv", "k_call").agg(F.any_value("key").alias("r_key"), first("turn", "content").alias("r"), F.count("*").alias("n_results")), "results")
+    choices = F.transform("choices", canonical) if "choices" in schemas.columns else F.lit(None).cast("array<string>")
+    field = F.when(F.col("name").isNotNull(), F.struct("name", "type", F.coalesce("required", F.lit(False)).alias("required"), choices.alias("choices")))
+    specs = scratch.table(schemas.groupBy(_code(F.col("tool")).alias("k_tool")).agg(F.collect_set(field).alias("spec")), "specs")
+    ids = c.select(F.col("k_conv").alias("conv_id"), F.col("k_call").alias("call_id"))
+    level = levels(scratch, ids, after.select(*_coded(after, dep="dep")).toDF("conv_id", "call_id", "dep")) if after is not None else ids.withColumn("level", F.lit(0))
+    out = c.join(r, ["k_conv", "k_call"], "full").join(level.toDF("k_conv", "k_call", "level"), ["k_conv", "k_call"], "left")
+    out = out.withColumn("k_tool", _code(F.col("c.tool"))).join(specs, "k_tool", "left")
     is_call, is_result = F.col("n_calls").isNotNull(), F.col("n_results").isNotNull()
-    out = out.select(
-        F.when(is_call, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), F.when(is_call, F.col("call_id")).otherwise(F.col("r_call")).alias("call_id"), "c", "r", "n_calls", "n_results"
-    )
-    out = out.join(l2, out.conv_id.eqNullSafe(l2.l_conv) & out.call_id.eqNullSafe(l2.l_call), "left").drop("l_conv", "l_call")
-    out = out.withColumn("tool", F.col("c.tool")).join(specs.withColumnRenamed("tool", "s_tool"), F.col("tool").eqNullSafe(F.col("s_tool")), "left").drop("s_tool")
-    arguments = F.col("c.arguments")
+    arguments, key = F.col("c.arguments"), F.coalesce("c_key", "r_key")
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    part = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))
     # keys in order; a null field is left out
-    text = lambda a: F.to_json(F.struct(a.alias("arguments"), F.col("r.content").alias("content"), F.col("call_id").alias("id"), F.col("c.tool").alias("name")))
-    json = F.when(F.try_parse_json(arguments).isNull(), text(arguments)).otherwise(text(F.try_parse_json(arguments)))
+    fields = [part("arguments", F.coalesce(canonical(arguments), F.when(arguments.isNotNull(), quoted(arguments))))]
+    fields += [part(name, F.when(x.isNotNull(), quoted(x))) for name, x in (("content", F.col("r.content")), ("id", key["call_id"].cast("string")), ("name", F.col("c.tool")))]
+    json = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
     return out.select(
-        *key,
+        key["conv_id"].alias("conv_id"),
+        key["call_id"].alias("call_id"),
         F.col("c.turn").alias("turn"),
         F.col("r.turn").alias("result_turn"),
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
@@ -147,6 +239,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, after: DataFr
     )
 
 
+def serialised(linked: DataFrame) -> DataFrame:
+    """``conv_id, call_id, level, turn, json`` of the calls of :func:`link` in topological order: by conversation, level, turn and identifier.
+
+    Calls on a cycle or behind one come last. Rows are dealt by ranges of that whole order,
+    so a long conversation is spread, and written as text they are its JSON Lines.
+    """
+    order = ["conv_id", F.col("level").isNull(), "level", "turn", "call_id"]
+    return linked.where("json is not null").select("conv_id", "call_id", "level", "turn", "json").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and dependencies of a table ``conv_id, turn, role, text``.
 
