@@ -246,11 +246,12 @@ def test_squares_identity_is_the_sum_over_pairs():
 def test_site_lines(spark):
     bar = "<nav><a href='/'>Home</a></nav>"
     rows = [(k, f"http://h.org/{k}", f"{bar}<p>text {k}</p><script>var t='</p>'</script>") for k in range(10)]
+    rows += [(40, "http://one.org", f"{bar}<p>alone</p>")]
     rows += [(20 + k, f"https://me@few.org:80/{k}", f"{bar}<p>t {k}</p>") for k in range(3)] + [(30, None, None), (31, "no url", ""), (32, "http://H.org", f"{bar}{bar}<p>b</p>"), (32, "http://H.org", f"{bar}<p>< a</p>")]
     got = line_dedup.dedup_pages(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, _host long, _key string"))
     text_of = sorted((r.page_id, r.host, r.n_lines, r.n_kept, r.text) for r in got.collect())
-    want = [(k, "h.org", 2, 1, f"text {k}") for k in range(10)] + [(20 + k, "few.org", 2, 2, f"Home\nt {k}") for k in range(3)]
-    want += [(30, "", 0, 0, ""), (31, "", 0, 0, ""), (32, "h.org", 2, 1, "< a"), (32, "h.org", 3, 1, "b")]
+    want = [(k, "h.org", 2, 1, f"text {k}") for k in range(10)] + [(20 + k, "few.org", 2, 1, f"t {k}") for k in range(3)]
+    want += [(40, "one.org", 2, 2, "Home\nalone"), (30, "", 0, 0, ""), (31, "", 0, 0, ""), (32, "h.org", 2, 1, "< a"), (32, "h.org", 3, 1, "b")]
     assert text_of == sorted(want)
     assert line_dedup.dedup_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

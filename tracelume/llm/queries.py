@@ -144,7 +144,7 @@ with h as (select row_number() over () as r, page_id, regexp_extract(lower(coale
 l as (select r, page_id, host, unnest(lines) as line, generate_subscripts(lines, 1) as pos from h),
 c as (select host, line, count(distinct r) as n from l group by all),
 p as (select host, count(*) as pages from h group by host),
-bars as (select c.host, line from c join p on c.host = p.host where pages >= 5 and n > 0.3 * pages),
+bars as (select c.host, line from c join p on c.host = p.host where n >= 2 and n > 0.3 * pages),
 k as (select r, count(*) as n_kept, string_agg(line, chr(10) order by pos) as text from l where not exists (select 1 from bars b where b.host = l.host and b.line = l.line) group by r)
 select page_id, host, len(lines)::bigint as n_lines, coalesce(n_kept, 0)::bigint as n_kept, md5(coalesce(text, '')) as kept_md5 from h left join k using (r)
 """
