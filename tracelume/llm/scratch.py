@@ -7,26 +7,55 @@ lost executor costs only the tasks it held and nothing is kept on one machine.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where tables go if nothing is set and all executors are in this process.
 _OWN = "/tmp/checkpoints"
+_RECORDS: ContextVar[tuple[list[str], ...]] = ContextVar("records", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a folder of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN
+    """A folder of this application under ``spark.checkpoint.dir``; on one machine without executors of its own that may be unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _OWN
     return f"{root.rstrip('/')}/tracelume-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _RECORDS.get():
+        made.append(path)
+    return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths made inside, so that their maker can delete what its result no longer reads."""
+    made: list[str] = []
+    token = _RECORDS.set((*_RECORDS.get(), made))
+    try:
+        yield made
+    finally:
+        _RECORDS.reset(token)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written: for when no result is read any more."""
+    delete(spark, shared_dir(spark))
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Scratch:
@@ -42,6 +71,7 @@ class Scratch:
         df.write.options(compression="zstd", **options).parquet(path)
         self.drop(name)
         self._paths[name] = path
+        self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

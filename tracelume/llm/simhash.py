@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelume.llm.components import connected_components, spanning
+from tracelume.llm.names import Held
 from tracelume.llm.scratch import Scratch
 
 RADIUS, WIDTH, SEED = 4, 4, 42
@@ -172,8 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links of at most ``radius``
     differing bits. Nulls: a null text has no words and fingerprint zero, which links
     like any other; a null id keeps its row and is a ``component_id`` only if all ids of
-    its class are null. Repeated rows are repeated in the result. An empty table gives
-    an empty result. Other columns are not read.
+    its class are null. Repeated rows are repeated in the result. A text of any length is
+    read whole, in blocks. An empty table gives an empty result. Other columns are not read,
+    whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.table(fingerprints(docs, id_col, text_col, width), "prints")
@@ -184,28 +186,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """``docs`` with one row of each class of near-duplicates: that of its smallest id, null ids last.
 
     Of rows of one class that share that id, the smallest fingerprint stays, and of rows that
-    share both, one. All columns are kept, whatever their names; the rules of
-    :func:`near_duplicates` hold.
+    share both, one. The text is a string column. All columns are kept, whatever their names;
+    the rules of :func:`near_duplicates` hold.
     """
-    scratch = Scratch(docs.sparkSession)
-    fp, at = "fp", docs.columns.index(text_col)
-    while fp in docs.columns:
-        fp += "_"
+    scratch, held = Scratch(docs.sparkSession), Held(docs)
+    at, id_ = held.columns().index(held.at(text_col)), held.at(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([simhash(x.as_py().encode() if x.is_valid else None, width) for x in b.column(at)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, fp])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, "fp"])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    marked = held.df.mapInArrow(run, T.StructType([*held.df.schema.fields, T.StructField("fp", T.LongType())]))
     marked = scratch.table(marked, "marked")
-    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    prints = marked.select(F.col(id_).alias("id"), "fp")
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("one")
     kept = prints.join(classes(scratch, prints, radius), "fp").groupBy("label").agg(least).select(F.col("one.id").alias("k_id"), F.col("one.fp").alias("k_fp"))
     kept = scratch.table(kept, "kept")
-    on = (F.col(fp) == F.col("k_fp")) & F.col(id_col).eqNullSafe(F.col("k_id"))
-    out = marked.join(kept, on, "left_semi")
-    again = prints.join(kept, F.col("fp").eqNullSafe(F.col("k_fp")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi").groupBy("id", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    out = marked.join(kept, (F.col("fp") == F.col("k_fp")) & F.col(id_).eqNullSafe(F.col("k_id")), "left_semi")
+    again = prints.join(kept, (F.col("fp") == F.col("k_fp")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi").groupBy("id", "fp").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():
-        out = out.dropDuplicates([id_col, fp])
-    return out.drop(fp)
+        out = out.dropDuplicates([id_, "fp"])
+    return held.back(out)
