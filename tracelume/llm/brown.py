@@ -250,11 +250,12 @@ def fit(scratch: Scratch, train: DataFrame, head: int = HEAD, clustered: int = C
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, **sizes: int) -> DataFrame:
-    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Words are lower-cased (A-Z) and split at ASCII white space, and an end follows; a
     null or empty text is its end alone. Scores are log10 probabilities of the text, the
-    base of its tokens one by one. Learns from documents that are not held out; with
+    base of its tokens one by one; perplexity is that of the text by the model, per token. Ties
+    of frequency are ordered by the word's key. Learns from documents that are not held out; with
     none, all tokens are unseen. Words beyond 64 bytes are words like others. Null ids
     train. Repeated rows count and score each time. An empty table gives an empty result.
     """
@@ -304,6 +305,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     sums = scratch.table(logs.groupBy("row").agg(F.sum("log").alias("log"), F.sum("known").alias("known")), "sums")
     out = parts.drop("tail").join(sums, "row", "left")
     log = F.coalesce("log", F.lit(0.0))
+    score = F.col("score") + log
     return out.select(
         "doc_id",
         "held_out",
@@ -311,5 +313,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + log).alias("base_score"),
-        (F.col("score") + log).alias("score"),
+        score.alias("score"),
+        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
+
+
+def perplexity(scores: DataFrame) -> DataFrame:
+    """``held_out, n_tokens, perplexity, base_perplexity`` over all documents of :func:`scored`, learned from and held out."""
+    sums = scores.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("s"), F.sum("base_score").alias("b"))
+    of = lambda c: F.pow(F.lit(10.0), -F.col(c) / F.col("n_tokens"))
+    return sums.select("held_out", "n_tokens", of("s").alias("perplexity"), of("b").alias("base_perplexity"))
