@@ -158,69 +158,54 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return held.back(q.withColumns({c: v for c, v in _columns("q").items() if c in names.values()}), names)
 
 
-def _cholesky(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
-    """Lower factor, as columns l_ij in the order that they need each other."""
-    low: dict[str, Column] = {}
-    for i, j in _CELLS:
-        s = cov[i, j]
-        for k in range(j):
-            s = s - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-        low[f"l_{i}{j}"] = F.sqrt(F.greatest(s, F.lit(1e-30))) if i == j else s / F.col(f"l_{j}{j}")
-    return low
+# Expressions of the estimates are SQL text: of the same meaning as columns, but without a call into the JVM for each operator.
+_MEAN, _COV, _LOW = [f"m_{i}" for i in range(_D)], [f"c_{i}{j}" for i, j in _CELLS], [f"l_{i}{j}" for i, j in _CELLS]
+_FROM = [f"x_{i}" for i in range(_D)]
+#: The vector from the mean.
+_CENTRED = [f"{v} - {m} AS {x}" for v, m, x in zip(VECTOR, _MEAN, _FROM)]
 
 
 def _factored(df: DataFrame) -> DataFrame:
-    """``df`` with the factor of c_ij and ``ld``, the determinant's logarithm."""
-    for name, value in _cholesky({(i, j): F.col(f"c_{i}{j}") for i, j in _CELLS}).items():
-        df = df.withColumn(name, value)
-    total = F.lit(0.0)
-    for i in range(_D):
-        total = total + 2 * F.log(f"l_{i}{i}")
-    return df.withColumn("ld", total)
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    z: list[Column] = []
-    for i, v in enumerate(VECTOR):
-        s = F.col(v) - F.col(f"m_{i}")
-        for k in range(i):
-            s = s - F.col(f"l_{i}{k}") * z[k]
-        z.append(s / F.col(f"l_{i}{i}"))
-    total = z[0] * z[0]
-    for x in z[1:]:
-        total = total + x * x
-    return total
+    """``df`` with the lower factor l_ij of c_ij, and ``ld``, the determinant's logarithm; a column names those before it."""
+    less = lambda i, j: " - ".join([f"c_{i}{j}", *[f"l_{i}{k} * l_{j}{k}" for k in range(j)]])
+    low = [f"sqrt(greatest({less(i, j)}, 1e-30D)) AS l_{i}{j}" if i == j else f"({less(i, j)}) / l_{j}{j} AS l_{i}{j}" for i, j in _CELLS]
+    return df.selectExpr("*", *low, f"2 * ({' + '.join(f'ln(l_{i}{i})' for i in range(_D))}) AS ld")
 
 
-_MEAN, _COV, _LOW = [f"m_{i}" for i in range(_D)], [f"c_{i}{j}" for i, j in _CELLS], [f"l_{i}{j}" for i, j in _CELLS]
+def _distance() -> str:
+    """Squared Mahalanobis distance of x_i by forward substitution."""
+    z: list[str] = []
+    for i, x in enumerate(_FROM):
+        z.append(f"(({' - '.join([x, *[f'l_{i}{k} * {z[k]}' for k in range(i)]])}) / l_{i}{i})")
+    return " + ".join(f"{x} * {x}" for x in z)
+
+
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Number, sums and products of x_i. Plain sums are a fraction of the code of covariances, and near a mean they lose no digits."""
+    sums = [f"sum({x}) AS s_{i}" for i, x in enumerate(_FROM)] + [f"sum(x_{i} * x_{j}) AS q_{i}{j}" for i, j in _CELLS]
+    return rows.groupBy(*keys).agg(*[F.expr(x) for x in ("count(*) AS n", *sums)])
 
 
-def _moments(rows: DataFrame, *keys: str, scale: float = 1.0) -> DataFrame:
-    aggs = [F.count("*").alias("n")] + [F.avg(v).alias(m) for v, m in zip(VECTOR, _MEAN)]
-    aggs += [(F.covar_pop(VECTOR[i], VECTOR[j]) * scale).alias(f"c_{i}{j}") for i, j in _CELLS]
-    return rows.groupBy(*keys).agg(*aggs)
+def _moments(scale: float = 1.0) -> list[str]:
+    """New m_i and c_ij from the sums about old m_i."""
+    return [f"m_{i} + s_{i} / n AS m_{i}" for i in range(_D)] + [f"(q_{i}{j} / n - s_{i} / n * s_{j} / n) * {scale!r}D AS c_{i}{j}" for i, j in _CELLS]
 
 
 def _starts(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """``g, s, ...``: medians with central spreads; mean and covariance; medians with the covariance of directions."""
     aggs = [F.percentile_approx(v, [0.16, 0.5, 0.84], 200).alias(f"p_{i}") for i, v in enumerate(VECTOR)]
-    middle = rows.groupBy("g").agg(*aggs)
-    spread = [F.greatest((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 2, F.lit(ROUNDING)) for i in range(_D)]
-    diagonal = [(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in _CELLS]
-    first = scratch.table(middle.select("g", *[F.col(f"p_{i}")[1].alias(m) for i, m in enumerate(_MEAN)], *diagonal), "middle")
-    second = _moments(rows, "g")
-    out = rows.join(first, "g")
-    z = [(F.col(v) - F.col(m)) / F.sqrt(f"c_{i}{i}") for i, (v, m) in enumerate(zip(VECTOR, _MEAN))]
-    long = z[0] * z[0]
-    for x in z[1:]:
-        long = long + x * x
-    out = out.select("g", *_MEAN, *[F.sqrt(f"c_{i}{i}").alias(f"d_{i}") for i in range(_D)], *[x.alias(f"z_{i}") for i, x in enumerate(z)], F.greatest(long, F.lit(1e-12)).alias("long"))
-    signs = [F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("long")).alias(f"a_{i}{j}") for i, j in _CELLS]
-    third = out.groupBy("g").agg(*[F.first(c).alias(c) for c in (*_MEAN, *[f"d_{i}" for i in range(_D)])], *signs)
-    third = third.select("g", *_MEAN, *[(F.col(f"a_{i}{j}") * F.col(f"d_{i}") * F.col(f"d_{j}") * _D).alias(f"c_{i}{j}") for i, j in _CELLS])
-    every = [df.select("g", F.lit(s).alias("s"), *_MEAN, *_COV) for s, df in enumerate((first, second, third))]
-    return _factored(every[0].union(every[1]).union(every[2])).withColumns({"ld": F.lit(math.inf), "done": F.lit(False)})
+    spread = [F.greatest((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 2, F.lit(ROUNDING)).alias(f"d_{i}") for i in range(_D)]
+    middle = rows.groupBy("g").agg(*aggs).select("g", *[F.col(f"p_{i}")[1].alias(m) for i, m in enumerate(_MEAN)], *spread)
+    middle = scratch.table(middle, "middle")
+    x = rows.join(middle, "g").selectExpr("g", *_CENTRED, *[f"d_{i}" for i in range(_D)])
+    z = x.selectExpr("g", *[f"x_{i} / d_{i} AS z_{i}" for i in range(_D)])
+    long = f"greatest({' + '.join(f'z_{i} * z_{i}' for i in range(_D))}, 1e-12D) AS long"
+    signs = z.selectExpr("*", long).groupBy("g").agg(*[F.expr(f"avg(z_{i} * z_{j} / long) AS a_{i}{j}") for i, j in _CELLS])
+    first = [f"{f'd_{i} * d_{j}' if i == j else '0D'} AS c_{i}{j}" for i, j in _CELLS]
+    third = [f"a_{i}{j} * d_{i} * d_{j} * {_D} AS c_{i}{j}" for i, j in _CELLS]
+    about, signs = scratch.table(_sums(x, "g"), "about"), scratch.table(signs, "signs")
+    ways = [middle.selectExpr("g", "0 AS s", *_MEAN, *first), middle.join(about, "g").selectExpr("g", "1 AS s", *_moments()), middle.join(signs, "g").selectExpr("g", "2 AS s", *_MEAN, *third)]
+    return _factored(ways[0].union(ways[1]).union(ways[2])).withColumns({"ld": F.lit(math.inf), "done": F.lit(False)})
 
 
 def _cuts(near: DataFrame, share: float) -> DataFrame:
@@ -247,19 +232,19 @@ def concentrated(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> Dat
     params = scratch.table(_starts(scratch, rows), "params")
     while True:
         live = params.where("not done").select("g", "s", *_MEAN, *_LOW)
-        near = rows.join(live, "g").select("g", "s", *VECTOR, _distance().alias("d2"))
-        inside = near.join(_cuts(near, alpha), ["g", "s"]).where("d2 <= cut")
-        fresh = _factored(_moments(inside, "g", "s")).select("g", "s", F.struct("n", *_MEAN, *_COV, *_LOW, "ld").alias("f"))
-        both = params.join(fresh, ["g", "s"], "left")
-        better = F.coalesce(F.col("f.ld") < F.col("ld") - GAIN, F.lit(False))
-        new = {c: F.when(better, F.col(f"f.{c}")).otherwise(F.col(c)) for c in (*_MEAN, *_COV, *_LOW, "ld")}
-        moved = both.select("g", "s", *[v.alias(c) for c, v in new.items()], (F.col("done") | ~better).alias("done"))
+        near = rows.join(live, "g").selectExpr("g", "s", *_CENTRED, *_LOW).selectExpr("g", "s", *_FROM, f"{_distance()} AS d2")
+        cut = scratch.table(_cuts(near, alpha), "cut")  # written, so its size is known and rows stay where they are
+        sums = scratch.table(_sums(near.join(cut, ["g", "s"]).where("d2 <= cut"), "g", "s"), "sums")
+        fresh = _factored(params.select("g", "s", *_MEAN).join(sums, ["g", "s"]).selectExpr("g", "s", *_moments()))
+        state = (*_MEAN, *_COV, *_LOW, "ld")
+        both = params.join(fresh.selectExpr("g", "s", f"struct({', '.join(state)}) AS f"), ["g", "s"], "left").selectExpr("*", f"coalesce(f.ld < ld - {GAIN!r}D, false) AS better")
+        moved = both.selectExpr("g", "s", *[f"if(better, f.{c}, {c}) AS {c}" for c in state], "done or not better AS done")
         params = scratch.table(moved, "params")
         if params.where("not done").isEmpty():
             break
     best = F.min_by(F.struct(*_MEAN, *_COV, *_LOW, "ld"), F.struct("ld", "s")).alias("b")
     out = scratch.table(params.groupBy("g").agg(best).select("g", "b.*"), "raw")
-    scratch.drop("params", "middle")
+    scratch.drop("params", "sums", "cut", "middle", "about", "signs")
     return out
 
 
@@ -268,12 +253,13 @@ def estimates(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> DataFr
     raw = concentrated(scratch, rows, alpha)
     scale = consistency(alpha)
     wide = raw.select("g", *_MEAN, *[(F.col(c) * math.sqrt(scale)).alias(c) for c in _LOW])
-    near = rows.join(wide, "g").where(_distance() <= chi2_quantile(0.975, _D))
-    sums = _moments(near, "g", scale=consistency(0.975)).drop("n")
+    near = rows.join(wide, "g").selectExpr("g", *_CENTRED, *_LOW).where(f"{_distance()} <= {chi2_quantile(0.975, _D)!r}D")
+    sums = scratch.table(_sums(near, "g"), "sums")
+    moved = raw.select("g", *_MEAN).join(sums, "g").selectExpr("g", *_moments(consistency(0.975)))
     flat = F.least(*[F.col(f"l_{i}{i}") for i in range(_D)]) <= ROUNDING
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    out = scratch.table(raw.select("g", (~flat).alias("own")).join(sizes, "g").join(sums, "g", "left").withColumn("own", F.col("own") & F.col("m_0").isNotNull()), "estimates")
-    scratch.drop("raw")
+    out = scratch.table(raw.select("g", (~flat).alias("own")).join(sizes, "g").join(moved, "g", "left").withColumn("own", F.col("own") & F.col("m_0").isNotNull()), "estimates")
+    scratch.drop("raw", "sums")
     return out
 
 
@@ -326,6 +312,6 @@ def judged(
     stats = held.df.select(*held.columns(carry), *[g.alias(f"g{k}") for k, g in enumerate(_levels(lang, source))], _statistics(F.col(held.at(text_col))).alias("q"))
     stats = scratch.table(stats.withColumns(_columns("q")).drop("q"), "quality")
     params = fitted(scratch, stats.where("not base_failed").select("g0", "g1", "g2", *VECTOR), prior, alpha)
-    out = stats.join(params.withColumnRenamed("g", "g2"), "g2", "left").withColumn("distance", _distance())
+    out = stats.join(params.withColumnRenamed("g", "g2"), "g2", "left").selectExpr(*stats.columns, *_CENTRED, *_LOW).withColumn("distance", F.expr(_distance()))
     within = F.coalesce(F.col("distance") <= chi2_quantile(cut, _D), F.lit(True))
     return held.back(out.withColumn("kept", ~F.col("base_failed") & within), names, carry)
