@@ -55,6 +55,21 @@ def test_no_documents(spark):
 def test_pipeline_leaves_no_similar_pair(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (1, 177)")
-    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).select("doc_id").orderBy("doc_id").collect()] == [1, 177]
-    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, sf).select("doc_id").collect()} == {1}
+    assert [r.doc_id for r in simhash.keep_one(docs).select("doc_id").orderBy("doc_id").collect()] == [1, 177]
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).select("doc_id").collect()] == [1]
 
+
+def test_large_group_of_near_copies_without_all_pairs(spark, tmp_path):
+    """600 copies, each with words of its own exchanged: one class, from a number of pairs that is linear in the group."""
+    r = np.random.default_rng(5)
+    base = [f"w{x}" for x in r.integers(0, 900, 200)]
+    data = []
+    for k in range(600):
+        copy = list(base)
+        for at in r.integers(0, 200, 2):
+            copy[at] = f"own{k}"
+        data.append((k, " ".join(copy), 1, "x"))
+    data += [(1000 + k, " ".join(f"v{x}" for x in r.integers(0, 900, 150)), 1, "x") for k in range(50)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/docs")
+    kept = sorted(x.doc_id for x in jaccard.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect())
+    assert kept == [0, *range(1000, 1050)]
