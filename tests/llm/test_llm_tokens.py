@@ -56,6 +56,7 @@ def test_texts_like_whole_encoding():
 
 def test_memory_begins_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 50)
+    monkeypatch.setattr(tokens, "KEEP", 7)
     e = tokens.Encoder(tokenizer_path())
     for k in range(5):
         some = [f"word{k}x{j} of text" for j in range(40)]

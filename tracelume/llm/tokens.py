@@ -18,7 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ FORMAT = {
     "write_page_index": True,
 }
 ROWS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-#: Distinct chunks, and pieces of them, that a worker remembers before it begins anew; bytes of text encoded at once.
-MEMO, STEP_BYTES = 500_000, 8 << 20
+#: Distinct chunks, and pieces of them, after which a worker forgets all but those it met first; how many those are; bytes of text encoded at once.
+MEMO, KEEP, STEP_BYTES = 300_000, 60_000, 8 << 20
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks whose pieces are plain: no apostrophe, no composing or uncommon character.
 _PLAIN = re.compile(rf"[!-&(-~{_LETTER}]{{1,64}}")
@@ -104,6 +104,14 @@ class _Ids:
         self.n_ids = end
         self.places.update(zip(names, range(at, at + n)))
 
+    def forget(self, keep: int) -> None:
+        """Only the first ``keep`` stay: what is frequent is met early."""
+        if len(self.places) > keep:
+            self.places = dict(islice(self.places.items(), keep))
+            end = int(self.starts[keep - 1] + self.lengths[keep - 1])
+            self.ids, self.n_ids = self.ids[: max(end, 1)].copy(), end
+            self.starts, self.lengths = self.starts[:keep].copy(), self.lengths[:keep].copy()
+
     def find(self, names: list[str]) -> np.ndarray:
         """Places; -1 of what is not known."""
         return np.fromiter(map(self.places.get, names, repeat(-1)), np.int32, len(names))
@@ -136,6 +144,10 @@ class Encoder:
         self.known_stages = _stages(path)
         self.chunks, self.pieces = _Ids(), _Ids()
 
+    def forget(self) -> None:
+        for held in (self.chunks, self.pieces):
+            held.forget(KEEP)
+
     def _learn(self, fresh: list[str]) -> None:
         whole = _PLAIN.fullmatch
         plain = [c for c in fresh if whole(c) and "<|" not in c]
@@ -163,7 +175,7 @@ class Encoder:
             each = [[*x.ids, end_id] for x in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
             return np.array([i for x in each for i in x], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.chunks.places) > MEMO or len(self.pieces.places) > MEMO:
-            self.chunks, self.pieces = _Ids(), _Ids()
+            self.forget()
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = parts.flatten().dictionary_encode()
         named = words.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -237,6 +249,7 @@ def write_tokens(
             if out is not None:
                 out.close()
         finally:
+            encoder(tokenizer).forget()  # the worker may wait for long
             if collects:
                 gc.enable()
         if docs_n:
