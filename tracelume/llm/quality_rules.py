@@ -172,12 +172,15 @@ def _factored(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *low, f"2 * ({' + '.join(f'ln(l_{i}{i})' for i in range(_D))}) AS ld")
 
 
-def _distance() -> str:
-    """Squared Mahalanobis distance of x_i by forward substitution."""
-    z: list[str] = []
-    for i, x in enumerate(_FROM):
-        z.append(f"(({' - '.join([x, *[f'l_{i}{k} * {z[k]}' for k in range(i)]])}) / l_{i}{i})")
-    return " + ".join(f"{x} * {x}" for x in z)
+def _measured(df: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep``, x_i and ``d2``, the squared Mahalanobis distance of x_i.
+
+    Forward substitution with a column for each of its values: as one expression it would
+    double with every dimension.
+    """
+    z = [f"({' - '.join([x, *[f'l_{i}{k} * z_{k}' for k in range(i)]])}) / l_{i}{i} AS z_{i}" for i, x in enumerate(_FROM)]
+    df = df.selectExpr(*keep, *_CENTRED, *_LOW)
+    return df.selectExpr(*keep, *_FROM, *z, f"{' + '.join(f'z_{i} * z_{i}' for i in range(_D))} AS d2").select(*keep, *_FROM, "d2")
 
 
 def _sums(rows: DataFrame, *keys: str) -> DataFrame:
@@ -232,7 +235,7 @@ def concentrated(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> Dat
     params = scratch.table(_starts(scratch, rows), "params")
     while True:
         live = params.where("not done").select("g", "s", *_MEAN, *_LOW)
-        near = rows.join(live, "g").selectExpr("g", "s", *_CENTRED, *_LOW).selectExpr("g", "s", *_FROM, f"{_distance()} AS d2")
+        near = _measured(rows.join(live, "g"), "g", "s")
         cut = scratch.table(_cuts(near, alpha), "cut")  # written, so its size is known and rows stay where they are
         sums = scratch.table(_sums(near.join(cut, ["g", "s"]).where("d2 <= cut"), "g", "s"), "sums")
         fresh = _factored(params.select("g", "s", *_MEAN).join(sums, ["g", "s"]).selectExpr("g", "s", *_moments()))
@@ -253,7 +256,7 @@ def estimates(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> DataFr
     raw = concentrated(scratch, rows, alpha)
     scale = consistency(alpha)
     wide = raw.select("g", *_MEAN, *[(F.col(c) * math.sqrt(scale)).alias(c) for c in _LOW])
-    near = rows.join(wide, "g").selectExpr("g", *_CENTRED, *_LOW).where(f"{_distance()} <= {chi2_quantile(0.975, _D)!r}D")
+    near = _measured(rows.join(wide, "g"), "g").where(f"d2 <= {chi2_quantile(0.975, _D)!r}D")
     sums = scratch.table(_sums(near, "g"), "sums")
     moved = raw.select("g", *_MEAN).join(sums, "g").selectExpr("g", *_moments(consistency(0.975)))
     flat = F.least(*[F.col(f"l_{i}{i}") for i in range(_D)]) <= ROUNDING
@@ -312,6 +315,6 @@ def judged(
     stats = held.df.select(*held.columns(carry), *[g.alias(f"g{k}") for k, g in enumerate(_levels(lang, source))], _statistics(F.col(held.at(text_col))).alias("q"))
     stats = scratch.table(stats.withColumns(_columns("q")).drop("q"), "quality")
     params = fitted(scratch, stats.where("not base_failed").select("g0", "g1", "g2", *VECTOR), prior, alpha)
-    out = stats.join(params.withColumnRenamed("g", "g2"), "g2", "left").selectExpr(*stats.columns, *_CENTRED, *_LOW).withColumn("distance", F.expr(_distance()))
+    out = _measured(stats.join(params.withColumnRenamed("g", "g2"), "g2", "left"), *[c for c in stats.columns if c not in VECTOR]).withColumnRenamed("d2", "distance")
     within = F.coalesce(F.col("distance") <= chi2_quantile(cut, _D), F.lit(True))
     return held.back(out.withColumn("kept", ~F.col("base_failed") & within), names, carry)
