@@ -5,7 +5,6 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 from math import floor, isfinite
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,36 +71,69 @@ def measure(text: str) -> tuple[str, str | None]:
     return (head, unit) if head and unit else (text, None)
 
 
-def _known(x):
-    return None if pd.isna(x) else x
+# The same as columns. format_number rounds the binary value's exact decimal, halves to even; only multiples of a
+# power of two can be halves, so those are moved up by less than the next one is away.
 
 
-def _vector(f, *columns: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(*s: pd.Series) -> pd.Series:
-        return pd.Series([f(*map(_known, row)) for row in zip(*s)])
+def _fixed(x: Column, digits: int) -> Column:
+    whole = 1 << 20
+    even = F.when(x * whole == F.floor(x * whole), x + 1e-7).otherwise(x)
+    return F.replace(F.format_number(even, digits), F.lit(","), F.lit(""))
 
-    return run(*columns)
+
+def _sig3(x: Column) -> Column:
+    return F.when(x >= 100, _fixed(x, 0)).when(x >= 10, _fixed(x, 1)).otherwise(_fixed(x, 2))
+
+
+def _nearest(x: Column) -> Column:
+    return F.floor(x + 0.5).cast("long").cast("string")
+
+
+def _steps(x: Column, units: list[tuple[float, str]], most: float) -> Column:
+    out = None
+    for size_, unit in units[:-1]:
+        t = _sig3(x / size_)
+        fits = t.cast("double") < most
+        out = F.when(fits, F.concat(t, F.lit(unit))) if out is None else out.when(fits, F.concat(t, F.lit(unit)))
+    size_, unit = units[-1]
+    last = F.concat(_sig3(x / size_), F.lit(unit))
+    return last if out is None else out.otherwise(last)
+
+
+def _or_dash(known: Column, text: Column) -> Column:
+    return F.when(known, text).otherwise(F.lit(DASH))
 
 
 def duration_text(ms: Column) -> Column:
-    return _vector(duration, ms)
+    minutes = F.floor(ms / 60_000 + 0.5).cast("long")
+    long = F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), F.lpad(F.pmod(minutes, F.lit(60)).cast("string"), 2, "0"), F.lit("m"))
+    text = (
+        F.when(ms < 1000, F.concat(_nearest(ms), F.lit("ms")))
+        .when(ms < 10_000, F.concat(_fixed(ms / 1000, 2), F.lit("s")))
+        .when(ms < 60_000, F.concat(_fixed(ms / 1000, 1), F.lit("s")))
+        .when(ms < 3_600_000, F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m"), _nearest(F.pmod(ms, F.lit(60_000)) / 1000), F.lit("s")))
+        .otherwise(long)
+    )
+    return _or_dash(ms.isNotNull(), text)
 
 
 def tokens_text(n: Column) -> Column:
-    return _vector(lambda x: tokens(None if x is None else int(x)), n)
+    text = F.when(n < 10_000, n.cast("long").cast("string")).otherwise(_steps(n, [(1e3, "k"), (1e6, "M")], 1000))
+    return _or_dash(n.isNotNull(), text)
 
 
 def size_text(n: Column) -> Column:
-    return _vector(lambda x: size(None if x is None else int(x)), n)
+    text = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(_steps(n, [(1024, " KB"), (1024**2, " MB"), (1024**3, " GB")], 1024))
+    return _or_dash(n.isNotNull(), text)
 
 
 def rate_text(tps: Column) -> Column:
-    return _vector(lambda x: DASH if x is None else rate(x), tps)
+    finite = tps.isNotNull() & ~F.isnan(tps) & (F.abs(tps) < float("inf"))
+    return _or_dash(finite, F.concat(_sig3(tps), F.lit(" t/s")))
 
 
 def percent_text(part: Column, base: Column) -> Column:
-    return _vector(percent, part, base)
+    return _or_dash(part.isNotNull() & (base > 0), F.concat(_sig3(part / base * 100), F.lit("%")))
 
 
 def clock(ms, with_date: bool = False):

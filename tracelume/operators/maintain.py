@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelume.operators import tree
+
 GRACE_MS, PACK_BUDGET, LIVE_RATIO, LEAST_BYTES = 3_600_000, 64 << 20, 0.5, 8 << 20
 
 
@@ -31,10 +33,11 @@ def pack_candidates(objects: DataFrame, live: DataFrame, ranks: DataFrame, cold_
     """Cold reachable objects in packing order, up to the budget and one at least, unranked ones last.
 
     Sums run in two levels: over coarse rank ranges, then within the range that the budget
-    ends in, so no task sorts all objects.
+    ends in, so no task sorts all objects: the first level has one row for 4,096 ranked
+    objects, and unranked ones stand in as many ranges of their hash, behind the others.
     """
     cold = objects.where(F.col("mtime_ms") < cold_before_ms).join(live.select("hash"), "hash", "left_semi").join(ranks, "hash", "left")
-    cold = cold.withColumn("_block", F.coalesce(F.floor((F.col("rank") - 1) / 4096), F.lit(1 << 40)))
+    cold = cold.withColumn("_block", F.coalesce(F.floor((F.col("rank") - 1) / 4096), F.lit(1 << 40) + F.pmod(F.xxhash64("hash"), F.lit(4096))))
     blocks = cold.groupBy("_block").agg(F.sum("bytes").alias("_bytes"))
     upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_bytes").over(upto), F.lit(0))).where(F.col("_before") <= budget)
@@ -68,3 +71,27 @@ def sweep_status(**tables: DataFrame) -> DataFrame:
         row = df.agg(F.lit(name).alias("step"), F.count("*").alias("rows"), size.cast("long").alias("bytes"))
         out = row if out is None else out.union(row)
     return out
+
+
+def migration_order(sessions: DataFrame) -> DataFrame:
+    """``sessions(session_id, failures, mtime_ms)`` in the order of migration: fewest failures first, then newest."""
+    return sessions.orderBy("failures", F.desc("mtime_ms"), "session_id")
+
+
+def sweep(objects: DataFrame, roots: DataFrame, nodes: DataFrame, ranks: DataFrame, packed: DataFrame, now_ms: int, cold_before_ms: int, budget: int = PACK_BUDGET, grace_ms: int = GRACE_MS, least_bytes: int = LEAST_BYTES) -> dict[str, DataFrame]:
+    """One sweep: ``live``, what to ``collect``, ``pack`` and ``repack``, and its ``status``.
+
+    ``objects(hash, bytes, mtime_ms)``, ``roots(hash)``, ``nodes(hash, parent)``, ``ranks(hash, rank)``,
+    ``packed(pack, hash, bytes)``. Marks that are incomplete, as a reached node is missing,
+    collect nothing; ``status`` has the missing nodes as a step of their own.
+    """
+    live = tree.reachable(roots, nodes)
+    gone = tree.missing(live, nodes)
+    found = {
+        "live": objects.join(live, "hash", "left_semi"),
+        "missing": gone,
+        "collect": garbage(objects, live, now_ms, grace_ms, gone.isEmpty()),
+        "pack": pack_candidates(objects, live, ranks, cold_before_ms, budget),
+        "repack": repack_candidates(packed, live, least_bytes),
+    }
+    return found | {"status": sweep_status(**found)}

@@ -47,26 +47,35 @@ def build_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
     return out.withColumns({"parent": parent, "own": F.when(F.col("kind") == "delta", rest).otherwise(F.col("entries"))}).drop("_prev", "_up")
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share: plans do not grow, and a lost executor costs its tasks only."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
 def resolve(roots: DataFrame, nodes: DataFrame, walk: int = WALK) -> DataFrame:
     """``call, entries``: the concatenation, root first, of each call's chain.
 
     ``roots(call, hash)``, ``nodes(hash, parent, entries)``. All or nothing: a missing node, a
-    cycle, or more than ``walk`` nodes gives null. A round is a hash join of those still
-    walking, and there are at most ``walk`` rounds.
+    cycle, or more than ``walk`` nodes gives null. Pointers double: a round is a hash join that
+    puts before each node's entries those of the node that it points at, and points where
+    that points, so there are as many rounds as ``walk`` has bits, whatever the size of the store.
     """
-    spark = roots.sparkSession
-    roots.createOrReplaceTempView("_roots")
-    nodes.dropDuplicates(["hash"]).createOrReplaceTempView("_nodes")
-    walked = spark.sql(f"""
-        WITH RECURSIVE w(call, hop, parent, entries) MAX RECURSION LEVEL {walk + 1} AS (
-          SELECT r.call, 0, n.parent, n.entries FROM _roots r JOIN _nodes n ON r.hash = n.hash
-          UNION ALL
-          SELECT w.call, w.hop + 1, n.parent, n.entries FROM w JOIN _nodes n ON w.parent = n.hash WHERE w.hop < {walk - 1})
-        SELECT * FROM w""")
-    parts = F.array_sort(F.collect_list(F.struct((-F.col("hop")).alias("o"), F.col("entries").alias("e"))))
-    whole = walked.groupBy("call").agg(parts.alias("p"), F.max(F.col("parent").isNull()).alias("ended"))
-    found = whole.where("ended").select("call", F.flatten(F.transform("p", lambda x: x["e"])).alias("entries"))
-    return roots.select("call").join(found, "call", "left")
+    at = nodes.groupBy("hash").agg(F.any_value(F.struct("parent", "entries")).alias("n")).select("hash", F.col("n.parent").alias("up"), F.col("n.entries").alias("entries"), F.lit(1).alias("hops"))
+    at = _checkpointed(at)
+    for _ in range(max(0, walk - 1).bit_length()):
+        ahead = at.select(F.col("hash").alias("up"), F.col("up").alias("next"), F.col("entries").alias("before"), F.col("hops").alias("more"))
+        far = at.join(ahead, "up", "left").where(F.col("up").isNull() | F.col("more").isNotNull())
+        at = _checkpointed(
+            far.select("hash", F.col("next").alias("up"), F.when(F.col("more").isNull(), F.col("entries")).otherwise(F.concat("before", "entries")).alias("entries"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+            .where(F.col("hops") <= walk)
+        )
+    return roots.select("call", "hash").join(at.where("up is null").select("hash", "entries"), "hash", "left").select("call", "entries")
 
 
 def reachable(roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,17 +84,19 @@ def reachable(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     A frontier join per level over what is new; each level is written to the session's
     checkpoint folder so that plans do not grow.
     """
-    spark = roots.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    seen = front = roots.select("hash").distinct().checkpoint()
+    seen = front = _checkpointed(roots.select("hash").distinct())
     while not front.isEmpty():
         up = front.join(nodes, "hash").where("parent is not null").select(F.col("parent").alias("hash")).distinct()
-        front = up.join(seen, "hash", "left_anti").checkpoint()
+        front = _checkpointed(up.join(seen, "hash", "left_anti"))
         seen = seen.union(front)
     return seen
 
 
+def missing(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``hash`` of what is reached but not there: while there is any, marks are incomplete and nothing may be swept."""
+    return live.select("hash").join(nodes.select("hash"), "hash", "left_anti")
+
+
 def encode(entries, parent):
     """Canonical JSON of a node."""
     return F.to_json(F.struct(F.lit(3).alias("t"), parent.alias("p"), entries.alias("e")))

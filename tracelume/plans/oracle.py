@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tracelume.plans import log_queries
+
 _CALLS = """
 e as (select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(value * 100) as bigint) + 1 as d from events),
 calls as (select user_id as session_id, event_id as id, event_id as pos, case when event_type = 'signup' then 'session-title' end as purpose,
@@ -54,7 +56,8 @@ hashed as (select *, sha256(body) as hash, strlen(body) as z from pieces)"""
 )
 _NODES = """
 nodes as (select conv_id || '/' || turn as hash, case when turn > 0 then conv_id || '/' || (turn - 1) end as parent, conv_id, turn, strlen(text) as bytes from conversations),
-live as (select hash, parent from nodes where turn = 3 and conv_id % 3 = 0 union select n.hash, n.parent from live l join nodes n on n.hash = l.parent)"""
+live as (select n.hash, n.parent from nodes n join (select conv_id, max(turn) as turn from conversations where role = 'assistant' group by conv_id) r on n.conv_id = r.conv_id and n.turn = r.turn
+  union select n.hash, n.parent from live l join nodes n on n.hash = l.parent)"""
 
 
 def _buckets(minutes: int) -> str:
@@ -72,9 +75,45 @@ _REDACT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
  '(?i)\b(?:api[-_]?key|token|secret|password|authorization)\s*[:=]\s*["'']?[^\s"''`,;]{4,}', '<redacted>', 'g'), '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}', '<redacted>', 'g')"""
 
 
+def _fixed(x: str, digits: int) -> str:
+    """Decimals of a double, halves up: printf rounds the exact value, halves to even, and only multiples of a power of two can be halves."""
+    return f"printf('%.{digits}f', case when ({x}) * 1048576 = floor(({x}) * 1048576) then ({x}) + 1e-7 else ({x}) end)"
+
+
+def _sig3(x: str) -> str:
+    return f"case when ({x}) >= 100 then {_fixed(x, 0)} when ({x}) >= 10 then {_fixed(x, 1)} else {_fixed(x, 2)} end"
+
+
+def _or_dash(known: str, text: str) -> str:
+    return f"case when {known} then {text} else '–' end"
+
+
+def _ladder(n: str, below: int, plain: str, units: list[tuple[int, str]]) -> str:
+    arms = "".join(f" when cast({_sig3(f'{n} / {float(size)!r}')} as double) < {1000 if below == 10_000 else 1024} then {_sig3(f'{n} / {float(size)!r}')} || '{unit}'" for size, unit in units[:-1])
+    size, unit = units[-1]
+    return _or_dash(f"{n} is not null", f"case when {n} < {below} then {plain}{arms} else {_sig3(f'{n} / {float(size)!r}')} || '{unit}' end")
+
+
+def _tokens(n: str) -> str:
+    return _ladder(n, 10_000, f"cast({n} as varchar)", [(1000, "k"), (10**6, "M")])
+
+
+def _size(n: str) -> str:
+    return _ladder(n, 1024, f"{n} || ' B'", [(1 << 10, " KB"), (1 << 20, " MB"), (1 << 30, " GB")])
+
+
+def _duration(ms: str) -> str:
+    x, minutes = f"({ms} / 1000.0::double)", f"cast(floor({ms} / 60000.0::double + 0.5) as bigint)"
+    return _or_dash(
+        f"{ms} is not null",
+        f"case when {ms} < 1000 then {ms} || 'ms' when {ms} < 10000 then {_fixed(x, 2)} || 's' when {ms} < 60000 then {_fixed(x, 1)} || 's'"
+        f" when {ms} < 3600000 then {ms} // 60000 || 'm' || cast(floor(({ms} % 60000) / 1000.0::double + 0.5) as bigint) || 's' else {minutes} // 60 || 'h' || lpad(cast({minutes} % 60 as varchar), 2, '0') || 'm' end",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     page = "select id, session_id, model, started_at, status from calls"
-    return {
+    found = {
         "session_summary": f"""with {_ATTEMPTS} select session_id, count(*) as n_calls, count(*) filter (where status = 'error') as errors, count(*) filter (where status = 'aborted') as aborts,
  count(*) filter (where attempt > 1) as retried, cast(sum(coalesce(input_tokens, 0) + coalesce(cache_read, 0) + coalesce(cache_write, 0)) as bigint) as billed, cast(sum(coalesce(input_tokens, 0)) as bigint) as input,
  cast(sum(coalesce(cache_read, 0)) as bigint) as cache_read, cast(sum(coalesce(cache_write, 0)) as bigint) as cache_write, cast(sum(coalesce(output_tokens, 0)) as bigint) as output from attempts group by 1""",
@@ -110,7 +149,7 @@ t as (select *, greatest(1, cast(ceil(n / 40) as bigint)) as stride from s) sele
         "piece_dedup": "select distinct sha256(text) as hash, strlen(text) as z from documents where text is not null",
         "marginal_bytes": f"""with {_PIECES}, f as (select hash, min(row("at", call, pos)) as f, min(z) as z from hashed group by 1), s as (select f[2] as call, sum(z) as b from f group by 1)
 select distinct h.call, cast(coalesce(b, 0) as bigint) as bytes from hashed h left join s on s.call = h.call""",
-        "message_reassembly": f"""with {_PIECES} select call, md5(string_agg(case when z % 7 <> 0 then body else '{{"$unavailable":"' || hash || '"}}' end, chr(10) order by pos)) as digest, count(*) as n from hashed group by 1""",
+        "message_reassembly": f"with {_PIECES} select call, md5(string_agg(body, chr(10) order by pos)) as digest, count(*) as n from hashed group by 1",
         "packing_order": f"with {_PIECES}, f as (select hash, min(row(\"at\", call, pos)) as f from hashed group by 1) select hash, row_number() over (order by f) as rank from f",
         "tree_nodes": f"""with recursive {_LISTS}, o as (select session_id, pos, [sha256(x) for x in messages] as e, row_number() over (partition by session_id order by pos) as r from lists),
 w as (select session_id, pos, r, e, 'keyframe' as kind, 0 as depth from o where r = 1 union all
@@ -122,7 +161,7 @@ select session_id, pos, kind, cast(depth as bigint) as depth from w""",
         "gc_candidates": f"with recursive {_NODES} select hash, bytes from nodes n where turn * 1800000 < 5400000 and not exists (select 1 from live l where l.hash = n.hash)",
         "pack_candidates": f"""with recursive {_NODES}, c as (select distinct n.hash, n.bytes, conv_id * 100 + turn + 1 as rank from nodes n join live l on l.hash = n.hash where turn * 1800000 < 4000000),
 s as (select *, sum(bytes) over (order by rank) as t, row_number() over (order by rank) as r from c) select hash, bytes, rank from s where t <= 20000 or r = 1""",
-        "repack_candidates": f"""with recursive {_NODES}, p as (select conv_id % 10 as pack, count(*) as entries, count(l.hash) as live, cast(sum(bytes) as bigint) as bytes, count(l.hash) / count(*) as live_ratio from nodes n left join (select distinct hash from live) l on l.hash = n.hash group by 1)
+        "repack_candidates": f"""with recursive {_NODES}, p as (select turn as pack, count(*) as entries, count(l.hash) as live, cast(sum(bytes) as bigint) as bytes, count(l.hash) / count(*) as live_ratio from nodes n left join (select distinct hash from live) l on l.hash = n.hash group by 1)
 select pack, entries, live, bytes, live_ratio from p where case when bytes >= 20000 then live_ratio < 0.5 else live_ratio < 0.25 end""",
         "redact_text": f"select doc_id, md5({_REDACT}) as digest from documents",
         "redact_capped": f"""with r as (select doc_id, {_REDACT} as t from documents)
@@ -141,4 +180,11 @@ select call as id, case when prior is null then null when prior > 0 and fresh >
 select call, case when prior is null then 0 else (select count(*) from range(1, least(len(prior), len(messages)) + 1) r(i) where prior[1:i] = messages[1:i]) end as prefix from p""",
         "spans_days": f"with {_CALLS} select session_id, min(started_at // 86400000) <> max(started_at // 86400000) as spans_days from calls group by 1",
         "session_files": r"select c_custkey, regexp_replace(regexp_replace(c_name || '/x:' || c_custkey || '..', '[^a-zA-Z0-9._-]', '_', 'g'), '\.+$', '') || '.jsonl' as file from customer",
+        "formats": f"""with {_CALLS} select id, {_duration('duration_ms')} as duration, {_tokens('input_tokens')} as tokens, {_size('(duration_ms * 999)')} as size,
+ strftime(make_timestamp(started_at * 1000), '%Y-%m-%d %H:%M:%S') || ' +00:00' as time from calls""",
+        "ledger_rows": f"""with {_STEPS}, {_metrics('stepped')} select id, strftime(make_timestamp(started_at * 1000), '%H:%M:%S') as time,
+ concat_ws(chr(0), model, '#' || step, purpose, case when attempt > 1 then '×' || attempt end) as model, {_duration('ttfb_ms')} as ttft, {_duration('duration_ms')} as total,
+ case when tps_approx then '≈ ' else '' end || {_or_dash("tps is not null", f"{_sig3('tps')} || ' t/s'")} as speed, {_tokens('billed')} as billed, {_tokens('input_tokens')} as input, {_tokens('cache_read')} as hit,
+ {_or_dash("cache_read is not null and billed > 0", f"{_sig3('(cast(cache_read as double) / billed * 100)')} || '%'")} as hit_pct, {_tokens('cache_write')} as "write", {_tokens('output_tokens')} as output, '–/–' as messages from metrics""",
     }
+    return found | log_queries.oracle_sql(_TIME, _LISTS, _STEPS, _CALLS)

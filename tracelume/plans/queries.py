@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelume.functions import expr, text
 from tracelume.operators import chart, decimate, ledger, maintain, objects, paging, rollup, steps, tree, wire
+from tracelume.plans import log_queries
 from tracelume.sources.driver import calls_from_events, read, turns_as_lists
 from tracelume.streaming import stream
 
@@ -140,7 +140,7 @@ def marginal_bytes(spark, d):
 
 def message_reassembly(spark, d):
     p = _pieces(spark, d)
-    found = objects.reassemble(p.select("call", "pos", "hash"), objects.put(p).where("z % 7 <> 0"))
+    found = objects.reassemble(p.select("call", "pos", "hash"), objects.put(p))
     return found.select("call", F.md5(F.array_join("bodies", "\n").cast("binary")).alias("digest"), F.size("bodies").cast("long").alias("n"))
 
 
@@ -171,9 +171,15 @@ def _nodes(spark, d):
     return c.select(F.concat_ws("/", "conv_id", "turn").alias("hash"), F.when(F.col("turn") > 0, F.concat_ws("/", F.col("conv_id"), F.col("turn") - 1)).alias("parent"), "conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))
 
 
+def roots(spark, d):
+    """The last answer of every conversation: what was said after it is reached by nothing."""
+    c = read(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return c.select(F.concat_ws("/", "conv_id", "turn").alias("hash"))
+
+
 def _marks(spark, d):
     n = _nodes(spark, d)
-    return n, tree.reachable(n.where("turn = 3 and conv_id % 3 = 0").select("hash"), n)
+    return n, tree.reachable(roots(spark, d), n)
 
 
 def mark_reachable(spark, d):
@@ -195,7 +201,7 @@ def pack_candidates(spark, d):
 
 def repack_candidates(spark, d):
     n, live = _marks(spark, d)
-    entries = n.select((F.col("conv_id") % 10).alias("pack"), "hash", "bytes")
+    entries = n.select(F.col("turn").alias("pack"), "hash", "bytes")
     return maintain.repack_candidates(entries, live, 20_000)
 
 
@@ -286,8 +292,7 @@ def stream_attempts(spark, d):
     """The retry numbering as a stream over the whole table, written and read back."""
     source = read(spark, d, "events")
     events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = log_queries.scratch_path(spark, "stream")
     out = stream.stream_attempts(calls_from_events(events).drop("attempt"), RETRY_WINDOW)
     out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("session_id", "id", "attempt")
@@ -300,4 +305,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found += [protocol_detect, wire_usage_totals, wire_chain, chain_prefix, session_files, formats, ledger_rows, spans_days, stream_attempts]
     shapes = {"anthropic": "anthropic-messages", "chat": "openai-completions", "responses": "openai-responses"}
     wires = {f"wire_{name}_{side}": _wire(p, side) for name, p in shapes.items() for side in ("request", "response")}
-    return {f.__name__: f for f in found} | wires
+    return {f.__name__: f for f in found} | wires | log_queries.queries()

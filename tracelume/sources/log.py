@@ -211,6 +211,81 @@ def read_packs(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.sha2("body", 256) == F.col("hash"))
 
 
-def append(calls_out: DataFrame, path: str) -> None:
-    """Append records partitioned by session; Spark's commit makes a file whole or absent."""
-    calls_out.write.mode("append").partitionBy("session_id").json(path)
+def envelopes(lines: DataFrame) -> DataFrame:
+    """``session_id, pos, id, version, refs, tree, resp`` of valid envelope lines: what a record is put together from."""
+    e = F.col("e")
+    rows = lines.select("session_id", "pos", F.from_json("line", schema.ENVELOPE).alias("e"))
+    sound = e["id"].isNotNull() & e["sum"].isNotNull() & F.when(e["v"] == 3, e["tree"].isNotNull()).when(e["v"] == 2, e["refs"].isNotNull()).otherwise(False)
+    resp = F.when(e["v"] == 3, e["resp"]).otherwise(F.get(F.filter(e["refs"], lambda x: x["k"] == "r"), F.lit(0))["h"])
+    return rows.where(sound).select("session_id", "pos", e["id"].alias("id"), e["v"].alias("version"), F.when(e["v"] == 2, e["refs"]).alias("refs"), F.when(e["v"] == 3, e["tree"]).alias("tree"), resp.alias("resp"))
+
+
+_LINES = "pos bigint, line string, session_id string"
+
+
+def append(lines: DataFrame, path: str) -> None:
+    """Append ``lines(session_id, pos, line)`` by session; Spark's commit makes a file whole or absent, so nothing is ever torn."""
+    lines.select("session_id", "pos", "line").write.mode("append").partitionBy("session_id").json(path)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """``session_id, pos, line`` of what :func:`append` and :func:`rewrite` wrote; a filter on the session reads its folder alone."""
+    return spark.read.schema(_LINES).json(path).select("session_id", "pos", "line")
+
+
+def rewrite(lines: DataFrame, path: str) -> None:
+    """Replace the log by ``lines``, which may be read from it: written beside it, then swapped by renames."""
+    spark = lines.sparkSession
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    jvm = spark.sparkContext._jvm
+    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
+    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in (new, old):
+        fs.delete(at[p], True)
+    append(lines, new)
+    if fs.exists(at[path]):
+        fs.rename(at[path], at[old])
+    fs.rename(at[new], at[path])
+    fs.delete(at[old], True)
+
+
+def tail_bytes(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataFrame:
+    """``session_id, at, end, line`` of complete lines beyond what was read; ``at`` and ``end`` are byte offsets, and the largest end is the next ``seen``.
+
+    ``seen(session_id, bytes)`` has one row per session at most. Only the bytes beyond it are read; a file that is now shorter
+    was rewritten and is read whole. A torn last line waits for its end.
+    """
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path)
+    files = files.select("path", "length", F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"))
+    if seen is None:
+        files = files.withColumn("from", F.lit(0).cast("long"))
+    else:
+        at = F.coalesce("bytes", F.lit(0)).cast("long")
+        files = files.join(seen.select("session_id", "bytes"), "session_id", "left").withColumn("from", F.when(at > F.col("length"), F.lit(0)).otherwise(at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, session, start in zip(*(c.to_pylist() for c in b.columns)):
+                fs, name = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(name) as f:
+                    f.seek(start)
+                    data = f.read()
+                lines = data.split(b"\n")[:-1]
+                ends, at = [], start
+                for x in lines:
+                    at += len(x) + 1
+                    ends.append(at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([session] * len(lines), pa.string()),
+                        pa.array([e - len(x) - 1 for e, x in zip(ends, lines)], pa.int64()),
+                        pa.array(ends, pa.int64()),
+                        pa.array([x.decode("utf-8", "replace") for x in lines], pa.string()),
+                    ],
+                    names=["session_id", "at", "end", "line"],
+                )
+
+    return files.where(F.col("length") > F.col("from")).select("path", "session_id", "from").mapInArrow(run, "session_id string, at long, end long, line string")

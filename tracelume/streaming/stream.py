@@ -90,13 +90,20 @@ def stream_records(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
 ATTEMPTS = "session_id bigint, provider string, id bigint, attempt int"
 
 
-def stream_attempts(calls: DataFrame, window_ms: int = RETRY_MS) -> DataFrame:
+def stream_attempts(calls: DataFrame, window_ms: int = RETRY_MS, late_ms: int = 86_400_000) -> DataFrame:
     """``attempt`` of each call of a stream of settled calls, per session and provider.
 
     Calls of one micro-batch are taken in order of ``pos``; batches must arrive in that order.
+    Time is the calls' own, ``started_at``: a key whose last call began more than ``window_ms`` before
+    the watermark can have no retry any more, and its state goes. So state is bounded by the keys
+    active within the window and ``late_ms``, whatever has passed through. A call that arrives
+    when the newest of earlier batches began over ``late_ms`` after it is not numbered.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tracker, out = Tracker(window_ms), []
         if state.exists:
             h, attempt, began, ok = state.get
@@ -106,9 +113,12 @@ def stream_attempts(calls: DataFrame, window_ms: int = RETRY_MS) -> DataFrame:
             tracker.settle(c.status == "ok")
         h, attempt, began, _, ok = tracker.state
         state.update((h, attempt, int(began), bool(ok)))
+        # one beyond the window, as a retry at its very end still counts; never behind the watermark
+        state.setTimeoutTimestamp(max(int(began) + window_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["session_id", "provider", "id", "attempt"])
 
-    return calls.groupBy("session_id", "provider").applyInPandasWithState(run, ATTEMPTS, "hash string, attempt int, began bigint, ok boolean", "append", GroupStateTimeout.NoTimeout)
+    timed = calls.withColumn("at", F.timestamp_millis("started_at")).withWatermark("at", f"{max(late_ms, window_ms)} milliseconds")
+    return timed.groupBy("session_id", "provider").applyInPandasWithState(run, ATTEMPTS, "hash string, attempt int, began bigint, ok boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def refresh(calls: DataFrame, splice: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 3) -> StreamingQuery:
