@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelume.plans import log_queries
+from tracelume.plans import log_queries, wire_queries
 
 _CALLS = """
 e as (select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(value * 100) as bigint) + 1 as d from events),
@@ -138,7 +138,7 @@ best as (select session_id, step, max_by(pos, n) as pos from fold group by 1, 2)
         "token_buckets_60m": _buckets(60),
         "token_stack": f"""{_TIME}, o as (select *, list_position(['cacheRead', 'in', 'cacheWrite', 'out'], series) as r from series where series in ('cacheRead', 'in', 'cacheWrite', 'out'))
 select session_id, pos, series, y, case when y is not null then sum(y) over (partition by session_id, pos order by r) end as top from o""",
-        "gap_runs": f"""{_TIME}, g as (select *, sum(case when y is null then 1 else 0 end) over (partition by session_id, series order by x, pos) as gaps from series where series in ('hitRate', 'tps'))
+        "gap_runs": f"""{_TIME}, g as (select *, sum(case when y is null then 1 else 0 end) over (partition by session_id, series order by x, pos) as gaps from series)
 select session_id, series, pos, y, dense_rank() over (partition by session_id, series order by gaps) as run from g where y is not null""",
         "metric_extent": f"{_TIME} select series, min(y) as min_y, max(y) as max_y from series group by 1",
         "bar_columns": f"""with {_CALLS}, s as (select session_id, started_at as x, pos, output_tokens is not null as drawn, row_number() over (partition by session_id order by started_at, pos) - 1 as idx, count(*) over (partition by session_id) as n from calls),
@@ -180,6 +180,15 @@ select call as id, case when prior is null then null when prior > 0 and fresh >
 select call, case when prior is null then 0 else (select count(*) from range(1, least(len(prior), len(messages)) + 1) r(i) where prior[1:i] = messages[1:i]) end as prefix from p""",
         "spans_days": f"with {_CALLS} select session_id, min(started_at // 86400000) <> max(started_at // 86400000) as spans_days from calls group by 1",
         "session_files": r"select c_custkey, regexp_replace(regexp_replace(c_name || '/x:' || c_custkey || '..', '[^a-zA-Z0-9._-]', '_', 'g'), '\.+$', '') || '.jsonl' as file from customer",
+        "lttb_series": f"""with recursive {_TIME.removeprefix('with ')}, s as (select *, row_number() over w - 1 as i, count(*) over (partition by session_id) as n from series where series = 'duration' window w as (partition by session_id order by x, pos)),
+g as (select distinct session_id, n from s where n > 40), edges as (select session_id, k, least(cast(floor(k * ((n - 2) / 30)) as bigint) + 1, n - 1) as lo from g, range(32) r(k)),
+b as (select e.session_id, e.k, e.lo, f.lo as hi, coalesce(avg(s.x), 0) as mx, coalesce(avg(s.y), 0) as my from edges e join edges f on f.session_id = e.session_id and f.k = e.k + 1 join edges h on h.session_id = e.session_id and h.k = e.k + 2
+  left join s on s.session_id = e.session_id and s.i >= f.lo and s.i < h.lo group by all),
+r as (select session_id, -1::bigint as k, 0::bigint as i from g union all
+  select c.session_id, c.k + 1, -max(row(abs((l.x - b.mx) * (p.y - l.y) - (l.x - p.x) * (b.my - l.y)), -p.i))[2]
+  from r c join b on b.session_id = c.session_id and b.k = c.k + 1 join s l on l.session_id = c.session_id and l.i = c.i join s p on p.session_id = c.session_id and p.i >= b.lo and p.i < b.hi group by c.session_id, c.k),
+kept as (select session_id, i from r union select session_id, n - 1 from g union select session_id, arg_min(i, row(y, i)) from s group by 1 union select session_id, arg_min(i, row(-y, i)) from s group by 1)
+select session_id, pos, x, series, y from s where n <= 40 or exists (select 1 from kept k where k.session_id = s.session_id and k.i = s.i)""",
         "formats": f"""with {_CALLS} select id, {_duration('duration_ms')} as duration, {_tokens('input_tokens')} as tokens, {_size('(duration_ms * 999)')} as size,
  strftime(make_timestamp(started_at * 1000), '%Y-%m-%d %H:%M:%S') || ' +00:00' as time from calls""",
         "ledger_rows": f"""with {_STEPS}, {_metrics('stepped')} select id, strftime(make_timestamp(started_at * 1000), '%H:%M:%S') as time,
@@ -187,4 +196,4 @@ select call, case when prior is null then 0 else (select count(*) from range(1,
  case when tps_approx then '≈ ' else '' end || {_or_dash("tps is not null", f"{_sig3('tps')} || ' t/s'")} as speed, {_tokens('billed')} as billed, {_tokens('input_tokens')} as input, {_tokens('cache_read')} as hit,
  {_or_dash("cache_read is not null and billed > 0", f"{_sig3('(cast(cache_read as double) / billed * 100)')} || '%'")} as hit_pct, {_tokens('cache_write')} as "write", {_tokens('output_tokens')} as output, '–/–' as messages from metrics""",
     }
-    return found | log_queries.oracle_sql(_TIME, _LISTS, _STEPS, _CALLS)
+    return found | log_queries.oracle_sql(_TIME, _LISTS, _STEPS, _CALLS) | wire_queries.oracle_sql(_LISTS)

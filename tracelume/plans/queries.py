@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelume.functions import expr, text
 from tracelume.operators import chart, decimate, ledger, maintain, objects, paging, rollup, steps, tree, wire
-from tracelume.plans import log_queries
+from tracelume.plans import log_queries, wire_queries
 from tracelume.sources.driver import calls_from_events, read, turns_as_lists
 from tracelume.streaming import stream
 
@@ -86,7 +86,7 @@ def token_stack(spark, d):
 
 
 def gap_runs(spark, d):
-    return chart.runs(chart.time_series(calls(spark, d)).where("series in ('hitRate', 'tps')")).select("session_id", "series", "pos", "y", F.col("run").cast("long").alias("run"))
+    return chart.runs(chart.time_series(calls(spark, d))).select("session_id", "series", "pos", "y", F.col("run").cast("long").alias("run"))
 
 
 def metric_extent(spark, d):
@@ -254,10 +254,6 @@ def _records(spark, d):
     return c.select("session_id", F.col("call").alias("id"), prev.alias("prev_id"), F.to_json(record).alias("record"))
 
 
-def _wire(protocol: str, side: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _records(spark, d).select("id", wire.wire_json(F.col("record"), F.lit(protocol), side).alias("json"))
-
-
 def wire_chain(spark, d):
     r = wire.with_previous(_records(spark, d))
     out = r.select("id", wire.wire_json(F.col("record"), F.lit("openai-responses"), "request", F.col("previous")).alias("j"))
@@ -303,6 +299,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found += [token_buckets_5m, token_buckets_60m, token_stack, gap_runs, metric_extent, bar_columns, lttb_series, trim_by_bytes, trim_by_count, storage_footprint, piece_dedup, marginal_bytes]
     found += [message_reassembly, packing_order, tree_nodes, tree_resolve, mark_reachable, gc_candidates, pack_candidates, repack_candidates, redact_text, redact_capped, tool_dispatches]
     found += [protocol_detect, wire_usage_totals, wire_chain, chain_prefix, session_files, formats, ledger_rows, spans_days, stream_attempts]
-    shapes = {"anthropic": "anthropic-messages", "chat": "openai-completions", "responses": "openai-responses"}
-    wires = {f"wire_{name}_{side}": _wire(p, side) for name, p in shapes.items() for side in ("request", "response")}
-    return {f.__name__: f for f in found} | wires | log_queries.queries()
+    return {f.__name__: f for f in found} | wire_queries.queries() | log_queries.queries()
