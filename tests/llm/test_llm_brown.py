@@ -9,7 +9,7 @@ import pytest
 
 from tracelume.llm import brown, scratch
 
-HEAD, CORE, CLASSES = 90, 40, 6
+HEAD, CORE, CLASSES, SLOTS = 40, 30, 6, 64
 
 
 def corpus():
@@ -31,16 +31,12 @@ def docs(spark):
 def test_scores_by_plain_python(spark, docs):
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
     tokens = lambda t: [*(t or "").lower().split(), None]
-    train = docs.select(docs.text.cast("binary").alias("b"), brown.held_out("doc_id").alias("h")).where("not h")
-    model, _ = brown.fit(scratch.Scratch(spark), train, HEAD, CORE, CLASSES)
-    place = dict(zip(model.keys.tolist(), range(len(model.keys))))
+    rows = docs.select("doc_id", docs.text.cast("binary").alias("b"), brown.held_out("doc_id").alias("held_out"))
+    model, _, _ = brown.fit(scratch.Scratch(spark), rows, HEAD, CORE, CLASSES, SLOTS)
     count = Counter(t for d, x in corpus() if not held(d) for t in tokens(x))
 
     def cls(t):
-        if t is None:
-            return int(model.classes[len(place)])
-        key = brown.word_key(t.encode())
-        return int(model.classes[place[key] if key in place else len(place) + 1 + (key & 3)])
+        return int(model.classes[model.end if t is None else model.unit(np.array([brown.word_key(t.encode())]))[0]])
 
     n, moves = len(model.transition), Counter()
     for d, x in corpus():
@@ -59,7 +55,7 @@ def test_scores_by_plain_python(spark, docs):
     emit = lambda t: (count[t] + 0.5) / (size[cls(t)] + 0.5 * (kinds[cls(t)] + 1))
     for k in range(n):
         assert sum(emit(t) for t in count if cls(t) == k) + 0.5 / (size[k] + 0.5 * (kinds[k] + 1)) == pytest.approx(1)
-    got = {r.doc_id: r for r in brown.scored(docs, head=HEAD, clustered=CORE, classes=CLASSES).collect()}
+    got = {r.doc_id: r for r in brown.scored(docs, head=HEAD, clustered=CORE, classes=CLASSES, slots=SLOTS).collect()}
     for d, x in corpus():
         k = [cls(None), *map(cls, tokens(x))]
         want = sum(math.log10(p_class[a, b]) + math.log10(emit(t)) for a, b, t in zip(k, k[1:], tokens(x)))
@@ -68,6 +64,20 @@ def test_scores_by_plain_python(spark, docs):
 
 
 def test_classes_lower_perplexity_on_held_out_text(docs):
-    found = {r.held_out: r for r in brown.perplexity(brown.scored(docs, head=HEAD, clustered=CORE, classes=CLASSES)).collect()}
+    found = {r.held_out: r for r in brown.perplexity(brown.scored(docs, head=HEAD, clustered=CORE, classes=CLASSES, slots=SLOTS)).collect()}
     assert found[True].n_tokens > 500 and found[True].perplexity < 0.6 * found[True].base_perplexity
     assert found[False].perplexity <= found[True].perplexity
+
+
+def test_every_word_joins_its_kind(spark):
+    """Of four kinds of words that follow each other, those outside the exchange, in the head or hashed, join the class of their kind."""
+    r = np.random.default_rng(7)
+    kinds = [[f"{k}{j}" for j in range(40)] for k in "abcd"]
+    weights = 1 / (1 + np.arange(40))
+    rows = [(k, " ".join(kinds[j % 4][r.choice(40, p=weights / weights.sum())] for j in range(120))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = docs.select("doc_id", docs.text.cast("binary").alias("b"), brown.held_out("doc_id").alias("held_out"))
+    model, _, _ = brown.fit(scratch.Scratch(spark), some, 100, 40, 4, 1 << 16)
+    of = {w: int(model.classes[model.unit(np.array([brown.word_key(w.encode())]))[0]]) for k in kinds for w in k}
+    most = [Counter(of[w] for w in k).most_common(1)[0] for k in kinds]
+    assert len({c for c, _ in most}) == 4 and all(n >= 38 for _, n in most)

@@ -128,7 +128,7 @@ def test_contamination_matches_brute_force(spark, docs, none):
 
 
 def test_base_scores_and_a_better_model(docs, none):
-    found = brown.scored(docs, head=60, clustered=30, classes=5).collect()
+    found = brown.scored(docs, head=60, clustered=30, classes=5, slots=256).collect()
     rows = corpus()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
     tokens_of = lambda x: [*(x or "").encode().lower().split(), None]
