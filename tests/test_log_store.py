@@ -108,3 +108,33 @@ def test_retry_state_expires(spark, tmp_path):
     got = {r.id: r.attempt for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: 1, 2: 1, 11: 2, 23: 1, 34: 1, 41: 1}
     assert found[1] == 2 and found[-1] <= 3  # the keys of the first day are gone
+
+
+def test_migrated_records_are_whole(spark):
+    """A record of the first version comes back from its envelope, tree and pieces; one of the second keeps its references."""
+    import json
+
+    from tracelume.sources import migrate
+
+    said = [{"role": "user", "content": [{"type": "text", "text": f"m{k}"}]} for k in range(3)]
+    record = lambda k: {"schema": 1, "id": f"a{k}", "sessionId": "s", "provider": "p", "model": "m", "requestHash": f"h{k}", "attempt": 1, "reasoningEffort": "high", "timing": {"startedAt": k, "endedAt": 9}, "request": {"system": "sys", "messages": said[: k + 1], "tools": [{"name": "t"}]}, "response": {"blocks": [{"type": "text", "text": f"r{k}"}], "finish": {"kind": "stop"}, "chunkCount": 1}, "status": "ok"}
+    h = {k: k * 64 for k in "abc"}
+    second = {"v": 2, "id": "b", "sessionId": "s", "provider": "p", "model": "m", "requestHash": "h", "attempt": 1, "timing": {"startedAt": 5}, "status": "ok", "sum": {"messageCount": 1}, "refs": [{"k": "s", "h": h["a"], "z": 3}, {"k": "m", "h": h["b"], "z": 4}, {"k": "r", "h": h["c"], "z": 5}]}
+    lines = spark.createDataFrame([("s", k, json.dumps(x)) for k, x in enumerate([record(0), record(1), record(2), second])] + [("s", 4, "{broken")], "session_id string, pos long, line string")
+    moved, stored, nodes = migrate.migrate(lines, 1)
+    before, after = (sorted(map(tuple, log.calls(x).drop("line_bytes", "object_bytes", "version").collect()), key=str) for x in (lines, moved))
+    assert before == after and len(after) == 4
+    assert all(json.loads(r.line)["v"] == 3 for r in moved.collect()) and json.loads(moved.where("pos = 1").first().line)["reasoningEffort"] == "high"
+    pieces = stored.select("hash", "body").union(spark.createDataFrame([(h["a"], "A"), (h["b"], "B"), (h["c"], "C")], "hash string, body string"))
+    got = {r.id: r for r in objects.detail(log.envelopes(moved), nodes, pieces).collect()}
+    for k in range(3):
+        r = got[f"a{k}"]
+        assert r.complete and r.system == "sys" and json.loads(r.tools) == [{"name": "t"}] and [json.loads(m) for m in r.messages] == said[: k + 1]
+        assert json.loads(r.response) == record(k)["response"]
+    assert tuple(got["b"])[3:] == ("A", None, ["B"], "C", True)
+
+
+def test_points_for_a_width():
+    from tracelume.operators import decimate
+
+    assert [decimate.points_for(w) for w in (0, 100, 160, 161, 401)] == [80, 80, 80, 81, 201]

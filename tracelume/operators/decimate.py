@@ -32,6 +32,11 @@ def keep(x: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
     return np.unique(kept)
 
 
+def points_for(width: float) -> int:
+    """Points that a line of a plot so wide is thinned to: one for two pixels, and 80 at least."""
+    return max(80, int(np.floor(width / 2 + 0.5)))
+
+
 def decimate(points: DataFrame, buckets: int, over: int = 200) -> DataFrame:
     """``points(session_id, pos, x, series, y)`` with long series thinned; those of ``over`` points or fewer stay.
 

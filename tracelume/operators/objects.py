@@ -71,7 +71,8 @@ def packing_order(lists: DataFrame) -> DataFrame:
     spark = lists.sparkSession
     firsts = lists.select("at", "seq", F.posexplode("hashes").alias("pos", "hash")).groupBy("hash").agg(F.min(F.struct("at", "seq", "pos")).alias("f"))
     ordered = firsts.select("hash", "f.*").orderBy("at", "seq", "pos").withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    ordered = ordered.select("hash", "_part", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")).persist()
+    ordered = ordered.select("hash", "_part", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    ordered = tree.checkpointed(ordered)
     sizes = sorted((r._part, r.n) for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect())
     before, rows = 0, []
     for part, n in sizes:

@@ -47,7 +47,7 @@ def build_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
     return out.withColumns({"parent": parent, "own": F.when(F.col("kind") == "delta", rest).otherwise(F.col("entries"))}).drop("_prev", "_up")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that all executors share: plans do not grow, and a lost executor costs its tasks only."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -67,11 +67,11 @@ def resolve(roots: DataFrame, nodes: DataFrame, walk: int = WALK) -> DataFrame:
     that points, so there are as many rounds as ``walk`` has bits, whatever the size of the store.
     """
     at = nodes.groupBy("hash").agg(F.any_value(F.struct("parent", "entries")).alias("n")).select("hash", F.col("n.parent").alias("up"), F.col("n.entries").alias("entries"), F.lit(1).alias("hops"))
-    at = _checkpointed(at)
+    at = checkpointed(at)
     for _ in range(max(0, walk - 1).bit_length()):
         ahead = at.select(F.col("hash").alias("up"), F.col("up").alias("next"), F.col("entries").alias("before"), F.col("hops").alias("more"))
         far = at.join(ahead, "up", "left").where(F.col("up").isNull() | F.col("more").isNotNull())
-        at = _checkpointed(
+        at = checkpointed(
             far.select("hash", F.col("next").alias("up"), F.when(F.col("more").isNull(), F.col("entries")).otherwise(F.concat("before", "entries")).alias("entries"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
             .where(F.col("hops") <= walk)
         )
@@ -84,10 +84,10 @@ def reachable(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     A frontier join per level over what is new; each level is written to the session's
     checkpoint folder so that plans do not grow.
     """
-    seen = front = _checkpointed(roots.select("hash").distinct())
+    seen = front = checkpointed(roots.select("hash").distinct())
     while not front.isEmpty():
         up = front.join(nodes, "hash").where("parent is not null").select(F.col("parent").alias("hash")).distinct()
-        front = _checkpointed(up.join(seen, "hash", "left_anti"))
+        front = checkpointed(up.join(seen, "hash", "left_anti"))
         seen = seen.union(front)
     return seen
 

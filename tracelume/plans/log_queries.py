@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelume import service
 from tracelume.functions import expr
 from tracelume.operators import chart, ledger, maintain, objects, paging, tree
-from tracelume.sources import log
+from tracelume.sources import log, migrate
 from tracelume.sources.driver import calls_from_events, read, turns_as_lists
 
 #: A tool call's program, as its arguments have it.
@@ -69,6 +69,21 @@ def log_calls(spark, d):
     return c.drop("line_bytes", "reasoning_tokens").withColumns({"called_tools": expr.x_label(F.col("called_tools")), "tool_names": F.array_join("tool_names", ",")})
 
 
+def log_migrated(spark, d):
+    """The list projection of the same log once all lines are of the latest version."""
+    lines = log_lines(spark, d)
+    moved, _, _ = migrate.migrate(lines)
+    c = log.calls(moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line")))
+    return c.drop("line_bytes", "reasoning_tokens", "object_bytes").withColumns({"called_tools": expr.x_label(F.col("called_tools")), "tool_names": F.array_join("tool_names", ",")})
+
+
+def migration_batch(spark, d):
+    """Sessions that one cycle brings to the latest version."""
+    c = calls_from_events(read(spark, d, "events"))
+    s = c.groupBy("session_id").agg((F.count_if(F.col("status") == "error") % 3).alias("failures"), F.max("started_at").alias("mtime_ms"), (F.count("*") * 100).alias("bytes"))
+    return migrate.batch(s, 30_000)
+
+
 def log_legacy(spark, d):
     """Lines that are yet to be brought to the latest version."""
     return log.legacy(log_lines(spark, d)).groupBy("session_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -202,7 +217,7 @@ def sweep_status(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [log_calls, log_legacy, log_referenced, log_tail, log_append, ledger_sums, failures_first, reconcile_pages, request_hashes, home_paths, utf16_lengths, visible_stack, call_lookup, session_page, call_detail, object_census, sweep_status]
+    found = [log_calls, log_migrated, migration_batch, log_legacy, log_referenced, log_tail, log_append, ledger_sums, failures_first, reconcile_pages, request_hashes, home_paths, utf16_lengths, visible_stack, call_lookup, session_page, call_detail, object_census, sweep_status]
     return {f.__name__: f for f in found}
 
 
@@ -223,13 +238,15 @@ def oracle_sql(time_series: str, lists: str, steps: str, calls: str) -> dict[str
     """The same queries in SQL; the arguments are the common parts of the other queries' SQL."""
     v = lambda a, b, c: f"case when event_id % 3 = 0 then {a} when event_id % 3 = 1 then {b} else {c} end"
     u = lambda x: f"case when ok then {x} end"
-    return {
+    found = {
         "log_calls": f"""with {_EVENTS} select session_id, cast(pos as bigint) as pos, cast(event_id as varchar) as id, {v(1, 2, 3)} as version,
   case when event_type = 'signup' then 'session-title' end as purpose, 'p' || (k % 2) as provider, 'm' || (k % 3) as model, user_id || '-' || (k % 7) as request_hash, 1 as attempt, began as started_at, d as duration_ms,
   cast(floor(d * (k % 10) / 10) as bigint) as ttfb_ms, case when ok then 'ok' else 'error' end as status, {u('k * 10')} as input_tokens, {u('k + 1')} as output_tokens, case when ok and k % 5 <> 0 then k * 90 end as cache_read,
   case when ok and k % 4 = 0 then k * 3 end as cache_write, ok as has_usage, case when ok then 'stop' else 'error' end as finish_kind, case when not ok then 'bad m' || (k % 3) end as finish_message,
   {v('2', 'event_id % 9', 'event_id % 9')} as message_count, {v('3 + 2 + 4', 'event_id % 1000', 'event_id % 1000')} as request_chars, {v('4', '2', '2')}::bigint as tool_calls,
   {v("'read ×2 · list · p' || (k % 2)", "'read ×2'", "'read ×2'")} as called_tools, {v("'run_code,read'", "'read'", "'read'")} as tool_names, {v('0', '7 + event_id % 100', 'event_id % 50')}::bigint as object_bytes from lines""",
+        "migration_batch": f"""with {calls}, s as (select session_id, count(*) filter (where status = 'error') % 3 as failures, max(started_at) as mtime_ms, count(*) * 100 as bytes from calls group by 1)
+select session_id, failures, mtime_ms, bytes from s qualify coalesce(sum(bytes) over (order by failures, mtime_ms desc, session_id rows between unbounded preceding and 1 preceding), 0) < 30000""",
         "log_legacy": f"with {_EVENTS} select session_id, count(*) as n, min(pos) as first, max(pos) as last from every where v <> 2 group by 1",
         "log_referenced": f"""with {_EVENTS}, h as (select sha256('s' || event_id) as hash, false as is_tree from lines where event_id % 3 = 1 union all select sha256('m' || event_id), false from lines where event_id % 3 = 1
   union all select sha256(cast(event_id as varchar)), true from lines where event_id % 3 = 2) select hash, bool_or(is_tree) as is_tree from h group by 1""",
@@ -260,3 +277,5 @@ r as (select bytes from r0 where case when bytes >= 20000 then alive / entries <
 select 'live' as step, count(*) as rows, cast(coalesce(sum(bytes), 0) as bigint) as bytes from o where alive union all select 'missing', 0, 0 union all select 'collect', count(*), coalesce(sum(bytes), 0)::bigint from g
 union all select 'pack', count(*), coalesce(sum(bytes), 0)::bigint from pk union all select 'repack', count(*), coalesce(sum(bytes), 0)::bigint from r""",
     }
+    found["log_migrated"] = f"select * exclude (object_bytes) replace (3 as version) from ({found['log_calls']})"
+    return found
