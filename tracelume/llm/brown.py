@@ -193,8 +193,8 @@ def count_pairs(texts: DataFrame, held, of: str, size: int) -> DataFrame:
 
 def _square(pairs: DataFrame, size: int) -> np.ndarray:
     """A table of at most ``size`` squared rows as a matrix."""
-    found, out = pairs.toPandas(), np.zeros(size * size)
-    out[found.pair.to_numpy(np.int64)] = found.c.to_numpy(np.float64)
+    found, out = pairs.toArrow(), np.zeros(size * size)
+    out[found["pair"].to_numpy()] = found["c"].to_numpy()
     return out.reshape(size, size)
 
 
@@ -315,10 +315,10 @@ def fit(scratch: Scratch, rows: DataFrame, head: int = HEAD, clustered: int = CL
     train = rows.where("not held_out")
     counts = scratch.table(count_words(train), "counts")
     end = train.count()
-    top = counts.where(F.col("c") >= SEEN).orderBy(F.desc("c"), "key").limit(head).toPandas()  # bounded by ``head``
+    top = counts.where(F.col("c") >= SEEN).orderBy(F.desc("c"), "key").limit(head).toArrow()  # bounded by ``head``; in columns, as rows of Python take several times that
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    order = np.argsort(top.key.to_numpy(np.int64), kind="stable")
-    keys, c = top.key.to_numpy(np.int64)[order], top.c.to_numpy(np.int64)[order]
+    order = np.argsort(top["key"].to_numpy(), kind="stable")
+    keys, c = top["key"].to_numpy()[order], top["c"].to_numpy()[order]
     model = Model(keys, c, order, end, (n or 0) + end, v + (end > 0), min(clustered, len(keys)), slots)
     texts = scratch.table(encoded(rows, send(model)), "encoded")
     learn = texts.where("not held_out")
@@ -333,9 +333,9 @@ def fit(scratch: Scratch, rows: DataFrame, head: int = HEAD, clustered: int = CL
     k = int(of[m])
     if k:  # every other unit by its neighbours
         g = _square(count_pairs(learn, send(model), "classes", k + 1), k + 1)
-        found = assigned(learn, send((model, model.classes)), model.classes, g, k).toPandas()  # bounded by the units
+        found = assigned(learn, send((model, model.classes)), model.classes, g, k).toArrow()  # bounded by the units
         model.classes = model.classes.copy()
-        model.classes[found.unit.to_numpy(np.int64)] = found["class"].to_numpy(np.int16)
+        model.classes[found["unit"].to_numpy()] = found["class"].to_numpy().astype(np.int16)
     model.classes[model.classes < 0] = k + 1
     g = _square(count_pairs(learn, send(model), "classes", k + 2), k + 2)
     model.transition = np.log10(smoothed(g)[0])
