@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelume.llm import brown, decontaminate, factorization, line_dedup, mixing, quality_rules, scratch, simhash, tokens, tool_calls, warc
+from tracelume.llm import brown, decontaminate, factorization, line_dedup, mixing, quality_rules, scratch, simhash, suffixes, tokens, tool_calls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posteriors, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(_read(spark, sf_dir, "documents"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_factorization": op9_factorization,
         "op10_mixing": op10_mixing,
+        "op11_suffixes": op11_suffixes,
     }
 
 
