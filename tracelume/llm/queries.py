@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelume.llm import brown, decontaminate, factorization, line_dedup, mixing, quality_rules, scratch, simhash, suffixes, tokens, tool_calls, warc
+from tracelume.llm import brown, decontaminate, factorization, hard_negatives, line_dedup, mixing, quality_rules, scratch, simhash, suffixes, tokens, tool_calls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +86,12 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(_read(spark, sf_dir, "documents"), digests=True)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -99,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_factorization": op9_factorization,
         "op10_mixing": op10_mixing,
         "op11_suffixes": op11_suffixes,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -155,5 +162,17 @@ select page_id, host, len(lines)::bigint as n_lines, coalesce(n_kept, 0)::bigint
 """
 
 
+_OP13 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (select p.anchor_id, p.other as positive_id, s.other as negative_id, p.score as positive_score, s.score as negative_score,
+  row_number() over (partition by p.anchor_id, p.other order by s.score desc, s.other)::int as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op5_tool_calls": _OP5, "op6_site_lines": _OP6, "op8_warc": _OP8}
+    return {"op2_decontaminate": _OP2, "op5_tool_calls": _OP5, "op6_site_lines": _OP6, "op8_warc": _OP8, "op13_hard_negatives": _OP13}
