@@ -35,7 +35,7 @@ from tracelume.llm.scratch import Scratch, new_path
 
 WIDTH, DEPTH = 50, 24
 #: Bytes of text in a block, and of text for each shard of the index.
-BLOCK, SHARD = 4 << 20, 24 << 20
+BLOCK, SHARD = 4 << 20, 12 << 20
 #: Suffixes in a batch at least, and documents with a suffix from which on its segments are cut up.
 BATCH, HOT = 1 << 17, 1 << 14
 _WORDS = DEPTH // 8
@@ -271,7 +271,7 @@ def _home(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
     """Rows of each shard in turn, of batches that are sorted by shard."""
-    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+    rows = (tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows))
     yield from groupby(rows, key=lambda r: r[0])
 
 
@@ -315,7 +315,7 @@ def _index(arrays: DataFrame, shards: int, hot: int) -> DataFrame:
                 b = _pack(((c > 1).astype(np.uint8) + (c > hot)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, block, len(slots), b), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "block", "n", "b"])
 
-    return arrays.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, _SCHEMA)
+    return arrays.repartitionById(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, _SCHEMA)
 
 
 def _segments(table: DataFrame, shards: int, width: int) -> DataFrame:
@@ -370,15 +370,29 @@ def _segments(table: DataFrame, shards: int, width: int) -> DataFrame:
 
 def _fingerprints(buf: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of the ``width``-byte strings at ``at``."""
-    words = _words(buf)
-    a = b = np.zeros(len(at), np.uint64)
-    for k, j in enumerate([*range(0, width - 8, 8), width - 8]):
-        w = words[at + j].astype(np.uint64)
-        a = _mix(a + w * _M[k % 7])
-        b = _mix((b ^ w) * _M[(k + 3) % 7] + _M[k % 7])
+    words, piece = _words(buf), 1 << 14
+    a, b = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), piece):  # what a cache holds at a time
+        some, x, y = at[lo : lo + piece], np.uint64(0), np.uint64(0)
+        for k, j in enumerate([*range(0, width - 8, 8), width - 8]):
+            w = _mix(words[some + j].astype(np.uint64) * _M[k % 7])
+            x, y = x * _M[4] + w, y * _M[5] + (w ^ (w >> np.uint64(31)))
+        a[lo : lo + piece], b[lo : lo + piece] = _mix(x), y
     return a, b
 
 
+def _least(h: np.ndarray, g: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The smallest owner of each fingerprint, in place of each."""
+    order = np.argsort(h)
+    if (g[order[1:]] != g[order[:-1]])[h[order[1:]] == h[order[:-1]]].any():  # equal halves of different prints
+        order = np.lexsort((g, h))
+    x, y = h[order], g[order]
+    start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    out = np.empty_like(owner)
+    out[order] = np.repeat(np.minimum.reduceat(owner[order], start), np.diff(np.r_[start, len(owner)]))
+    return out
+
+
 def _repeats(segments: DataFrame, shards: int, width: int) -> DataFrame:
     """``block, n, b``: starts of the strings of segments that a smaller id has."""
 
@@ -399,11 +413,7 @@ def _repeats(segments: DataFrame, shards: int, width: int) -> DataFrame:
             h, g = _fingerprints(buf, np.concatenate(place), width)
             del place
             owner = np.concatenate([p[2] for p in parts])
-            order = np.lexsort((owner, g, h))
-            fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
-            least = owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            again = np.empty(len(owner), bool)
-            again[order] = owner[order] > least
+            again = owner > _least(h, g, owner)
             at = 0
             for block, start, _ in parts:
                 hit = np.sort(start[again[at : at + len(start)]])
@@ -413,7 +423,7 @@ def _repeats(segments: DataFrame, shards: int, width: int) -> DataFrame:
                     n = np.diff(np.r_[cut, len(hit)])
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, len(cut), _pack(hit[cut], n)), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "n", "b"])
 
-    dealt = segments.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    dealt = segments.where("shard >= 0").repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(run, "block long, n int, b binary")
 
 
