@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelume.llm import brown, decontaminate, factorization, hard_negatives, line_dedup, mixing, quality_rules, scratch, simhash, suffixes, tokens, tool_calls, warc
+from tracelume.llm import brown, decontaminate, factorization, hard_negatives, line_dedup, mixing, quality_rules, runs, scratch, simhash, suffixes, text, tokens, tool_calls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +86,30 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(_read(spark, sf_dir, "documents"), digests=True)
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = text.crc32_text(F.col("doc_id"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = F.col("g") % n
+        p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+        from_ = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(from_, lambda i: F.get(w, i)), " "))
+
+    whole = F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), text.let(text.words(F.col("text")), repeated)).otherwise(F.col("text"))
+    found = runs.with_runs(docs.select("doc_id", whole.alias("text")))
+    better = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # runs are in order of start, then period, so a later one must be better
+    top = F.aggregate("runs", none, lambda x, y: F.when(x.isNull() | better(y, x), y).otherwise(x))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period"))
+    return out.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -105,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_factorization": op9_factorization,
         "op10_mixing": op10_mixing,
         "op11_suffixes": op11_suffixes,
+        "op12_runs": op12_runs,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
