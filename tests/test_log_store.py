@@ -1,10 +1,12 @@
 """Log files, trees and records: tails by byte, rewrites, chains, incomplete marks, lost pieces; formats as columns; state that expires."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracelume import schema
 from tracelume.functions import text
 from tracelume.operators import maintain, objects, tree
 from tracelume.sources import log
@@ -82,13 +84,14 @@ def test_incomplete_marks_collect_nothing(spark):
 
 def test_records_with_lost_pieces(spark):
     h = {k: k * 64 for k in "abcdef"}
-    envelopes = [("s", "1", 2, [("s", h["a"]), ("m", h["b"]), ("m", h["c"])], None, h["d"]), ("s", "2", 3, None, h["e"], None), ("s", "3", 3, None, h["f"], h["c"]), ("s", "4", 2, [], None, None)]
-    e = spark.createDataFrame(envelopes, "session_id string, id string, version int, refs array<struct<k:string,h:string>>, tree string, resp string")
+    envelopes = [("s", 1, "1", 2, [("s", h["a"]), ("m", h["b"]), ("m", h["c"])], None, h["d"], None), ("s", 2, "1", 3, None, h["e"], None, (0.5, 9, ["x"])), ("s", 3, "3", 3, None, h["f"], h["c"], None), ("s", 4, "4", 2, [], None, None, None)]
+    e = spark.createDataFrame(envelopes, f"session_id string, pos long, id string, version int, refs array<struct<k:string,h:string>>, tree string, resp string, opts {schema.OPTIONS}")
     nodes = spark.createDataFrame([(h["e"], None, [f"s:{h['a']}", f"t:{h['b']}", f"m:{h['b']}"])], "hash string, parent string, entries array<string>")
-    stored = spark.createDataFrame([(h["a"], "A"), (h["b"], "B"), (h["d"], "D")], "hash string, body string")
-    got = {r.id: tuple(r)[3:] for r in objects.detail(e, nodes, stored).collect()}
+    stored = spark.createDataFrame([(h["a"], '"A"'), (h["b"], "B"), (h["d"], "D")], "hash string, body string")
+    got = {r.pos: tuple(r)[4:9] for r in objects.detail(e, nodes, stored).collect()}
     lost = f'{{"$unavailable":"{h["c"]}"}}'
-    assert got == {"1": ("A", None, ["B", lost], "D", False), "2": ("A", "B", ["B"], None, True), "3": (None, None, [], lost, False), "4": (None, None, [], None, True)}
+    assert got == {1: ("A", None, ["B", lost], "D", False), 2: ("A", "B", ["B"], None, True), 3: (None, None, [], lost, False), 4: (None, None, [], None, True)}
+    assert {r.pos: r.opts and tuple(r.opts) for r in objects.detail(e, nodes, stored).collect()} == {1: None, 2: (0.5, 9, ["x"]), 3: None, 4: None}
 
 
 def test_retry_state_expires(spark, tmp_path):
@@ -116,25 +119,100 @@ def test_migrated_records_are_whole(spark):
 
     from tracelume.sources import migrate
 
-    said = [{"role": "user", "content": [{"type": "text", "text": f"m{k}"}]} for k in range(3)]
-    record = lambda k: {"schema": 1, "id": f"a{k}", "sessionId": "s", "provider": "p", "model": "m", "requestHash": f"h{k}", "attempt": 1, "reasoningEffort": "high", "timing": {"startedAt": k, "endedAt": 9}, "request": {"system": "sys", "messages": said[: k + 1], "tools": [{"name": "t"}]}, "response": {"blocks": [{"type": "text", "text": f"r{k}"}], "finish": {"kind": "stop"}, "chunkCount": 1}, "status": "ok"}
+    said = [{"role": "user", "content": [{"type": "text", "text": f"m{k} \\\\uD83D\\uDE00 é😀\\\\"}]} for k in range(3)]
+    record = lambda k: {"schema": 1, "id": f"a{k}", "sessionId": "s", "provider": "p", "model": "m", "requestHash": f"h{k}", "attempt": 1, "reasoningEffort": "high", "timing": {"startedAt": k, "endedAt": 9}, "request": {"system": "sys", "messages": said[: k + 1], "tools": [{"name": "t"}], **({"temperature": 0.25, "maxTokens": 7, "stop": ["z", "a"]} if k else {})}, "response": {"blocks": [{"type": "text", "text": f"r{k}"}], "finish": {"kind": "stop"}, "chunkCount": 1}, "status": "ok"}
     h = {k: k * 64 for k in "abc"}
-    second = {"v": 2, "id": "b", "sessionId": "s", "provider": "p", "model": "m", "requestHash": "h", "attempt": 1, "timing": {"startedAt": 5}, "status": "ok", "sum": {"messageCount": 1}, "refs": [{"k": "s", "h": h["a"], "z": 3}, {"k": "m", "h": h["b"], "z": 4}, {"k": "r", "h": h["c"], "z": 5}]}
-    lines = spark.createDataFrame([("s", k, json.dumps(x)) for k, x in enumerate([record(0), record(1), record(2), second])] + [("s", 4, "{broken")], "session_id string, pos long, line string")
+    second = {"v": 2, "id": "b", "sessionId": "s", "provider": "p", "model": "m", "requestHash": "h", "attempt": 1, "timing": {"startedAt": 5}, "status": "ok", "sum": {"messageCount": 1}, "opts": {"maxTokens": 3}, "refs": [{"k": "s", "h": h["a"], "z": 3}, {"k": "m", "h": h["b"], "z": 4}, {"k": "r", "h": h["c"], "z": 5}]}
+    lines = spark.createDataFrame([("s", k, json.dumps(x, separators=(",", ":"), ensure_ascii=False)) for k, x in enumerate([record(0), record(1), record(2), second])] + [("s", 4, "{broken")], "session_id string, pos long, line string")
     moved, stored, nodes = migrate.migrate(lines, 1)
     before, after = (sorted(map(tuple, log.calls(x).drop("line_bytes", "object_bytes", "version").collect()), key=str) for x in (lines, moved))
     assert before == after and len(after) == 4
     assert all(json.loads(r.line)["v"] == 3 for r in moved.collect()) and json.loads(moved.where("pos = 1").first().line)["reasoningEffort"] == "high"
+    said_of = lambda x: {hashlib.sha256(json.dumps(y, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for y in x}
+    mine = {r.hash for r in stored.where("k <> 'n'").collect()}
+    assert mine == said_of(["sys", [{"name": "t"}], *said, *[record(k)["response"] for k in range(3)]])  # as the writer hashed them
+    assert {r.hash for r in tree.read_nodes(stored).collect()} == {r.hash for r in nodes.collect()} == {r.hash for r in stored.where("k = 'n'").collect()}
     pieces = stored.select("hash", "body").union(spark.createDataFrame([(h["a"], "A"), (h["b"], "B"), (h["c"], "C")], "hash string, body string"))
     got = {r.id: r for r in objects.detail(log.envelopes(moved), nodes, pieces).collect()}
     for k in range(3):
         r = got[f"a{k}"]
         assert r.complete and r.system == "sys" and json.loads(r.tools) == [{"name": "t"}] and [json.loads(m) for m in r.messages] == said[: k + 1]
         assert json.loads(r.response) == record(k)["response"]
-    assert tuple(got["b"])[3:] == ("A", None, ["B"], "C", True)
+        assert r.opts is None if not k else tuple(r.opts) == (0.25, 7, ["z", "a"])
+    assert tuple(got["b"])[4:9] == ("A", None, ["B"], "C", True) and tuple(got["b"].opts) == (None, 3, None)
 
 
 def test_points_for_a_width():
     from tracelume.operators import decimate
 
     assert [decimate.points_for(w) for w in (0, 100, 160, 161, 401)] == [80, 80, 80, 81, 201]
+
+
+def test_a_node_hashes_to_its_key(spark):
+    """Hashes follow from each other along a chain, and what is stored reads back."""
+    h = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    lists, want, last = [], {}, None
+    sizes = [1, 2, 2, 3, 5, 6, 7, 8, 2, 3, 3]
+    for k, n in enumerate(sizes):
+        entries = [f"{'sm'[x > 0]}:{h(x)}" for x in range(n)]
+        lists.append(("s", k, entries))
+        grows = last is not None and entries[: len(last[0])] == last[0]
+        if grows and len(entries) == len(last[0]):
+            want[k] = last[1]
+            continue
+        delta = grows and last[2] < 3
+        own = entries[len(last[0]) :] if delta else entries
+        said = '{"t":3' + (f',"p":"{last[1]}"' if delta else "") + ',"e":[' + ",".join(f'{{"k":"{x[0]}","h":"{x[2:]}"}}' for x in own) + "]}"
+        last = (entries, hashlib.sha256(said.encode()).hexdigest(), last[2] + 1 if delta else 0)
+        want[k] = last[1]
+    built = tree.build_nodes(spark.createDataFrame(lists, "session_id string, pos long, entries array<string>"), 3)
+    assert {r.pos: r.hash for r in built.collect()} == want
+    stored = tree.stored_nodes(built)
+    assert stored.count() == len(set(want.values()))
+    back = tree.resolve(built.select(F.col("pos").alias("call"), "hash"), tree.read_nodes(stored))
+    assert {r.call: r.entries for r in back.collect()} == {k: e for _, k, e in lists}
+    broken = stored.withColumn("body", F.when(F.col("hash") == want[0], "{}").otherwise(F.col("body")))
+    assert tree.read_nodes(broken).count() == stored.count() - 1
+
+
+def test_one_chain_is_read_alone(spark, tmp_path):
+    """Few roots walk their chains, many double; a walk over a large store reads what the chain names and writes nothing."""
+    name = lambda s, k: hashlib.sha256(f"{s}/{k}".encode()).hexdigest()
+    rows = [(name(s, k), name(s, k - 1) if k else None, [f"m:{s}/{k}"]) for s in range(400) for k in range(20)]
+    written = spark.createDataFrame(rows, "hash string, parent string, entries array<string>").repartitionByRange(40, "hash").sortWithinPartitions("hash")
+    written.write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    roots = spark.createDataFrame([(1, name(7, 19)), (2, name(9, 4)), (3, None), (4, "none")], "call long, hash string")
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    seen = len(list(tmp_path.parent.rglob("rdd-*")))
+    few, many = ({r.call: r.entries for r in tree.resolve(roots, nodes, few=n).collect()} for n in (64, 0))
+    assert few == many == {1: [f"m:7/{k}" for k in range(20)], 2: [f"m:9/{k}" for k in range(5)], 3: None, 4: None}
+    assert before is not None or seen == len(list(tmp_path.parent.rglob("rdd-*")))
+    chain = tree._walked(roots.where("hash is not null"), nodes, 64)
+    assert chain.count() == 20 + 5 + 1
+    plan = nodes.where(F.col("hash").isin([name(7, 19)]))
+    assert "PushedFilters: [In" in plan._jdf.queryExecution().toString() or "EqualTo(hash" in plan._jdf.queryExecution().toString()
+
+
+def test_reached_by_doubling(spark):
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(100)] + [("x", "y"), ("y", "x"), ("z", "gone")]
+    nodes = spark.createDataFrame(rows, "hash string, parent string")
+    got = lambda *r: {x.hash for x in tree.reachable(spark.createDataFrame([(h,) for h in r], "hash string"), nodes).collect()}
+    assert got("n99") == {f"n{k}" for k in range(100)} and got("n3", "x", "z", None) == {"n0", "n1", "n2", "n3", "x", "y", "z", "gone"} and got("alone") == {"alone"}
+
+
+def test_packing_takes_what_reaches_the_budget(spark):
+    o = spark.createDataFrame([(f"o{k}", 10, 0) for k in range(6)], "hash string, bytes long, mtime_ms long")
+    live, ranks = o.select("hash"), spark.createDataFrame([(f"o{k}", k + 1) for k in range(6)], "hash string, rank long")
+    took = lambda budget: sorted(r.hash for r in maintain.pack_candidates(o, live, ranks, 1, budget).collect())
+    assert [len(took(b)) for b in (0, 5, 10, 11, 25, 60, 99)] == [1, 1, 1, 2, 3, 6, 6]
+    entries = spark.createDataFrame([("small", f"o{k}", 10) for k in range(4)] + [("small", f"d{k}", 10) for k in range(6)] + [("half", f"o{k}", 10) for k in range(3)] + [("half", f"d{k}", 10) for k in range(3)], "pack string, hash string, bytes long")
+    assert [r.pack for r in maintain.repack_candidates(entries, live).collect()] == ["small"]
+
+
+def test_failures_are_redacted(spark):
+    said = '{"message":"Incorrect API key provided: sk-abcdefgh12345678","code":"401","status":401}'
+    rows = [("a", 0, 1, "finish", None, None, "error", said), ("a", 1, 2, "end", None, None, None, None), ("b", 0, 1, "finish", None, None, "error", "Bearer abcdefghijkl"), ("c", 0, 1, "x", None, None, None, None)]
+    got = {r.call: r.failure for r in stream.fold_chunks(spark.createDataFrame(rows, stream.CHUNKS)).collect()}
+    assert got["a"] == '{"message":"Incorrect API key provided: <redacted>","code":"401","status":401}' and got["b"] == "<redacted>"
+    assert got["c"] == '{"message":"stream closed before finish","code":"ABORTED"}'

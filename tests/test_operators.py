@@ -149,7 +149,7 @@ def test_maintenance(spark):
     assert [r.hash for r in maintain.garbage(o, live, 9_000_000).collect()] == ["b"] and maintain.garbage(o, live, 9_000_000, complete=False).count() == 0
     ranks = spark.createDataFrame([("d", 1)], "hash string, rank long")
     assert [r.hash for r in maintain.pack_candidates(o, live, ranks, 1, 100).collect()] == ["d"]  # one at least
-    assert sorted(r.hash for r in maintain.pack_candidates(o, live, ranks, 1, 510).collect()) == ["a", "d"]
+    assert sorted(r.hash for r in maintain.pack_candidates(o, live, ranks, 1, 501).collect()) == ["a", "d"]
     lines = spark.createDataFrame([("s", k, b) for k, b in enumerate((5, 5, 100, 5, 5))], "session_id string, pos long, bytes long")
     assert sorted(r.pos for r in maintain.trim_bytes(lines, 20).collect()) == [3, 4] and sorted(r.pos for r in maintain.trim_count(lines, 2).collect()) == [3, 4]
     assert [tuple(r) for r in maintain.sweep_status(trimmed=lines, live=live).collect()] == [("trimmed", 5, 120), ("live", 2, 0)]

@@ -30,7 +30,9 @@ def garbage(objects: DataFrame, live: DataFrame, now_ms: int, grace_ms: int = GR
 
 
 def pack_candidates(objects: DataFrame, live: DataFrame, ranks: DataFrame, cold_before_ms: int, budget: int = PACK_BUDGET) -> DataFrame:
-    """Cold reachable objects in packing order, up to the budget and one at least, unranked ones last.
+    """Cold reachable objects in packing order, while what is taken is below the budget, unranked ones last.
+
+    The object that reaches the budget is taken too, and something of a size above zero always is.
 
     Sums run in two levels: over coarse rank ranges, then within the range that the budget
     ends in, so no task sorts all objects: the first level has one row for 4,096 ranked
@@ -40,22 +42,21 @@ def pack_candidates(objects: DataFrame, live: DataFrame, ranks: DataFrame, cold_
     cold = cold.withColumn("_block", F.coalesce(F.floor((F.col("rank") - 1) / 4096), F.lit(1 << 40) + F.pmod(F.xxhash64("hash"), F.lit(4096))))
     blocks = cold.groupBy("_block").agg(F.sum("bytes").alias("_bytes"))
     upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_bytes").over(upto), F.lit(0))).where(F.col("_before") <= budget)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_bytes").over(upto), F.lit(0))).where((F.col("_before") < budget) | (F.col("_before") == 0))
     order = Window.partitionBy("_block").orderBy(F.asc_nulls_last("rank"), "hash").rowsBetween(Window.unboundedPreceding, 0)
-    out = cold.join(blocks, "_block").withColumn("_sum", F.col("_before") + F.sum("bytes").over(order))
-    first = (F.col("_before") == 0) & (F.col("_sum") == F.col("bytes"))
-    return out.where((F.col("_sum") <= budget) | first).drop("_block", "_bytes", "_before", "_sum")
+    out = cold.join(blocks, "_block").withColumn("_spent", F.col("_before") + F.sum("bytes").over(order) - F.col("bytes"))
+    return out.where((F.col("_spent") < budget) | (F.col("_spent") == 0)).drop("_block", "_bytes", "_before", "_spent")
 
 
 def repack_candidates(entries: DataFrame, live: DataFrame, least_bytes: int = LEAST_BYTES, ratio: float = LIVE_RATIO) -> DataFrame:
-    """Packs worth rewriting: under ``ratio`` of entries live and large, or under half of that if small.
+    """Packs worth rewriting: with under ``ratio`` of their entries live, or, if smaller than ``least_bytes``, under half.
 
     ``entries(pack, hash, bytes)``; the result has ``entries, live, live_ratio, bytes``.
     """
     marked = entries.join(live.select("hash").distinct().withColumn("_live", F.lit(1)), "hash", "left")
     packs = marked.groupBy("pack").agg(F.count("*").alias("entries"), F.count("_live").alias("live"), F.sum("bytes").alias("bytes"))
     packs = packs.withColumn("live_ratio", F.col("live") / F.col("entries"))
-    return packs.where(F.when(F.col("bytes") >= least_bytes, F.col("live_ratio") < ratio).otherwise(F.col("live_ratio") < ratio / 2))
+    return packs.where(F.when(F.col("bytes") < least_bytes, 2 * F.col("live") < F.col("entries")).otherwise(F.col("live_ratio") < ratio))
 
 
 def write_packed(pieces: DataFrame, path: str, row_group: int = 1 << 20) -> None:

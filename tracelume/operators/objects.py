@@ -90,27 +90,28 @@ def census(files: DataFrame) -> DataFrame:
 
 
 def detail(envelopes: DataFrame, nodes: DataFrame, stored: DataFrame) -> DataFrame:
-    """``session_id, id, version, system, tools, messages, response, complete``: whole records from envelopes.
+    """``session_id, pos, id, version, system, tools, messages, response, complete, opts``: whole records from envelopes, by their place in the log.
 
-    ``envelopes`` as from :func:`tracelume.sources.log.envelopes`; ``nodes(hash, parent, entries)``
+    Ids may repeat. A ``system`` that is stored as a JSON string is its text. ``envelopes`` as from :func:`tracelume.sources.log.envelopes`; ``nodes(hash, parent, entries)``
     with entries of ``k:hash``; ``stored(hash, body)``. Pieces of both versions are looked up in
     one hash join. A piece that is not stored is its placeholder; a tree that cannot be
     resolved gives no pieces, and either makes ``complete`` false.
     """
-    key = F.struct("session_id", "id")
+    key = F.struct("session_id", "pos")
     trees = tree.resolve(envelopes.where("tree is not null").select(key.alias("call"), F.col("tree").alias("hash")), nodes)
-    third = trees.select(F.col("call.session_id").alias("session_id"), F.col("call.id").alias("id"), F.transform("entries", lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 64).alias("h"))).alias("e"))
-    second = envelopes.where("tree is null").select("session_id", "id", F.transform(F.filter("refs", lambda x: x["k"] != "r"), lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"))).alias("e"))
+    third = trees.select(F.col("call.session_id").alias("session_id"), F.col("call.pos").alias("pos"), F.transform("entries", lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 64).alias("h"))).alias("e"))
+    second = envelopes.where("tree is null").select("session_id", "pos", F.transform(F.filter("refs", lambda x: x["k"] != "r"), lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"))).alias("e"))
     lists = second.union(third)
-    rows = lists.select("session_id", "id", F.posexplode_outer("e").alias("pos", "x")).select("session_id", "id", "pos", "x.k", F.col("x.h").alias("hash"))
+    rows = lists.select("session_id", "pos", F.posexplode_outer("e").alias("n", "x")).select("session_id", "pos", "n", "x.k", F.col("x.h").alias("hash"))
     found = rows.join(stored.select("hash", "body"), "hash", "left")
     body = F.when(F.col("hash").isNotNull(), F.coalesce(F.col("body").cast("string"), unavailable(F.col("hash"))))
     whole = found.withColumns({"lost": F.col("hash").isNotNull() & F.col("body").isNull(), "body": body})
-    parts = whole.groupBy("session_id", "id").agg(F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("pos", "k", "body")))).alias("p"), F.max("lost").alias("lost"))
+    parts = whole.groupBy("session_id", "pos").agg(F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("n", "k", "body")))).alias("p"), F.max("lost").alias("lost"))
     of = lambda k: F.transform(F.filter("p", lambda x: x["k"] == k), lambda x: x["body"])
-    parts = parts.select("session_id", "id", F.get(of("s"), F.lit(0)).alias("system"), F.get(of("t"), F.lit(0)).alias("tools"), of("m").alias("messages"), "lost")
-    resolved = lists.select("session_id", "id", F.col("e").isNotNull().alias("resolved"))
-    out = envelopes.select("session_id", "id", "version", "resp").join(parts, ["session_id", "id"]).join(resolved, ["session_id", "id"])
+    text = lambda b: F.coalesce(F.when(b.startswith('"'), F.try_variant_get(F.try_parse_json(b), "$", "string")), b)
+    parts = parts.select("session_id", "pos", text(F.get(of("s"), F.lit(0))).alias("system"), F.get(of("t"), F.lit(0)).alias("tools"), of("m").alias("messages"), "lost")
+    resolved = lists.select("session_id", "pos", F.col("e").isNotNull().alias("resolved"))
+    out = envelopes.select("session_id", "pos", "id", "version", "resp", "opts").join(parts, ["session_id", "pos"]).join(resolved, ["session_id", "pos"])
     out = with_response(out, stored)
     gone = F.col("resp").isNotNull() & (F.col("response") == unavailable(F.col("resp")))
-    return out.select("session_id", "id", "version", "system", "tools", "messages", "response", (F.col("resolved") & ~F.col("lost") & ~F.coalesce(gone, F.lit(False))).alias("complete"))
+    return out.select("session_id", "pos", "id", "version", "system", "tools", "messages", "response", (F.col("resolved") & ~F.col("lost") & ~F.coalesce(gone, F.lit(False))).alias("complete"), "opts")

@@ -9,6 +9,8 @@ from tracelume.functions import expr
 
 #: Deltas between keyframes, and nodes that a walk may pass.
 INTERVAL, WALK = 32, 64
+#: Calls whose chains are walked level by level.
+FEW = 64
 
 
 def choose_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
@@ -32,19 +34,38 @@ def choose_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
 
 
 def build_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
-    """Nodes ``hash, parent, entries`` of the lists, and which each list resolves from (``session_id, pos, hash``).
+    """``lists`` with ``kind``, ``depth``, and the node that each resolves from: ``hash``, ``parent``, ``own``, and its JSON ``body``.
 
-    A node's hash covers its whole list since the keyframe's start, so a lookup of the
-    parent needs no walk: it is the hash of the list before.
+    Entries are ``k:hash`` with k of s, t, m. A node's bytes hold its parent's hash, and its own is theirs, so hashes follow from each
+    other from a keyframe on: a fold over the nodes of one chain, of which there are ``interval`` + 1 at most.
     """
     chosen = choose_nodes(lists, interval)
     by = Window.partitionBy("session_id").orderBy("pos")
-    whole = lambda e, k: F.sha2(F.concat_ws("|", k.cast("string"), F.concat_ws(",", e)), 256)
-    out = chosen.withColumn("hash", whole(F.col("entries"), F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.col("depth"))))
-    out = out.withColumns({"_prev": F.lag("entries").over(by), "_up": F.lag("hash").over(by)})
-    parent = F.when(F.col("kind") == "delta", F.col("_up"))
+    out = chosen.withColumns({"_prev": F.lag("entries").over(by), "_chain": F.sum((F.col("kind") == "keyframe").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
     rest = F.slice("entries", F.size("_prev") + 1, F.greatest(F.size("entries") - F.size("_prev"), F.lit(0)))
-    return out.withColumns({"parent": parent, "own": F.when(F.col("kind") == "delta", rest).otherwise(F.col("entries"))}).drop("_prev", "_up")
+    out = out.withColumn("own", F.when(F.col("kind") == "delta", rest).otherwise(F.col("entries"))).drop("_prev")
+    steps = out.where("kind <> 'reuse'").groupBy("session_id", "_chain").agg(F.array_sort(F.collect_list(F.struct("depth", "own"))).alias("steps"))
+    typed = lambda own: F.transform(own, lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 64).alias("h")))
+    start = F.array().cast("array<struct<hash:string,parent:string,body:string>>")
+
+    def add(done, step):
+        parent = F.element_at(done, -1)["hash"]
+        return F.concat(done, F.transform(F.array(encode(typed(step["own"]), parent)), lambda body: F.struct(expr.content_hash(body).alias("hash"), parent.alias("parent"), body.alias("body"))))
+
+    chains = steps.select("session_id", "_chain", F.posexplode(F.aggregate("steps", start, lambda done, step: F.when(F.size(done) == 0, F.transform(F.array(encode(typed(step["own"]), F.lit(None).cast("string"))), lambda body: F.struct(expr.content_hash(body).alias("hash"), F.lit(None).cast("string").alias("parent"), body.alias("body")))).otherwise(add(done, step)))).alias("depth", "n"))
+    chains = chains.select("session_id", "_chain", F.col("depth").cast("long").alias("depth"), "n.hash", "n.parent", "n.body")
+    return out.join(chains, ["session_id", "_chain", "depth"]).drop("_chain")
+
+
+def stored_nodes(built: DataFrame) -> DataFrame:
+    """``hash, body`` of what :func:`build_nodes` made, each once: content-addressed like any piece."""
+    return built.where("kind <> 'reuse'").groupBy("hash").agg(F.any_value("body").alias("body"))
+
+
+def read_nodes(stored: DataFrame) -> DataFrame:
+    """``hash, parent, entries`` of the stored pieces that are nodes and hash to their key."""
+    sound = stored.where(expr.content_hash(F.col("body").cast("string")) == F.col("hash")).select("hash", decode(F.col("body").cast("string")).alias("n"))
+    return sound.where("n is not null").select("hash", F.col("n.p").alias("parent"), F.transform("n.e", lambda x: F.concat(x["k"], F.lit(":"), x["h"])).alias("entries"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -58,38 +79,77 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def resolve(roots: DataFrame, nodes: DataFrame, walk: int = WALK) -> DataFrame:
+def _links(nodes: DataFrame) -> DataFrame:
+    """``hash, up``: nodes and their parents, each node once."""
+    return nodes.groupBy("hash").agg(F.any_value(F.struct("parent")).alias("n")).select("hash", F.col("n.parent").alias("up"))
+
+
+def _walked(roots: DataFrame, nodes: DataFrame, walk: int) -> DataFrame:
+    """``call, node, at`` of the chains of few roots, level by level: a level names its hashes, so that it reads only files and row groups that have them."""
+    front = {(r.call, r.hash): r.hash for r in roots.collect()}
+    rows = [(call, h, 0) for (call, h) in front]
+    for at in range(1, walk + 1):
+        wanted = sorted({h for h in front.values() if h is not None})
+        if not wanted:
+            break
+        up = {r.hash: r.up for r in _links(nodes.where(F.col("hash").isin(wanted))).collect()}
+        front = {key: up.get(h) for key, h in front.items() if h is not None}
+        rows += [(call, h, at) for (call, _), h in front.items() if h is not None]
+    return roots.sparkSession.createDataFrame(rows, roots.select("call", F.col("hash").alias("node"), F.lit(0).alias("at")).schema)
+
+
+def _doubled(roots: DataFrame, nodes: DataFrame, walk: int) -> DataFrame:
+    """The same of many roots: pointers of all nodes double, hashes only, and after k rounds a chain has 2^k nodes."""
+    jump, seen = checkpointed(_links(nodes).where("up is not null")), roots.select("call", F.col("hash").alias("node"), F.lit(0).alias("at"))
+    step = 1
+    while step <= walk:
+        far = seen.join(jump, seen.node == jump.hash).select("call", F.col("up").alias("node"), (F.col("at") + step).alias("at"))
+        seen = checkpointed(seen.union(far).where(F.col("at") <= walk))
+        if 2 * step <= walk:
+            ahead = jump.select(F.col("hash").alias("up"), F.col("up").alias("next"))
+            jump = checkpointed(jump.join(ahead, "up").select("hash", F.col("next").alias("up")))
+        step *= 2
+    return seen
+
+
+def resolve(roots: DataFrame, nodes: DataFrame, walk: int = WALK, few: int = FEW) -> DataFrame:
     """``call, entries``: the concatenation, root first, of each call's chain.
 
-    ``roots(call, hash)``, ``nodes(hash, parent, entries)``. All or nothing: a missing node, a
-    cycle, or more than ``walk`` nodes gives null. Pointers double: a round is a hash join that
-    puts before each node's entries those of the node that it points at, and points where
-    that points, so there are as many rounds as ``walk`` has bits, whatever the size of the store.
+    ``roots(call, hash)``, ``nodes(hash, parent, entries)``. All or nothing: a missing node, a cycle, or more than ``walk`` nodes gives
+    null. First the chains are found, over hashes and parents alone; entries are joined once at the end. Up to ``few`` roots are
+    walked level by level, and nothing but their chains is read; beyond that pointers double, in as many rounds as ``walk`` has bits.
     """
-    at = nodes.groupBy("hash").agg(F.any_value(F.struct("parent", "entries")).alias("n")).select("hash", F.col("n.parent").alias("up"), F.col("n.entries").alias("entries"), F.lit(1).alias("hops"))
-    at = checkpointed(at)
-    for _ in range(max(0, walk - 1).bit_length()):
-        ahead = at.select(F.col("hash").alias("up"), F.col("up").alias("next"), F.col("entries").alias("before"), F.col("hops").alias("more"))
-        far = at.join(ahead, "up", "left").where(F.col("up").isNull() | F.col("more").isNotNull())
-        at = checkpointed(
-            far.select("hash", F.col("next").alias("up"), F.when(F.col("more").isNull(), F.col("entries")).otherwise(F.concat("before", "entries")).alias("entries"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-            .where(F.col("hops") <= walk)
-        )
-    return roots.select("call", "hash").join(at.where("up is null").select("hash", "entries"), "hash", "left").select("call", "entries")
+    asked = roots.select("call", "hash")
+    at_once = len(asked.limit(few + 1).collect()) <= few
+    chain = _walked(asked.where("hash is not null"), nodes, walk) if at_once else _doubled(asked.where("hash is not null"), nodes, walk)
+    if at_once:
+        # few roots, so at most few * (walk + 1) hashes
+        nodes = nodes.where(F.col("hash").isin(sorted({r.node for r in chain.select("node").collect()})))
+    content = nodes.groupBy("hash").agg(F.any_value(F.struct("parent", "entries")).alias("n"))
+    found = chain.join(content, chain.node == content.hash, "left").groupBy("call", F.col("node").alias("_"), "at").agg(F.any_value("n").alias("n"))
+    parts = found.groupBy("call").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("at"), F.col("n.entries").alias("e")))).alias("p"), F.max(F.struct("at", F.col("n").isNotNull().alias("there"), F.col("n.parent").isNull().alias("top"))).alias("end"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
+    good = parts.where(F.col("whole") & F.col("end.top") & (F.col("end.at") < walk))
+    done = good.select("call", F.flatten(F.transform("p", lambda x: x["e"])).alias("entries"))
+    return asked.join(done, asked.call.eqNullSafe(done.call), "left").select(asked.call, "entries")
 
 
 def reachable(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """``hash`` of every node that ``roots(hash)`` reach over parents, cycles included.
 
-    A frontier join per level over what is new; each level is written to the session's
-    checkpoint folder so that plans do not grow.
+    Pointers double, over hashes alone: a round adds to what is reached what lies as far again, so
+    rounds are logarithmic in the longest chain. Each is written to the session's checkpoint folder, so plans do not grow.
     """
-    seen = front = checkpointed(roots.select("hash").distinct())
-    while not front.isEmpty():
-        up = front.join(nodes, "hash").where("parent is not null").select(F.col("parent").alias("hash")).distinct()
-        front = checkpointed(up.join(seen, "hash", "left_anti"))
-        seen = seen.union(front)
-    return seen
+    jump, seen = checkpointed(_links(nodes).where("up is not null")), checkpointed(roots.select("hash").where("hash is not null").distinct())
+    known = seen.count()
+    while True:
+        far = seen.join(jump, "hash").select(F.col("up").alias("hash"))
+        seen = checkpointed(seen.union(far).distinct())
+        # what lies twice as far is reached from the new ones, so nothing new means nothing further
+        if (now := seen.count()) == known:
+            return seen
+        known = now
+        ahead = jump.select(F.col("hash").alias("up"), F.col("up").alias("next"))
+        jump = checkpointed(jump.join(ahead, "up").select("hash", F.col("next").alias("up")))
 
 
 def missing(live: DataFrame, nodes: DataFrame) -> DataFrame:

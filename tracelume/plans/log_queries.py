@@ -42,7 +42,9 @@ def log_text(events: DataFrame) -> DataFrame:
     block = lambda kind, **extra: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in extra.items()])
     message = F.struct(F.lit("user").alias("role"), F.array(block("text", text=F.concat(F.col("model"), F.lit(" é😀")))).alias("content"))
     picture = F.struct(F.lit("user").alias("role"), F.array(block("image", text=F.lit("not counted"))).alias("content"))
-    request = F.struct(F.lit("sys").alias("system"), F.array(message, picture).alias("messages"), F.array(F.struct(F.lit("run_code").alias("name")), F.struct(F.lit("read").alias("name"))).alias("tools"))
+    options = [F.when(F.col("id") % 2 == 0, F.col("id") % 4 / 4).alias("temperature"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("maxTokens"), F.when(F.col("id") % 7 == 0, F.array(F.lit("END"), F.col("model"))).alias("stop")]
+    opts = F.when((F.col("id") % 2 == 0) | (F.col("id") % 5 == 0) | (F.col("id") % 7 == 0), F.struct(*options)).alias("opts")
+    request = F.struct(F.lit("sys").alias("system"), F.array(message, picture).alias("messages"), F.array(F.struct(F.lit("run_code").alias("name")), F.struct(F.lit("read").alias("name"))).alias("tools"), *options)
     blocks = F.array(block("tool-call", id=F.lit("t1"), name=F.lit("run_code"), arguments=F.lit(PROGRAM)), block("tool-call", id=F.lit("t2"), name=F.col("provider"), arguments=F.lit("{}")))
     response = F.struct(blocks.alias("blocks"), usage.alias("usage"), F.struct(kind.alias("kind"), failed.alias("failure")).alias("finish"))
     k = F.col("input_tokens")
@@ -50,8 +52,8 @@ def log_text(events: DataFrame) -> DataFrame:
     sums = F.struct((F.col("id") % 9).alias("messageCount"), (F.col("id") % 1000).alias("requestChars"), F.lit(2).alias("toolCalls"), named.alias("calledTools"), F.array(F.lit("read")).alias("toolNames"), usage.alias("usage"), kind.alias("finishKind"), failed["message"].alias("finishMessage"))
     ref = lambda kind, z: F.struct(F.lit(kind).alias("k"), F.sha2(F.concat(F.lit(kind), text(F.col("id"))), 256).alias("h"), z.alias("z"))
     first = F.to_json(F.struct(F.lit(1).alias("schema"), *head, request.alias("request"), response.alias("response")))
-    second = F.to_json(F.struct(F.lit(2).alias("v"), *head, F.array(ref("s", F.lit(7)), ref("m", F.col("id") % 100)).alias("refs"), sums.alias("sum")))
-    third = F.to_json(F.struct(F.lit(3).alias("v"), *head, F.sha2(text(F.col("id")), 256).alias("tree"), (F.col("id") % 50).alias("zn"), sums.alias("sum")))
+    second = F.to_json(F.struct(F.lit(2).alias("v"), *head, F.array(ref("s", F.lit(7)), ref("m", F.col("id") % 100)).alias("refs"), sums.alias("sum"), opts))
+    third = F.to_json(F.struct(F.lit(3).alias("v"), *head, F.sha2(text(F.col("id")), 256).alias("tree"), (F.col("id") % 50).alias("zn"), sums.alias("sum"), opts))
     line = F.when(F.col("id") % 3 == 0, first).when(F.col("id") % 3 == 1, second).otherwise(third)
     extra = F.when(F.col("purpose").isNotNull(), F.lit('\n{"schema":9,"id":"foreign"}')).when(F.col("status") == "error", F.lit("\n{broken")).otherwise("")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat(line, extra).alias("line"))))
@@ -70,13 +72,22 @@ def log_calls(spark, d):
 
 
 def log_migrated(spark, d):
-    """The list projection of the same log once all lines are of the latest version."""
+    """The list projection of the same log once all lines are of the latest version, and the request options that they keep."""
     lines = log_lines(spark, d)
     moved, _, _ = migrate.migrate(lines)
-    c = log.calls(moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line")))
+    whole = moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line"))
+    opts = log.envelopes(whole).select("session_id", "pos", "opts.temperature", F.col("opts.maxTokens").alias("max_tokens"), F.array_join("opts.stop", "|").alias("stop"))
+    c = log.calls(whole).join(opts, ["session_id", "pos"])
     return c.drop("line_bytes", "reasoning_tokens", "object_bytes").withColumns({"called_tools": expr.x_label(F.col("called_tools")), "tool_names": F.array_join("tool_names", ",")})
 
 
+def migrated_pieces(spark, d):
+    """What migration stores of the records of the first version: hashes of their own text."""
+    lines = log_lines(spark, d)
+    _, stored, _ = migrate.migrate(lines.where(F.get_json_object("line", "$.schema") == "1"))
+    return stored.where("k <> 'n'").select("k", "hash", "z")
+
+
 def migration_batch(spark, d):
     """Sessions that one cycle brings to the latest version."""
     c = calls_from_events(read(spark, d, "events"))
@@ -172,7 +183,7 @@ def session_page(spark, d):
 
 
 def _envelopes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Envelopes, nodes and stored pieces of the conversations: odd sessions in the second version, others in the third."""
+    """Envelopes, nodes and stored pieces of the conversations: odd sessions in the second version, others in the third; ids repeat."""
     c = turns_as_lists(read(spark, d, "conversations")).withColumns({"at": F.col("pos"), "tools": F.lit(None).cast("string")})
     answers = read(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), F.col("text").alias("answer"))
     c = c.join(answers, ["session_id", "pos"])
@@ -187,17 +198,19 @@ def _envelopes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     named = lambda kind: F.struct(F.lit(kind).alias("k"), F.col("resp").alias("h"), F.lit(0).cast("long").alias("z"))
     refs = F.concat(F.transform("p", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("h"), x["z"].alias("z"))), F.when(F.col("resp").isNotNull(), F.array(named("r"))).otherwise(F.array()))
     sums = F.struct(F.lit(1).alias("messageCount"))
-    common = [F.col("call").cast("string").alias("id"), sums.alias("sum")]
+    opts = F.when(F.col("pos") % 3 == 0, F.struct((F.col("pos") / 4).alias("temperature"), F.col("pos").cast("long").alias("maxTokens"), F.array(F.lit("END")).alias("stop")))
+    common = [(F.col("call") % 3).cast("string").alias("id"), sums.alias("sum"), opts.alias("opts")]
     second = lists.where("session_id % 2 = 1").select("session_id", "pos", F.to_json(F.struct(F.lit(2).alias("v"), *common, refs.alias("refs"))).alias("line"))
     third = built.select("session_id", "pos", F.to_json(F.struct(F.lit(3).alias("v"), *common, F.col("hash").alias("tree"), "resp")).alias("line"))
     return log.envelopes(second.union(third)), nodes, stored
 
 
 def call_detail(spark, d):
-    """Whole records put together from envelopes of two versions, trees, pieces and responses."""
-    found = objects.detail(*_envelopes(spark, d))
+    """Whole records put together from envelopes of two versions, trees, pieces and responses; some pieces are lost, and ids repeat."""
+    envelopes, nodes, stored = _envelopes(spark, d)
+    found = objects.detail(envelopes, nodes, stored.where("hash not like '0%'"))
     digest = lambda x: F.md5(F.coalesce(x, F.lit("-")).cast("binary"))
-    return found.select("session_id", "id", "version", digest(F.col("system")).alias("system"), F.size("messages").cast("long").alias("n_messages"), digest(F.array_join("messages", "\n")).alias("messages"), digest(F.col("response")).alias("response"), "complete")
+    return found.select("session_id", "pos", "id", "version", F.col("opts.temperature").alias("temperature"), F.col("opts.maxTokens").alias("max_tokens"), F.array_join("opts.stop", "|").alias("stop"), digest(F.col("system")).alias("system"), F.size("messages").cast("long").alias("n_messages"), digest(F.array_join("messages", "\n")).alias("messages"), digest(F.col("response")).alias("response"), "complete")
 
 
 def object_census(spark, d):
@@ -217,7 +230,7 @@ def sweep_status(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [log_calls, log_migrated, migration_batch, log_legacy, log_referenced, log_tail, log_append, ledger_sums, failures_first, reconcile_pages, request_hashes, home_paths, utf16_lengths, visible_stack, call_lookup, session_page, call_detail, object_census, sweep_status]
+    found = [log_calls, log_migrated, migrated_pieces, migration_batch, log_legacy, log_referenced, log_tail, log_append, ledger_sums, failures_first, reconcile_pages, request_hashes, home_paths, utf16_lengths, visible_stack, call_lookup, session_page, call_detail, object_census, sweep_status]
     return {f.__name__: f for f in found}
 
 
@@ -238,6 +251,7 @@ def oracle_sql(time_series: str, lists: str, steps: str, calls: str) -> dict[str
     """The same queries in SQL; the arguments are the common parts of the other queries' SQL."""
     v = lambda a, b, c: f"case when event_id % 3 = 0 then {a} when event_id % 3 = 1 then {b} else {c} end"
     u = lambda x: f"case when ok then {x} end"
+    lost = lambda x: f"case when sha256({x}) like '0%' then '{{\"$unavailable\":\"' || sha256({x}) || '\"}}' else {x} end"
     found = {
         "log_calls": f"""with {_EVENTS} select session_id, cast(pos as bigint) as pos, cast(event_id as varchar) as id, {v(1, 2, 3)} as version,
   case when event_type = 'signup' then 'session-title' end as purpose, 'p' || (k % 2) as provider, 'm' || (k % 3) as model, user_id || '-' || (k % 7) as request_hash, 1 as attempt, began as started_at, d as duration_ms,
@@ -265,17 +279,28 @@ select session_id, failures, mtime_ms, bytes from s qualify coalesce(sum(bytes)
 select session_id, pos, series, y, case when y is not null then sum(y) over (partition by session_id, pos order by r) end as top from o""",
         "call_lookup": f"with {calls} select session_id, id, pos, status, model from calls qualify id = max(id) over (partition by session_id)",
         "session_page": f"with {steps}, top as (select session_id from calls group by 1 order by count(*) desc, session_id limit 1) select session_id, id, step, status from stepped where session_id = (select session_id from top) order by pos desc limit 25 offset 5",
-        "call_detail": f"""with {lists} select l.session_id, cast(l.call as varchar) as id, case when l.session_id % 2 = 1 then 2 else 3 end as version, md5(coalesce(l.system, '-')) as system, len(l.messages)::bigint as n_messages,
-  md5(coalesce(array_to_string(l.messages, chr(10)), '')) as messages, md5(coalesce(c.text, '-')) as response, true as complete from lists l join conversations c on c.conv_id = l.session_id and c.turn = l.pos""",
+        "call_detail": f"""with {lists}, f as (select l.*, c.text, {lost('c.text')} as answer, {lost('l.system')} as first, [{lost('x')} for x in l.messages] as found from lists l join conversations c on c.conv_id = l.session_id and c.turn = l.pos)
+select session_id, pos, cast(call % 3 as varchar) as id, case when session_id % 2 = 1 then 2 else 3 end as version, case when pos % 3 = 0 then pos / 4 end as temperature, case when pos % 3 = 0 then pos::bigint end as max_tokens, case when pos % 3 = 0 then 'END' end as stop,
+  md5(coalesce(first, '-')) as system, len(messages)::bigint as n_messages, md5(coalesce(array_to_string(found, chr(10)), '')) as messages, md5(coalesce(answer, '-')) as response,
+  found = messages and answer is not distinct from text and first is not distinct from system as complete from f""",
         "object_census": f"""with {lists}, b as (select system as body from lists union select unnest(messages) from lists union select text from conversations where role = 'assistant') select count(*) as n, cast(sum(strlen(body)) as bigint) as bytes from b where body is not null""",
         "sweep_status": f"""with recursive {_SQL_NODES},
 o as (select hash, bytes, turn * 1800000 as mtime, conv_id * 100 + turn + 1 as rank, turn, hash in (select hash from live) as alive from nodes),
 g as (select bytes from o where not alive and mtime < 9000000 - 3600000),
-p as (select bytes, sum(bytes) over (order by rank) as s from o where alive and mtime < 4000000), pk as (select bytes from p where s <= 20000 or s = bytes),
+p as (select bytes, sum(bytes) over (order by rank) - bytes as spent from o where alive and mtime < 4000000), pk as (select bytes from p where not (spent > 0 and spent >= 20000)),
 r0 as (select turn as pack, count(*) as entries, count(*) filter (where alive) as alive, sum(bytes) as bytes from o group by 1),
-r as (select bytes from r0 where case when bytes >= 20000 then alive / entries < 0.5 else alive / entries < 0.25 end)
+r as (select bytes from r0 where not case when bytes < 20000 then alive * 2 >= entries else alive / entries >= 0.5 end)
 select 'live' as step, count(*) as rows, cast(coalesce(sum(bytes), 0) as bigint) as bytes from o where alive union all select 'missing', 0, 0 union all select 'collect', count(*), coalesce(sum(bytes), 0)::bigint from g
 union all select 'pack', count(*), coalesce(sum(bytes), 0)::bigint from pk union all select 'repack', count(*), coalesce(sum(bytes), 0)::bigint from r""",
     }
-    found["log_migrated"] = f"select * exclude (object_bytes) replace (3 as version) from ({found['log_calls']})"
+    found["log_migrated"] = f"""select * exclude (object_bytes) replace (3 as version), case when id::bigint % 2 = 0 then id::bigint % 4 / 4 end as temperature, case when id::bigint % 5 = 0 then id::bigint end as max_tokens,
+  case when id::bigint % 7 = 0 then 'END|' || model end as stop from ({found['log_calls']})"""
+    program = PROGRAM.replace('"', '\\"').replace("'", "''")
+    found["migrated_pieces"] = f"""with {_EVENTS}, r as (select *, 'm' || (k % 3) as model from lines where event_id % 3 = 0),
+b as (select 's' as k, '"sys"' as body from r union select 't', '[{{"name":"run_code"}},{{"name":"read"}}]' from r union select 'm', '{{"role":"user","content":[{{"type":"image","text":"not counted"}}]}}' from r
+ union select 'm', '{{"role":"user","content":[{{"type":"text","text":"' || model || ' é😀"}}]}}' from r
+ union select 'r', '{{"blocks":[{{"type":"tool-call","id":"t1","name":"run_code","arguments":"{program}"}},{{"type":"tool-call","id":"t2","name":"p' || (k % 2) || '","arguments":"{{}}"}}]'
+  || case when ok then ',"usage":{{"inputTokens":' || (k * 10) || ',"outputTokens":' || (k + 1) || case when k % 5 <> 0 then ',"cacheReadTokens":' || (k * 90) else '' end || case when k % 4 = 0 then ',"cacheWriteTokens":' || (k * 3) else '' end || '}}' else '' end
+  || ',"finish":{{"kind":"' || case when ok then 'stop"' else 'error","failure":{{"message":"bad ' || model || '","code":"E1"}}' end || '}}}}' from r)
+select k, sha256(body) as hash, strlen(body)::bigint as z from b"""
     return found

@@ -111,6 +111,12 @@ def _duration(ms: str) -> str:
     )
 
 
+def _node(parent: str, entries: str) -> str:
+    """A node's JSON."""
+    listed = f"array_to_string([format('{{{{\"k\":\"m\",\"h\":\"{{}}\"}}}}', x) for x in {entries}], ',')"
+    return f"""'{{"t":3' || coalesce(',"p":"' || {parent} || '"', '') || ',"e":[' || {listed} || ']}}'"""
+
+
 def oracle_sql() -> dict[str, str]:
     page = "select id, session_id, model, started_at, status from calls"
     found = {
@@ -156,18 +162,30 @@ w as (select session_id, pos, r, e, 'keyframe' as kind, 0 as depth from o where
  select o.session_id, o.pos, o.r, o.e, case when o.e = w.e then 'reuse' when o.e[1:len(w.e)] = w.e and w.depth < 2 then 'delta' else 'keyframe' end,
   case when o.e = w.e then w.depth when o.e[1:len(w.e)] = w.e and w.depth < 2 then w.depth + 1 else 0 end from w join o on o.session_id = w.session_id and o.r = w.r + 1)
 select session_id, pos, kind, cast(depth as bigint) as depth from w""",
+        "tree_hashes": f"""with recursive {_LISTS}, o as (select session_id, pos, [sha256(x) for x in messages] as e, row_number() over (partition by session_id order by pos) as r from lists),
+w as (select session_id, pos, r, e, 0 as depth, null::varchar as parent, sha256({_node("null", "e")}) as hash from o where r = 1 union all
+ select session_id, pos, r, e, depth, parent, case when same then old else sha256(case when grows then {_node("old", "e[n+1:]")} else {_node("null", "e")} end) end from (
+  select o.session_id, o.pos, o.r, o.e, w.hash as old, len(w.e) as n, o.e = w.e as same, o.e[1:len(w.e)] = w.e and w.depth < 2 as grows,
+   case when o.e = w.e then w.depth when o.e[1:len(w.e)] = w.e and w.depth < 2 then w.depth + 1 else 0 end as depth,
+   case when o.e = w.e then w.parent when o.e[1:len(w.e)] = w.e and w.depth < 2 then w.hash end as parent from w join o on o.session_id = w.session_id and o.r = w.r + 1) x)
+select session_id, pos, hash, parent from w""",
         "tree_resolve": f"with {_LISTS} select call, sha256(array_to_string([sha256(x) for x in messages], ',')) as digest, len(messages) as n from lists",
         "mark_reachable": f"with recursive {_NODES} select distinct hash from live",
         "gc_candidates": f"with recursive {_NODES} select hash, bytes from nodes n where turn * 1800000 < 5400000 and not exists (select 1 from live l where l.hash = n.hash)",
         "pack_candidates": f"""with recursive {_NODES}, c as (select distinct n.hash, n.bytes, conv_id * 100 + turn + 1 as rank from nodes n join live l on l.hash = n.hash where turn * 1800000 < 4000000),
-s as (select *, sum(bytes) over (order by rank) as t, row_number() over (order by rank) as r from c) select hash, bytes, rank from s where t <= 20000 or r = 1""",
+s as (select *, sum(bytes) over (order by rank) - bytes as spent from c) select hash, bytes, rank from s where not (spent > 0 and spent >= 20000)""",
         "repack_candidates": f"""with recursive {_NODES}, p as (select turn as pack, count(*) as entries, count(l.hash) as live, cast(sum(bytes) as bigint) as bytes, count(l.hash) / count(*) as live_ratio from nodes n left join (select distinct hash from live) l on l.hash = n.hash group by 1)
-select pack, entries, live, bytes, live_ratio from p where case when bytes >= 20000 then live_ratio < 0.5 else live_ratio < 0.25 end""",
+select pack, entries, live, bytes, live_ratio from p where not case when bytes < 20000 then live * 2 >= entries else live_ratio >= 0.5 end""",
         "redact_text": f"select doc_id, md5({_REDACT}) as digest from documents",
         "redact_capped": f"""with r as (select doc_id, {_REDACT} as t from documents)
 select doc_id, md5(case when length(t) > 500 then left(t, 500) || '… (+' || (length(t) - 500) || ' chars)' else t end) as digest from r""",
-        "tool_dispatches": """with e as (select event_id as call, event_type, json_extract_string(props, '$.k') as k from events)
-select call, case event_type when 'click' then case when true then 'read ×2 · click' end when 'view' then 'tool' else event_type end as label, cast(case event_type when 'click' then 3 else 1 end as bigint) as total from e""",
+        "tool_dispatches": r"""with e as (select event_id as call, event_type, json_extract_string(props, '$.k') as k, case when cast(json_extract_string(props, '$.k') as int) % 2 = 0 then chr(39) else chr(34) end as q from events),
+p as (select call, event_type, 'tools.read(1); tools[ ' || q || event_type || q || ' ] (2); tools.k' || k || '(3); tools[' || chr(39) || 'x' || chr(34) || '](4); mytools.no(5); tools.read(6)' as code from e),
+s as (select call, event_type, regexp_extract_all(code, '\btools(?:\.[A-Za-z_$][\w$]*|\[\s*(?:\x27[^\x27\x22\]]+\x27|\x22[^\x27\x22\]]+\x22)\s*\])\s*\(') as sites from p),
+n as (select call, case when event_type = 'click' and len(sites) > 0 then [regexp_extract(x, '^tools(?:\.|\[\s*[\x27\x22])([^\x27\x22\](\s]+)', 1) for x in sites] when event_type in ('click', 'view') then [case event_type when 'click' then 'run_code' else 'tool' end] else [event_type] end as names from s),
+u as (select call, unnest(names) as name, generate_subscripts(names, 1) as i from n),
+c as (select call, name, count(*) as n, min(i) as i from u group by 1, 2)
+select call, string_agg(name || case when n > 1 then ' ×' || n else '' end, ' · ' order by i) as label, cast(sum(n) as bigint) as total from c group by 1""",
         "protocol_detect": f"""with {_CALLS}, n as (select id, lower((['Anthropic', 'openai', 'azure-responses', 'my-codex', 'claude-x'])[id % 5 + 1] || provider) as p, lower((['gpt-4', 'Claude-3', 'gpt-5-codex'])[id % 3 + 1] || model) as m from calls)
 select id, case when p like '%anthropic%' or p like '%claude%' or m like 'claude%' then 'anthropic-messages' when p like '%codex%' or p like '%responses%' or m like '%gpt-5-codex%' then 'openai-responses' else 'openai-completions' end as protocol from n""",
         "wire_usage_totals": f"""with {_CALLS}, t as (select id, coalesce(input_tokens, 0) + coalesce(cache_read, 0) + coalesce(cache_write, 0) as prompt_tokens, coalesce(output_tokens, 0) as completion_tokens, cache_read as cached_tokens from calls)

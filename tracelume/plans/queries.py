@@ -152,17 +152,24 @@ def packing_order(spark, d):
 
 def _chains(spark, d):
     c = _lists(spark, d)
-    return c.select("session_id", "pos", "call", F.transform("messages", expr.content_hash).alias("entries"))
+    return c.select("session_id", "pos", "call", F.transform("messages", lambda m: F.concat(F.lit("m:"), expr.content_hash(m))).alias("entries"))
 
 
 def tree_nodes(spark, d):
     return tree.choose_nodes(_chains(spark, d), 2).select("session_id", "pos", "kind", F.col("depth").cast("long").alias("depth"))
 
 
+def tree_hashes(spark, d):
+    """The node that each list resolves from: the hash of its JSON, which holds its parent's hash."""
+    return tree.build_nodes(_chains(spark, d), 2).select("session_id", "pos", "hash", "parent")
+
+
 def tree_resolve(spark, d):
+    """Lists read back from the nodes' JSON."""
     built = tree.build_nodes(_chains(spark, d))
-    nodes = built.where("kind <> 'reuse'").select("hash", "parent", F.col("own").alias("entries"))
-    found = tree.resolve(built.select("call", "hash"), nodes)
+    built = tree.checkpointed(built.select("call", "kind", "hash", "body"))
+    found = tree.resolve(built.select("call", "hash"), tree.read_nodes(tree.stored_nodes(built)))
+    found = found.withColumn("entries", F.transform("entries", lambda x: F.substring(x, 3, 64)))
     return found.select("call", F.sha2(F.array_join("entries", ",").cast("binary"), 256).alias("digest"), F.size("entries").cast("long").alias("n"))
 
 
@@ -214,7 +221,10 @@ def redact_capped(spark, d):
 
 
 def tool_dispatches(spark, d):
-    code = F.concat(F.lit("tools.read(1); tools['"), F.col("event_type"), F.lit("'](2); tools.read("), F.get_json_object("props", "$.k"), F.lit(")"))
+    """Call sites of programs that differ by row: names after a dot, in quotes of either kind, and in quotes that do not match."""
+    k = F.get_json_object("props", "$.k")
+    quote = F.when(k.cast("int") % 2 == 0, "'").otherwise('"')
+    code = F.concat(F.lit("tools.read(1); tools[ "), quote, F.col("event_type"), quote, F.lit(" ] (2); tools.k"), k, F.lit("(3); tools['x\"](4); mytools.no(5); tools.read(6)"))
     name = F.when(F.col("event_type") == "click", F.lit("run_code")).when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("event_type"))
     e = read(spark, d, "events").select(F.col("event_id").alias("call"), expr.dispatch_names(name, F.to_json(F.struct(code.alias("code")))).alias("names"))
     out = rollup.dispatch_counts(e)
@@ -297,6 +307,6 @@ def stream_attempts(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [session_summary, model_tally, ledger_page, ledger_page_model, retry_attempts, step_numbers, predecessor_call, call_metrics, chart_step_series, chart_time_series, chart_excluded]
     found += [token_buckets_5m, token_buckets_60m, token_stack, gap_runs, metric_extent, bar_columns, lttb_series, trim_by_bytes, trim_by_count, storage_footprint, piece_dedup, marginal_bytes]
-    found += [message_reassembly, packing_order, tree_nodes, tree_resolve, mark_reachable, gc_candidates, pack_candidates, repack_candidates, redact_text, redact_capped, tool_dispatches]
+    found += [message_reassembly, packing_order, tree_nodes, tree_hashes, tree_resolve, mark_reachable, gc_candidates, pack_candidates, repack_candidates, redact_text, redact_capped, tool_dispatches]
     found += [protocol_detect, wire_usage_totals, wire_chain, chain_prefix, session_files, formats, ledger_rows, spans_days, stream_attempts]
     return {f.__name__: f for f in found} | wire_queries.queries() | log_queries.queries()

@@ -15,9 +15,10 @@ RECORD_V1 = (
     f"response struct<blocks:array<variant>,usage:{USAGE},finish:struct<kind:string,failure:{FAILURE}>,chunkCount:bigint>, "
     "status string"
 )
+OPTIONS = "struct<temperature:double,maxTokens:bigint,stop:array<string>>"
 SUM = f"struct<messageCount:bigint,requestChars:bigint,toolCalls:bigint,calledTools:{TOOL_COUNT},toolNames:array<string>,usage:{USAGE},finishKind:string,finishMessage:string>"
 #: Later versions: a head, a precomputed summary, and references to pieces by hash.
-ENVELOPE = f"v int, sum {SUM}, refs array<struct<k:string,h:string,z:bigint>>, tree string, resp string, zn bigint, id string, sessionId string, purpose string, provider string, model string, reasoningEffort string, requestHash string, attempt int, timing {TIMING}, status string"
+ENVELOPE = f"v int, sum {SUM}, refs array<struct<k:string,h:string,z:bigint>>, tree string, resp string, zn bigint, id string, sessionId string, purpose string, provider string, model string, reasoningEffort string, requestHash string, attempt int, timing {TIMING}, status string, opts {OPTIONS}"
 
 #: The list projection that analytics run on.
 CALLS = (

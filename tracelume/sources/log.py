@@ -212,12 +212,12 @@ def read_packs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def envelopes(lines: DataFrame) -> DataFrame:
-    """``session_id, pos, id, version, refs, tree, resp`` of valid envelope lines: what a record is put together from."""
+    """``session_id, pos, id, version, refs, tree, resp, opts`` of valid envelope lines: what a record is put together from."""
     e = F.col("e")
     rows = lines.select("session_id", "pos", F.from_json("line", schema.ENVELOPE).alias("e"))
     sound = e["id"].isNotNull() & e["sum"].isNotNull() & F.when(e["v"] == 3, e["tree"].isNotNull()).when(e["v"] == 2, e["refs"].isNotNull()).otherwise(False)
     resp = F.when(e["v"] == 3, e["resp"]).otherwise(F.get(F.filter(e["refs"], lambda x: x["k"] == "r"), F.lit(0))["h"])
-    return rows.where(sound).select("session_id", "pos", e["id"].alias("id"), e["v"].alias("version"), F.when(e["v"] == 2, e["refs"]).alias("refs"), F.when(e["v"] == 3, e["tree"]).alias("tree"), resp.alias("resp"))
+    return rows.where(sound).select("session_id", "pos", e["id"].alias("id"), e["v"].alias("version"), F.when(e["v"] == 2, e["refs"]).alias("refs"), F.when(e["v"] == 3, e["tree"]).alias("tree"), resp.alias("resp"), e["opts"].alias("opts"))
 
 
 _LINES = "pos bigint, line string, session_id string"

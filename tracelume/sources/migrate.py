@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelume import schema
@@ -31,25 +31,53 @@ def batch(sessions: DataFrame, budget: int = BUDGET) -> DataFrame:
     return out.where((F.col("_spent") < budget) | first).drop("_hour", "_before", "_spent")
 
 
+#: What is stored of a line, as strings: keys keep their order.
+_EXACT = "request struct<system:string,tools:string,messages:array<string>>, response string"
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string of ``text``."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+#: Escapes that the parser makes of a character beyond the first 65,536; an even number of backslashes stands before.
+_PAIR = r"(?<=(?:^|[^\\])(?:\\\\){0,64})\\u(D[89AB][0-9A-F]{2})\\u(D[C-F][0-9A-F]{2})"
+
+
+def _plain(text: Column) -> Column:
+    """JSON with such characters themselves, as writers leave them."""
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(_PAIR), F.lit(0)), lambda x: F.decode(F.unhex(F.regexp_replace(x, r"\\u", "")), "UTF-16BE"))
+    parts = F.split(text, _PAIR, -1)
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.zip_with(pairs, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))
+    return F.when(text.contains("\\uD"), joined).otherwise(text)
+
+
+def _options(r: Column) -> Column:
+    """The request options, or null if there are none: they stay in the line."""
+    some = r["temperature"].isNotNull() | r["maxTokens"].isNotNull() | r["stop"].isNotNull()
+    return F.when(some, F.struct(r["temperature"].alias("temperature"), r["maxTokens"].alias("maxTokens"), r["stop"].alias("stop")))
+
+
 def migrate(lines: DataFrame, interval: int = tree.INTERVAL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines of the first two versions as ``session_id, pos, line`` of the third, the pieces to store (hash, k, body, z), and nodes (hash, parent, entries).
+    """Lines of the first two versions as ``session_id, pos, line`` of the third, the pieces to store (hash, k, body, z), nodes among them, and nodes (hash, parent, entries).
 
     A record of the first version is taken apart; of the second the pieces are stored already,
-    and only its references become a tree. What is no valid line stays out, as it does when read.
+    and only its references become a tree. Pieces are the line's own text, so they hash as they would have when
+    they were written, and options of a request stay in its line. What is no valid line stays out, as it does when read.
     """
-    rows = lines.select("session_id", "pos", F.from_json("line", schema.RECORD_V1).alias("r"), F.from_json("line", schema.ENVELOPE).alias("e"), F.try_parse_json("line").alias("v"))
+    rows = lines.select("session_id", "pos", F.from_json("line", schema.RECORD_V1).alias("r"), F.from_json("line", schema.ENVELOPE).alias("e"), F.from_json("line", _EXACT).alias("x"))
     key = F.struct("session_id", "pos")
-    text = lambda path: F.to_json(F.try_variant_get("v", path, "variant"))
     first = rows.where(F.col("r.schema") == 1)
     parts = first.select(
         key.alias("call"),
         F.col("r.timing.startedAt").alias("at"),
-        F.col("r.request.system").alias("system"),
-        F.when(F.size("r.request.tools") > 0, text("$.request.tools")).alias("tools"),
-        F.transform(F.coalesce(F.try_variant_get("v", "$.request.messages", "array<variant>"), F.array().cast("array<variant>")), lambda m: F.to_json(m)).alias("messages"),
+        F.when(F.col("x.request.system").isNotNull(), _quoted(F.col("x.request.system"))).alias("system"),
+        _plain(F.col("x.request.tools")).alias("tools"),
+        F.transform(F.coalesce("x.request.messages", F.array().cast("array<string>")), _plain).alias("messages"),
     )
     taken = objects.request_pieces(parts)
-    answers = first.where("r.response is not null").select(key.alias("call"), text("$.response").alias("body"))
+    answers = first.where("r.response is not null").select(key.alias("call"), _plain(F.col("x.response")).alias("body"))
     answers = answers.select("call", F.lit("r").alias("k"), expr.content_hash(F.col("body")).alias("hash"), "body", F.octet_length("body").cast("long").alias("z"))
     second = log.envelopes(lines).where("version = 2").select(key.alias("call"), F.col("resp"), F.posexplode(F.filter("refs", lambda x: x["k"] != "r")).alias("pos", "x"))
     named = second.select("call", F.col("pos").cast("long").alias("pos"), F.col("x.k").alias("k"), F.col("x.h").alias("hash"), F.col("x.z").alias("z"))
@@ -59,17 +87,19 @@ def migrate(lines: DataFrame, interval: int = tree.INTERVAL) -> tuple[DataFrame,
     known = log.calls(lines).where("version < 3").withColumn("call", key)
     lists = known.select("session_id", "pos", "call").join(entries, "call", "left").select("session_id", "pos", F.coalesce("entries", F.array().cast("array<string>")).alias("entries"))
     built = tree.build_nodes(lists, interval)
-    nodes = built.where("kind <> 'reuse'").select("hash", "parent", F.col("own").alias("entries"))
+    nodes = built.where("kind <> 'reuse'").select("hash", "parent", F.col("own").alias("entries"), "body")
     # the head and the summary as they were, or as they are computed from a record
     usage = F.when(F.col("has_usage"), F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), F.col("cache_read").alias("cacheReadTokens"), F.col("cache_write").alias("cacheWriteTokens"), F.col("reasoning_tokens").alias("reasoningTokens")))
     names = {"message_count": "messageCount", "request_chars": "requestChars", "tool_calls": "toolCalls", "called_tools": "calledTools", "tool_names": "toolNames"}
     sums = F.struct(*[F.col(c).alias(n) for c, n in names.items()], usage.alias("usage"), F.col("finish_kind").alias("finishKind"), F.col("finish_message").alias("finishMessage"))
-    head = F.when(F.col("r.schema") == 1, F.struct("r.reasoningEffort", "r.timing")).otherwise(F.struct("e.reasoningEffort", "e.timing"))
+    head = F.when(F.col("r.schema") == 1, F.struct("r.reasoningEffort", "r.timing", _options(F.col("r.request")).alias("opts"))).otherwise(F.struct("e.reasoningEffort", "e.timing", _options(F.col("e.opts")).alias("opts")))
     heads = rows.where("r.schema = 1 or e.v = 2").select("session_id", "pos", head.alias("h"))
     resp = answers.select("call", F.col("hash").alias("resp")).union(log.envelopes(lines).where("version = 2 and resp is not null").select(key.alias("call"), "resp"))
     whole = known.join(heads, ["session_id", "pos"]).join(built.select("session_id", "pos", "hash"), ["session_id", "pos"]).join(resp, "call", "left").join(firsts, "call", "left")
     fields = [F.lit(3).alias("v"), "id", F.col("session_id").cast("string").alias("sessionId"), "purpose", "provider", "model", F.col("h.reasoningEffort").alias("reasoningEffort"), F.col("request_hash").alias("requestHash"), "attempt"]
-    fields += [F.col("h.timing").alias("timing"), "status", F.col("hash").alias("tree"), "resp", F.coalesce("zn", F.lit(0)).alias("zn"), sums.alias("sum")]
+    fields += [F.col("h.timing").alias("timing"), "status", F.col("h.opts").alias("opts"), F.col("hash").alias("tree"), "resp", F.coalesce("zn", F.lit(0)).alias("zn"), sums.alias("sum")]
     out = whole.select("session_id", "pos", F.to_json(F.struct(*fields)).alias("line"))
-    stored = objects.put(taken.select("hash", "k", "body", "z").union(answers.select("hash", "k", "body", "z")))
+    trees = nodes.select("hash", F.lit("n").alias("k"), "body", F.octet_length("body").cast("long").alias("z"))
+    stored = objects.put(taken.select("hash", "k", "body", "z").union(answers.select("hash", "k", "body", "z")).union(trees))
+    nodes = nodes.drop("body")
     return out, stored, nodes

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracelume import schema
+from tracelume.functions import expr
 from tracelume.operators.steps import RETRY_MS, Tracker
 
 #: Chunks: what a call sends, in order of ``seq``; block, usage, finish and failure as JSON where the kind has them.
 CHUNKS = "call string, seq bigint, at bigint, kind string, block string, usage string, finish_kind string, failure string"
 RECORD = "call string, first_at bigint, ended_at bigint, chunk_count bigint, blocks array<string>, usage string, finish_kind string, failure string, status string"
-ABORTED = json.dumps({"message": "stream torn down before its finish", "code": "ABORTED"})
+ABORTED = json.dumps({"message": "stream closed before finish", "code": "ABORTED"}, separators=(",", ":"))
 
 
 def status_of(finish: Column, ended: Column) -> Column:
@@ -24,12 +26,20 @@ def status_of(finish: Column, ended: Column) -> Column:
     return F.when(finish.isin("error", "aborted"), finish).when(finish.isNotNull() | ended, "ok").otherwise("aborted")
 
 
+def redacted(failure: Column) -> Column:
+    """A failure's JSON with its message redacted and capped; what is no such JSON is redacted as a text. No credential of a provider's error text is stored."""
+    f = F.from_json(failure, schema.FAILURE)
+    known = F.struct(expr.redact(f["message"]).alias("message"), f["code"].alias("code"), f["status"].alias("status"), f["requestId"].alias("requestId"))
+    return F.when(f["message"].isNotNull(), F.to_json(known)).otherwise(expr.redact(failure))
+
+
 def fold_chunks(chunks: DataFrame) -> DataFrame:
     """One record per call, from a batch: finished blocks in order, the last usage and finish, first chunk's time, all chunks counted.
 
     A chunk of kind ``end`` closes a stream and is not counted; with it and without a
     finish, the call stopped as usual.
     """
+    chunks = chunks.withColumn("failure", redacted(F.col("failure")))
     real = F.col("kind") != "end"
     blocks = F.array_sort(F.collect_list(F.when(F.col("kind") == "block-end", F.struct("seq", "block"))))
     last = lambda c, k: F.max_by(F.when(F.col("kind") == k, F.col(c)), F.when(F.col("kind") == k, F.col("seq")))
