@@ -51,17 +51,6 @@ def test_tail_reads_what_is_new(spark, tmp_path):
     assert rows(log.tail_bytes(spark, str(tmp_path), seen)) == [("a", 17, 26, '{"torn"}'), ("a", 26, 31, "more"), ("b", 0, 2, "x")]
 
 
-def test_append_and_rewrite(spark, tmp_path):
-    path = f"{tmp_path}/log"
-    lines = lambda *x: spark.createDataFrame(list(x), "session_id string, pos long, line string")
-    log.append(lines(("s", 0, '{"a":"\n"}'), ("t", 0, "t0")), path)
-    log.append(lines(("s", 1, "s1"), ("s", 2, "s2")), path)
-    read = lambda: sorted(map(tuple, log.read_appended(spark, path).collect()))
-    assert read() == [("s", 0, '{"a":"\n"}'), ("s", 1, "s1"), ("s", 2, "s2"), ("t", 0, "t0")]
-    log.rewrite(maintain.trim_count(log.read_appended(spark, path), 2), path)
-    assert read() == [("s", 1, "s1"), ("s", 2, "s2"), ("t", 0, "t0")]
-
-
 def test_chains_to_the_longest_walk(spark):
     chain = lambda name, n: [(f"{name}{k}", f"{name}{k - 1}" if k else None, [f"{name}e{k}"]) for k in range(n)]
     nodes = chain("a", 64) + chain("b", 65) + chain("c", 1) + [("m1", "gone", ["x"]), ("y0", "y1", ["p"]), ("y1", "y0", ["q"])] + [("a0", None, ["ae0"])]

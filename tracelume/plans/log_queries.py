@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelume import service
 from tracelume.functions import expr
 from tracelume.operators import chart, ledger, maintain, objects, paging, tree
-from tracelume.sources import log, migrate
+from tracelume.sources import log, migrate, snapshots
 from tracelume.sources.driver import calls_from_events, read, turns_as_lists
 
 #: A tool call's program, as its arguments have it.
@@ -112,13 +112,14 @@ def log_tail(spark, d):
 
 
 def log_append(spark, d):
-    """A log appended to in two commits, trimmed to each session's newest 20 lines by a rewrite, and read back."""
+    """The ids of a log's lines, appended in two commits that hold each session to 100 bytes, trimmed to the newest 20 lines by a rewrite, and read back."""
     path, lines = scratch_path(spark, "log"), log_lines(spark, d)
+    lines = lines.withColumn("line", F.coalesce(F.get_json_object("line", "$.id"), F.lit("none")))
     early = F.col("pos") < 30
-    log.append(lines.where(early), path)
-    log.append(lines.where(~early), path)
-    log.rewrite(maintain.trim_count(log.read_appended(spark, path), 20), path)
-    return log.read_appended(spark, path).select("session_id", "pos", F.coalesce(F.get_json_object("line", "$.id"), F.lit("")).alias("id"))
+    snapshots.append(lines.where(early), path, 100)
+    number = snapshots.append(lines.where(~early), path, 100)
+    snapshots.rewrite(maintain.trim_count(snapshots.read(spark, path, number), 20), path, number)
+    return snapshots.read(spark, path).select("session_id", "pos", F.col("line").alias("id"))
 
 
 def ledger_sums(spark, d):
@@ -265,7 +266,8 @@ select session_id, failures, mtime_ms, bytes from s qualify coalesce(sum(bytes)
         "log_referenced": f"""with {_EVENTS}, h as (select sha256('s' || event_id) as hash, false as is_tree from lines where event_id % 3 = 1 union all select sha256('m' || event_id), false from lines where event_id % 3 = 1
   union all select sha256(cast(event_id as varchar)), true from lines where event_id % 3 = 2) select hash, bool_or(is_tree) as is_tree from h group by 1""",
         "log_tail": f"with {_EVENTS}, n as (select session_id, count(*) // 2 as half from every group by 1) select session_id, pos, id from every join n using (session_id) where pos >= half",
-        "log_append": f"with {_EVENTS} select session_id, pos, coalesce(id, '') as id from every qualify row_number() over (partition by session_id order by pos desc) <= 20",
+        "log_append": f"""with {_EVENTS}, l as (select session_id, pos, coalesce(id, 'none') as id from every)
+select session_id, pos, id from l qualify row_number() over (partition by session_id order by pos desc) <= 20 and sum(strlen(id) + 1) over (partition by session_id order by pos desc) <= 100""",
         "ledger_sums": f"""with {_EVENTS} select cast(event_id as varchar) as id, '{{"message_count":2,"request_chars":9,"tool_calls":4,"called_tools":[{{"name":"read","count":2}},{{"name":"list","count":1}},{{"name":"p' || (k % 2) || '","count":1}}],"tool_names":["run_code","read"]'
   || case when ok then ',"input_tokens":' || (k * 10) || ',"output_tokens":' || (k + 1) else '' end || case when ok and k % 5 <> 0 then ',"cache_read":' || (k * 90) else '' end || case when ok and k % 4 = 0 then ',"cache_write":' || (k * 3) else '' end
   || ',"finish_kind":"' || case when ok then 'stop"' else 'error","finish_message":"bad m' || (k % 3) || '"' end || '}}' as sum from lines where event_id % 3 = 0""",

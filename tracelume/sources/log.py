@@ -171,6 +171,14 @@ def blocks(data: bytes, at: int = HEADER) -> Iterator[tuple[str, bytes]]:
         at = body + length
 
 
+def block_entries(data: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """``hash, offset, content`` of one block; nothing if it cannot be decoded."""
+    n = int.from_bytes(data[5:7], "big")
+    offsets = [int.from_bytes(data[k + 32 : k + 36], "big") for k in range(PREAMBLE, PREAMBLE + n * ENTRY, ENTRY)]
+    for (h, raw), offset in zip(blocks(data, 0), offsets):
+        yield h, offset, raw
+
+
 def block(objects: list[tuple[str, bytes]]) -> bytes:
     """A block of (hash, content), deflated."""
     if not 0 < len(objects) <= MOST:
@@ -228,27 +236,6 @@ def append(lines: DataFrame, path: str) -> None:
     lines.select("session_id", "pos", "line").write.mode("append").partitionBy("session_id").json(path)
 
 
-def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    """``session_id, pos, line`` of what :func:`append` and :func:`rewrite` wrote; a filter on the session reads its folder alone."""
-    return spark.read.schema(_LINES).json(path).select("session_id", "pos", "line")
-
-
-def rewrite(lines: DataFrame, path: str) -> None:
-    """Replace the log by ``lines``, which may be read from it: written beside it, then swapped by renames."""
-    spark = lines.sparkSession
-    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    jvm = spark.sparkContext._jvm
-    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
-    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for p in (new, old):
-        fs.delete(at[p], True)
-    append(lines, new)
-    if fs.exists(at[path]):
-        fs.rename(at[path], at[old])
-    fs.rename(at[new], at[path])
-    fs.delete(at[old], True)
-
-
 def tail_bytes(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataFrame:
     """``session_id, at, end, line`` of complete lines beyond what was read; ``at`` and ``end`` are byte offsets, and the largest end is the next ``seen``.
 
