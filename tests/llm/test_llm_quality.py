@@ -9,6 +9,8 @@ from tracelume.llm import quality_rules as q
 from tracelume.llm import scratch
 
 D = len(q.VECTOR)
+#: Vectors here are no counts, so their axes have no units.
+NONE = (0.0,) * D
 ROWS = "g long, " + ", ".join(f"{v} double" for v in q.VECTOR)
 
 
@@ -55,8 +57,8 @@ def test_chi_squared():
 def test_estimates_match_a_search_with_many_starts(spark):
     s, of = scratch.Scratch(spark), groups()
     rows = s.table(spark.createDataFrame([(g, *map(float, v)) for g, x in of.items() for v in x], ROWS).repartition(5), "rows")
-    raw = {r.g: r for r in q.concentrated(s, rows).collect()}
-    found = {r.g: r for r in q.estimates(s, rows).collect()}
+    raw = {r.g: r for r in q.concentrated(s, rows, units=NONE).collect()}
+    found = {r.g: r for r in q.estimates(s, rows, units=NONE).collect()}
     for g, x in of.items():
         ld, m, c, d2 = mcd(x)
         e = found[g]
@@ -105,7 +107,7 @@ def test_no_switch_at_a_size(spark):
 
 def test_copies_count_once_and_fare_alike(spark):
     r = np.random.default_rng(6)
-    words = ["".join(r.choice(list("abcdefgh"), r.integers(2, 9))) for _ in range(400)]
+    words = ["".join(r.choice(list("abcdefghAB,;"), r.integers(2, 9))) for _ in range(400)]
     texts = [" ".join(r.choice(words, 60 + k % 50)) + ".\n" + " ".join(r.choice(words, 20)) for k in range(300)]
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
     some = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -12,7 +12,8 @@ chi-squared are rejected.
 A group's estimate is drawn towards its language's, and that towards the whole corpus',
 with the weight of ``PRIOR`` texts: a small group follows its language, and no size is a
 switch. A group that is degenerate, whose least covariance has no volume (fewer texts
-than dimensions, or three quarters on one line), has no weight of its own.
+than dimensions, or three quarters on one line), has no weight of its own. The corpus, which has no
+parent, counts even so: an axis on which its texts are alike is taken to be known to one count.
 
 Means, covariances and distance quantiles are aggregates that combine before the shuffle,
 so a hot group costs no task more. Cholesky factors are unrolled column expressions.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelume.llm.names import Held
@@ -33,11 +34,14 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Share of a group that an estimate rests on, share of normal data within the cut-off, and texts that a parent's estimate counts for.
 ALPHA, CUT, PRIOR = 0.75, 1 - 1e-6, 100
-VECTOR = ("v_word_len", "v_diversity", "v_symbols", "v_dup_lines", "v_repeats")
-#: Of the three shares: how many lines or words they are shrunk by, and what share counts as one unit of their logarithm.
-LINES_BEFORE, WORDS_BEFORE, UNIT = 20, 100, 0.02
+VECTOR = ("v_word_len", "v_short", "v_diversity", "v_marks", "v_capitals")
+#: Characters of a short word. What shares count from: as much text of these rates, so that short texts spread no wider than long ones.
+SHORT, WORDS_BEFORE = 3, 200
+WORD_LEN, SHORT_SHARE, MARKS, CAPITALS = 5.0, 0.4, 1 / 30, 1 / 60
 #: Least gain of a step in the determinant's logarithm; least scale that is not rounding.
 GAIN, ROUNDING = 1e-4, 1e-6
+#: What one character, word or mark more moves each axis by, in that stretch: no axis is known better, and so none has a smaller spread beside the others.
+UNITS = (1 / (WORD_LEN * WORDS_BEFORE), 1 / (SHORT_SHARE * WORDS_BEFORE), 1 / (WORDS_BEFORE * math.log(WORDS_BEFORE)), 1 / (MARKS * WORD_LEN * WORDS_BEFORE), 1 / (CAPITALS * WORD_LEN * WORDS_BEFORE))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _D = len(VECTOR)
 _CELLS = [(i, j) for j in range(_D) for i in range(j, _D)]
@@ -116,33 +120,33 @@ def _statistics(text: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     of_hashes = lambda h: F.struct(F.size(F.array_distinct(h)).cast("long").alias("n_distinct"), _repeated_words(h).alias("n_repeat_words"))
-    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), let(hashed(w), of_hashes).alias("r"))
+    short = lambda w: F.size(F.filter(w, lambda x: F.length(x) <= SHORT)).cast("long")
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), short(w).alias("n_short"), let(hashed(w), of_hashes).alias("r"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), _again(x).cast("long").alias("n_dup_lines"))
     return F.struct(
-        let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.xxhash64(text).alias("seed")
+        let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_marks"), F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals")
     )
 
 
 def _columns(q: str) -> dict[str, Column]:
     """Counts, base_failed and vector from the struct ``q``.
 
-    Logarithm of word length; distinct words as a power of all; and of three shares the
-    logarithm, as what is one in fifty more is as telling at any level. A count has no parts
-    below one: shares are spread there by a hash of the text, evenly over an eighth to one
-    unit, so that a statistic that most texts have none of has a spread of its own, and
-    equal texts fare alike.
+    Every axis varies by itself from text to text: logarithms of the mean word length, and of the shares of short words, of ASCII
+    punctuation (symbols among it) and of capitals, each counted from a stretch of typical prose; and distinct words as a power of
+    all, which shows lines and words that repeat.
     """
     f = {c: F.col(f"{q}.{p}") for c, p in zip(COUNTS, ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.r.n_repeat_words"))}
     n, chars, r = f["n_words"], f["word_chars"], f["n_repeat_words"]
-    spread = lambda k: F.lit(0.125) + F.pmod(F.xxhash64(F.col(f"{q}.seed"), F.lit(k)), F.lit(1 << 20)) * (0.875 / (1 << 20))
-    log = lambda k, c, of: F.log(spread(k) + c / (of * UNIT))
+    k, chars_before = float(WORDS_BEFORE), WORD_LEN * WORDS_BEFORE
+    share = lambda c, rate: F.log((F.col(f"{q}.{c}") + rate * chars_before) / (chars + chars_before))
     vector = (
-        F.log((chars + 1) / (n + 1)),
+        F.log((chars + chars_before) / (n + k)),
+        F.log((F.col(f"{q}.w.n_short") + SHORT_SHARE * k) / (n + k)),
         F.log(F.col(f"{q}.w.r.n_distinct") + 1.0) / F.log(n + 2.0),
-        log(0, f["n_symbols"], chars + 1),
-        log(1, f["n_dup_lines"], F.col(f"{q}.l.n_lines") + LINES_BEFORE),
-        log(2, r, n + WORDS_BEFORE),
+        share("n_marks", MARKS),
+        share("n_capitals", CAPITALS),
     )
     return f | {"base_failed": (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)} | dict(zip(VECTOR, vector))
 
@@ -165,10 +169,10 @@ _FROM = [f"x_{i}" for i in range(_D)]
 _CENTRED = [f"{v} - {m} AS {x}" for v, m, x in zip(VECTOR, _MEAN, _FROM)]
 
 
-def _factored(df: DataFrame) -> DataFrame:
-    """``df`` with the lower factor l_ij of c_ij, and ``ld``, the determinant's logarithm; a column names those before it."""
+def _factored(df: DataFrame, units: tuple[float, ...] = UNITS) -> DataFrame:
+    """``df`` with the lower factor l_ij of c_ij, its pivots ``units`` at least, and ``ld``, the determinant's logarithm; a column names those before it."""
     less = lambda i, j: " - ".join([f"c_{i}{j}", *[f"l_{i}{k} * l_{j}{k}" for k in range(j)]])
-    low = [f"sqrt(greatest({less(i, j)}, 1e-30D)) AS l_{i}{j}" if i == j else f"({less(i, j)}) / l_{j}{j} AS l_{i}{j}" for i, j in _CELLS]
+    low = [f"sqrt(greatest({less(i, j)}, {max(units[i] ** 2, 1e-30)!r}D)) AS l_{i}{j}" if i == j else f"({less(i, j)}) / l_{j}{j} AS l_{i}{j}" for i, j in _CELLS]
     return df.selectExpr("*", *low, f"2 * ({' + '.join(f'ln(l_{i}{i})' for i in range(_D))}) AS ld")
 
 
@@ -194,7 +198,7 @@ def _moments(scale: float = 1.0) -> list[str]:
     return [f"m_{i} + s_{i} / n AS m_{i}" for i in range(_D)] + [f"(q_{i}{j} / n - s_{i} / n * s_{j} / n) * {scale!r}D AS c_{i}{j}" for i, j in _CELLS]
 
 
-def _starts(scratch: Scratch, rows: DataFrame) -> DataFrame:
+def _starts(scratch: Scratch, rows: DataFrame, units: tuple[float, ...]) -> DataFrame:
     """``g, s, ...``: medians with central spreads; mean and covariance; medians with the covariance of directions."""
     aggs = [F.percentile_approx(v, [0.16, 0.5, 0.84], 200).alias(f"p_{i}") for i, v in enumerate(VECTOR)]
     spread = [F.greatest((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 2, F.lit(ROUNDING)).alias(f"d_{i}") for i in range(_D)]
@@ -208,37 +212,34 @@ def _starts(scratch: Scratch, rows: DataFrame) -> DataFrame:
     third = [f"a_{i}{j} * d_{i} * d_{j} * {_D} AS c_{i}{j}" for i, j in _CELLS]
     about, signs = scratch.table(_sums(x, "g"), "about"), scratch.table(signs, "signs")
     ways = [middle.selectExpr("g", "0 AS s", *_MEAN, *first), middle.join(about, "g").selectExpr("g", "1 AS s", *_moments()), middle.join(signs, "g").selectExpr("g", "2 AS s", *_MEAN, *third)]
-    return _factored(ways[0].union(ways[1]).union(ways[2])).withColumns({"ld": F.lit(math.inf), "done": F.lit(False)})
+    return _factored(ways[0].union(ways[1]).union(ways[2]), units).withColumns({"ld": F.lit(math.inf), "done": F.lit(False)})
 
 
-def _cuts(near: DataFrame, share: float) -> DataFrame:
-    """``g, s, cut``: the distance within which ``share`` of a group is, to a step of the logarithmic grain; what lies in the last step stays in whole."""
+def _nearest(near: DataFrame, share: float) -> DataFrame:
+    """``g, s`` and the sums of the ``share`` of a group that is nearest, to a step of the logarithmic grain; what lies in the last step stays in whole.
+
+    Sums are taken for each step, in one pass, and then over the steps within.
+    """
     step = F.floor(F.log2(F.col("d2") + 1e-9) * _GRAIN).cast("int")
-    counts = near.groupBy("g", "s", step.alias("step")).agg(F.count("*").alias("n"))
-    by = counts.groupBy("g", "s").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("h"), F.sum("n").alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("at"))
-    found = F.aggregate(
-        "h",
-        zero,
-        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["at"].isNull() & (a["n"] + x["n"] >= F.lit(share) * F.col("all")), x["step"]).otherwise(a["at"]).alias("at")),
-        lambda a: a["at"],
-    )
-    return by.select("g", "s", F.pow(F.lit(2.0), (found + 1) / F.lit(float(_GRAIN))).alias("cut"))
+    steps = _sums(near.withColumn("step", step), "g", "s", "step")
+    group = Window.partitionBy("g", "s")
+    before = F.coalesce(F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = steps.withColumns({"before": before, "all": F.sum("n").over(group)}).where(F.col("before") < share * F.col("all"))
+    sums = [c for c in steps.columns if c not in ("g", "s", "step")]
+    return within.groupBy("g", "s").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def concentrated(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def concentrated(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA, units: tuple[float, ...] = UNITS) -> DataFrame:
     """``g, n, m_i, c_ij, l_ij, ld`` of each group of the written table ``rows(g, VECTOR)``: the subset of least determinant.
 
-    A step that does not lower the determinant by ``GAIN`` ends its start, and what it had
-    before stays, so steps end by themselves; what has ended takes no further part.
+    A step is one pass over the rows of groups that have not ended. One that does not lower the determinant by ``GAIN`` ends its
+    start, and what it had before stays, so steps end by themselves; what has ended takes no further part.
     """
-    params = scratch.table(_starts(scratch, rows), "params")
+    params = scratch.table(_starts(scratch, rows, units), "params")
     while True:
         live = params.where("not done").select("g", "s", *_MEAN, *_LOW)
-        near = _measured(rows.join(live, "g"), "g", "s")
-        cut = scratch.table(_cuts(near, alpha), "cut")  # written, so its size is known and rows stay where they are
-        sums = scratch.table(_sums(near.join(cut, ["g", "s"]).where("d2 <= cut"), "g", "s"), "sums")
-        fresh = _factored(params.select("g", "s", *_MEAN).join(sums, ["g", "s"]).selectExpr("g", "s", *_moments()))
+        sums = _nearest(_measured(rows.join(live, "g"), "g", "s"), alpha)
+        fresh = _factored(params.select("g", "s", *_MEAN).join(sums, ["g", "s"]).selectExpr("g", "s", *_moments()), units)
         state = (*_MEAN, *_COV, *_LOW, "ld")
         both = params.join(fresh.selectExpr("g", "s", f"struct({', '.join(state)}) AS f"), ["g", "s"], "left").selectExpr("*", f"coalesce(f.ld < ld - {GAIN!r}D, false) AS better")
         moved = both.selectExpr("g", "s", *[f"if(better, f.{c}, {c}) AS {c}" for c in state], "done or not better AS done")
@@ -247,21 +248,22 @@ def concentrated(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> Dat
             break
     best = F.min_by(F.struct(*_MEAN, *_COV, *_LOW, "ld"), F.struct("ld", "s")).alias("b")
     out = scratch.table(params.groupBy("g").agg(best).select("g", "b.*"), "raw")
-    scratch.drop("params", "sums", "cut", "middle", "about", "signs")
+    scratch.drop("params", "middle", "about", "signs")
     return out
 
 
-def estimates(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def estimates(scratch: Scratch, rows: DataFrame, alpha: float = ALPHA, units: tuple[float, ...] = UNITS) -> DataFrame:
     """``g, n, own, m_i, c_ij``: consistent, reweighted estimates of each group of ``rows(g, VECTOR)``; ``own`` is false where degenerate."""
-    raw = concentrated(scratch, rows, alpha)
+    raw = concentrated(scratch, rows, alpha, units)
     scale = consistency(alpha)
     wide = raw.select("g", *_MEAN, *[(F.col(c) * math.sqrt(scale)).alias(c) for c in _LOW])
     near = _measured(rows.join(wide, "g"), "g").where(f"d2 <= {chi2_quantile(0.975, _D)!r}D")
     sums = scratch.table(_sums(near, "g"), "sums")
     moved = raw.select("g", *_MEAN).join(sums, "g").selectExpr("g", *_moments(consistency(0.975)))
-    flat = F.least(*[F.col(f"l_{i}{i}") for i in range(_D)]) <= ROUNDING
+    # judged by the covariance as it is, without the axes' units
+    bare = _factored(raw.select("g", *_COV), (0.0,) * _D).select("g", (F.least(*[F.col(f"l_{i}{i}") for i in range(_D)]) <= ROUNDING).alias("flat"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    out = scratch.table(raw.select("g", (~flat).alias("own")).join(sizes, "g").join(moved, "g", "left").withColumn("own", F.col("own") & F.col("m_0").isNotNull()), "estimates")
+    out = scratch.table(bare.select("g", (~F.col("flat")).alias("own")).join(sizes, "g").join(moved, "g", "left").withColumn("own", F.col("own") & F.col("m_0").isNotNull()), "estimates")
     scratch.drop("raw", "sums")
     return out
 
@@ -279,7 +281,8 @@ def fitted(scratch: Scratch, sound: DataFrame, prior: float = PRIOR, alpha: floa
     found = estimates(scratch, levels, alpha)
     tree = rows.select("g0", "g1", "g2").distinct()
     for k in range(3):
-        e = found.select(F.col("g").alias(f"g{k}"), F.when(F.col("own"), F.struct("n", *_MEAN, *_COV)).alias(f"e{k}"), F.col("n").alias(f"n{k}"))
+        counts = F.col("own") if k else F.col("own") | (F.col("n") > _D)
+        e = found.select(F.col("g").alias(f"g{k}"), F.when(counts, F.struct("n", *_MEAN, *_COV)).alias(f"e{k}"), F.col("n").alias(f"n{k}"))
         tree = tree.join(e, f"g{k}")
 
     def drawn(k: int, c: str) -> Column:

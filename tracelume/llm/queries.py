@@ -79,7 +79,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, model = mixing.mixed(_read(spark, sf_dir, "documents"), label_domains(_read(spark, sf_dir, "labels")), WEIGHTS, carry=["doc_id"])
     posteriors = [F.element_at("mix_posteriors", k + 1).alias(f"p_{d}") for k, d in enumerate(model.domains)]
-    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posteriors, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posteriors, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"), F.lit(model.fit.met).alias("met"))
 
 
 def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

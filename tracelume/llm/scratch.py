@@ -58,6 +58,23 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def short_plans(spark: SparkSession, length: int = 1 << 12) -> Iterator[None]:
+    """Inside, descriptions of plans are cut: the driver keeps one of every query, and one with a model's constants has megabytes."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(length))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished queries held: Spark deletes shuffle files, broadcasts and generated classes when the driver's collector finds them unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """The written tables of one operator call."""
 
