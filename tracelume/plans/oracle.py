@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelume.plans import log_queries, store_queries, wire_queries
+from tracelume.plans import log_queries, store_queries, stream_queries, wire_queries
 
 _CALLS = """
 e as (select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(value * 100) as bigint) + 1 as d from events),
@@ -214,4 +214,4 @@ select session_id, pos, x, series, y from s where n <= 40 or exists (select 1 fr
  case when tps_approx then '≈ ' else '' end || {_or_dash("tps is not null", f"{_sig3('tps')} || ' t/s'")} as speed, {_tokens('billed')} as billed, {_tokens('input_tokens')} as input, {_tokens('cache_read')} as hit,
  {_or_dash("cache_read is not null and billed > 0", f"{_sig3('(cast(cache_read as double) / billed * 100)')} || '%'")} as hit_pct, {_tokens('cache_write')} as "write", {_tokens('output_tokens')} as output, '–/–' as messages from metrics""",
     }
-    return found | log_queries.oracle_sql(_TIME, _LISTS, _STEPS, _CALLS) | wire_queries.oracle_sql(_LISTS) | store_queries.oracle_sql()
+    return found | log_queries.oracle_sql(_TIME, _LISTS, _STEPS, _CALLS) | wire_queries.oracle_sql(_LISTS) | store_queries.oracle_sql() | stream_queries.oracle_sql(log_queries._EVENTS, _CALLS)

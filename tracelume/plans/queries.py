@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelume.functions import expr, text
 from tracelume.operators import chart, decimate, ledger, maintain, objects, paging, rollup, steps, tree, wire
-from tracelume.plans import log_queries, store_queries, wire_queries
+from tracelume.plans import log_queries, store_queries, stream_queries, wire_queries
 from tracelume.sources.driver import calls_from_events, read, turns_as_lists
 from tracelume.streaming import stream
 
@@ -309,4 +309,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found += [token_buckets_5m, token_buckets_60m, token_stack, gap_runs, metric_extent, bar_columns, lttb_series, trim_by_bytes, trim_by_count, storage_footprint, piece_dedup, marginal_bytes]
     found += [message_reassembly, packing_order, tree_nodes, tree_hashes, tree_resolve, mark_reachable, gc_candidates, pack_candidates, repack_candidates, redact_text, redact_capped, tool_dispatches]
     found += [protocol_detect, wire_usage_totals, wire_chain, chain_prefix, session_files, formats, ledger_rows, spans_days, stream_attempts]
-    return {f.__name__: f for f in found} | wire_queries.queries() | log_queries.queries() | store_queries.queries()
+    return {f.__name__: f for f in found} | wire_queries.queries() | log_queries.queries() | store_queries.queries() | stream_queries.queries()

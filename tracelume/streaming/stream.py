@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelume import schema
 from tracelume.functions import expr
 from tracelume.operators.steps import RETRY_MS, Tracker
+from tracelume.streaming import splice
 
 #: Chunks: what a call sends, in order of ``seq``; block, usage, finish and failure as JSON where the kind has them.
 CHUNKS = "call string, seq bigint, at bigint, kind string, block string, usage string, finish_kind string, failure string"
@@ -58,43 +59,124 @@ def fold_chunks(chunks: DataFrame) -> DataFrame:
     return out.select("call", "first_at", "ended_at", "chunk_count", F.transform("b", lambda x: x["block"]).alias("blocks"), "usage", kind.alias("finish_kind"), failure.alias("failure"), status_of(F.col("f"), F.col("ended")).alias("status"))
 
 
-_STATE = "first_at bigint, ended_at bigint, chunk_count bigint, blocks string, usage string, finish_kind string, failure string"
+class _Fold(StatefulProcessor):
+    """A call's blocks as a list, one row each, and a head; a timer tells of a stream that fell silent."""
 
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
-    first, ended, count, blocks, usage, kind, failure = state.get if state.exists else (None, 0, 0, "[]", None, None, None)
-    held, done = json.loads(blocks), False
-    if not state.hasTimedOut:
-        for c in pd.concat(list(batches)).sort_values("seq").itertuples():
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "first_at bigint, ended_at bigint, chunk_count bigint, usage string, finish_kind string, failure string")
+        self.blocks = handle.getListState("blocks", "seq bigint, block string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, ended, count, usage, kind, failure = self.head.get() if self.head.exists() else (None, 0, 0, None, None, None)
+        done, fresh = False, []
+        for c in pd.concat(list(rows)).sort_values("seq").itertuples():
             ended = max(ended, c.at)
             if c.kind == "end":
                 done = True
                 continue
-            first, count = c.at if first is None else min(first, c.at), count + 1
+            first, count = int(c.at) if first is None else min(first, int(c.at)), count + 1
             if c.kind == "block-end":
-                held.append(c.block)
+                fresh.append((int(c.seq), c.block if isinstance(c.block, str) else None))
             elif c.kind == "usage":
-                usage = c.usage
+                usage = c.usage if isinstance(c.usage, str) else None
             elif c.kind == "finish":
                 kind, failure = c.finish_kind, c.failure if isinstance(c.failure, str) else None
-    if done or state.hasTimedOut:
-        if kind is None:
-            kind, failure = ("stop", None) if done else ("aborted", ABORTED)
-        state.remove()
-        row = [key[0], first, ended, count, held, usage, kind, failure, kind if kind in ("error", "aborted") else "ok"]
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in RECORD.split(", ")])
-    else:
-        state.update((first, ended, count, json.dumps(held), usage, kind, failure))
-        state.setTimeoutDuration(idle_ms)
+        for timer in list(self.handle.listTimers()) if self.idle_ms is not None else ():
+            self.handle.deleteTimer(timer)
+        if done:
+            yield self._record(key, first, ended, count, usage, kind or "stop", failure, fresh)
+            return
+        if fresh:
+            self.blocks.appendList(fresh)
+        self.head.update((first, int(ended), count, usage, kind, failure))
+        if self.idle_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.head.exists():
+            first, ended, count, usage, kind, failure = self.head.get()
+            yield self._record(key, first, ended, count, usage, kind or "aborted", failure if kind else ABORTED, [])
+
+    def _record(self, key, first, ended, count, usage, kind, failure, fresh) -> pd.DataFrame:
+        held = sorted([*(tuple(b) for b in self.blocks.get()), *fresh])
+        self.head.clear()
+        self.blocks.clear()
+        row = [key[0], first, int(ended), count, [b for _, b in held], usage, kind, failure, kind if kind in ("error", "aborted") else "ok"]
+        return pd.DataFrame([row], columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"first_at": "Int64"})
 
+    def close(self) -> None:
+        pass
 
-def stream_records(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
-    """The same for a stream: a record when its end arrives, or, torn down, after ``idle_ms`` of silence."""
 
-    def run(key, batches, state):
-        yield from _fold(key, batches, state, idle_ms)
+def _with_state(grouped, processor: StatefulProcessor, schema: str, time: str) -> DataFrame:
+    """Several kinds of state need the RocksDB store, which a session names before its query starts."""
+    grouped._df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return grouped.transformWithStateInPandas(processor, schema, "append", time)
 
-    return chunks.groupBy("call").applyInPandasWithState(run, RECORD, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+def stream_records(chunks: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
+    """The same for a stream: a record when its end arrives, or, torn down, after ``idle_ms`` of silence.
+
+    A query that waits for silence runs until it is stopped; with None calls without an end stay open, and a
+    query over what is there now ends. A batch adds its blocks to the call's state and reads none of those before; they are read once, for the record.
+    """
+    return _with_state(chunks.withColumn("failure", redacted(F.col("failure"))).groupBy("call"), _Fold(idle_ms), RECORD, "None" if idle_ms is None else "ProcessingTime")
+
+
+class _Bounded(StatefulProcessor):
+    """Attempts of the keys of one shard, in a map of at most ``most`` keys when a call begins."""
+
+    def __init__(self, window_ms: int, most: int):
+        self.window_ms, self.most = window_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.keys = handle.getMapState("keys", "session_id bigint, provider string", "hash string, attempt int, began bigint, ok boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {tuple(k): tuple(v) for k, v in self.keys.iterator()}
+        before, out = dict(known), []
+        for c in pd.concat(list(rows)).sort_values("pos").itertuples():
+            for k in [k for k, v in known.items() if c.started_at - v[2] > self.window_ms]:
+                del known[k]
+            while len(known) > self.most:
+                del known[min(known, key=lambda k: known[k][2])]
+            k, tracker = (int(c.session_id), c.provider), Tracker(self.window_ms)
+            if k in known:
+                h, attempt, began, ok = known[k]
+                tracker.state = (h, attempt, began, True, ok)
+            attempt = tracker.begin(c.request_hash, int(c.started_at))
+            # the youngest stands last, so of equal starts the one that came first goes first
+            known.pop(k, None)
+            known[k] = (c.request_hash, attempt, int(c.started_at), c.status == "ok")
+            out.append((*k, int(c.id), attempt))
+        for k in before.keys() - known.keys():
+            self.keys.removeKey(k)
+        for k, v in known.items():
+            if before.get(k) != v:
+                self.keys.updateValue(k, v)
+        yield pd.DataFrame(out, columns=["session_id", "provider", "id", "attempt"])
+
+    def close(self) -> None:
+        pass
+
+
+#: Keys whose attempts one process remembers.
+KEYS = 1024
+
+
+def stream_attempts_bounded(calls: DataFrame, window_ms: int = RETRY_MS, most: int = KEYS, shards: int = 1) -> DataFrame:
+    """``attempt`` of settled calls as one recorder numbers them, which remembers ``most`` keys: beyond that the oldest start is forgotten.
+
+    ``shards`` recorders share sessions by hash, each with a memory of its own; one is one recorder. Its state
+    is bounded whatever passes through.
+    """
+    shard = F.pmod(F.xxhash64("session_id"), F.lit(shards)).alias("shard")
+    rows = calls.select(shard, "session_id", "provider", "id", "pos", "request_hash", "status", "started_at")
+    return _with_state(rows.groupBy("shard"), _Bounded(window_ms, most), ATTEMPTS, "None")
 
 
 ATTEMPTS = "session_id bigint, provider string, id bigint, attempt int"
@@ -131,6 +213,7 @@ def stream_attempts(calls: DataFrame, window_ms: int = RETRY_MS, late_ms: int =
     return timed.groupBy("session_id", "provider").applyInPandasWithState(run, ATTEMPTS, "hash string, attempt int, began bigint, ok boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def refresh(calls: DataFrame, splice: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 3) -> StreamingQuery:
-    """Hand every micro-batch to ``splice``, which merges it into what is loaded."""
-    return calls.writeStream.foreachBatch(splice).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+def refresh(calls: DataFrame, path: str, checkpoint: str, seconds: float | None = 3) -> StreamingQuery:
+    """Keep the table at ``path`` (see :mod:`tracelume.streaming.splice`) up to a stream of calls, every few seconds, or once with None."""
+    writer = calls.writeStream.foreachBatch(splice.sink(path)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
