@@ -111,6 +111,7 @@ def test_a_batch_is_merged_once(spark, tmp_path):
 
 def test_pages_after_each_trigger(spark, tmp_path):
     schema = "session_id bigint, id bigint, pos bigint, status string"
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(schema).json(f"{tmp_path}/in")
     for k in range(3):
         spark.createDataFrame([(s, 1000 * s + i, 100 * k + i, f"{k}") for s in range(3) for i in range(60 * k, 60 * k + 90)], schema).write.mode("append").json(f"{tmp_path}/in")
