@@ -138,3 +138,29 @@ def test_copy_on_write_survives_a_crash_between_its_commits(spark, tmp_path, mon
     index = packs.read_index(spark, str(tmp_path))
     assert index.count() == 70  # copies beside what they are copies of
     assert {r.hash: bytes(r.body) for r in packs.lookup(wanted(spark, keep), index).collect()} == {sha(b): b for b in some[:10]}
+
+
+def test_a_sweep_is_carried_out(spark, tmp_path):
+    loose, store = tmp_path / "loose", str(tmp_path / "store")
+    loose.mkdir()
+    some = bodies(12, seed=5)
+    for k, b in enumerate(some):
+        (loose / sha(b)).write_bytes(log.put_frame(b))
+        age = 10 if k % 2 else 10_000  # seconds
+        os.utime(loose / sha(b), (1_700_000_000 - age,) * 2)
+    now = 1_700_000_000_000
+    h = [sha(b) for b in some]
+    nodes = spark.createDataFrame([(h[0], None, [f"s:{h[2]}", f"m:{h[3]}"]), (h[1], h[0], [f"m:{h[4]}"])], "hash string, parent string, entries array<string>")
+    roots = wanted(spark, [h[1], h[6]])  # a tree, and a response
+    ranks = spark.createDataFrame([(x, k) for k, x in enumerate(h)], "hash string, rank long")
+    broken = nodes.where(F.col("hash") != h[0])
+    assert packs.carry_out(spark, store, str(loose), roots, broken, ranks, now) == {"collected": 0, "packed": 3, "rewritten": 0}  # the root's parent is missing
+    assert packs.carry_out(spark, store, str(loose), roots, nodes, ranks, now) == {"collected": 2, "packed": 1, "rewritten": 0}
+    left = {f for f in os.listdir(loose) if not f.startswith(".")}
+    assert left == {h[k] for k in (1, 3, 5, 7, 9, 11)}  # young ones, dead or alive
+    index = packs.read_index(spark, store)
+    assert {r.hash for r in index.collect()} == {h[k] for k in (0, 2, 4, 6)}
+    found = packs.lookup(wanted(spark, [h[k] for k in (0, 1, 2, 3, 4, 6)]), index, str(loose))
+    assert {r.hash: bytes(r.body) for r in found.collect()} == {h[k]: some[k] for k in (0, 1, 2, 3, 4, 6)}
+    assert packs.carry_out(spark, store, str(loose), wanted(spark, [h[6]]), nodes, ranks, now)["rewritten"] >= 1
+    assert {r.hash for r in packs.read_index(spark, store).collect()} == {h[6]}

@@ -270,3 +270,47 @@ def repack(spark: SparkSession, path: str, live: DataFrame, least_bytes: int = m
 def _local(path):
     """A file's place without its scheme: listings and writers spell it differently."""
     return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
+def _drop(files: DataFrame) -> DataFrame:
+    """Delete ``files(hash, path)`` where they stand; ``hash`` of those that went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for h, uri in zip(*(c.to_pylist() for c in b.columns)):
+                fs, name = pafs.FileSystem.from_uri(uri)
+                try:
+                    fs.delete_file(name)
+                except FileNotFoundError:
+                    pass  # an attempt before this one had it
+                gone.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["hash"])
+
+    return files.select("hash", "path").mapInArrow(run, "hash string")
+
+
+def carry_out(spark: SparkSession, path: str, loose: str, roots: DataFrame, nodes: DataFrame, ranks: DataFrame, now_ms: int, budget: int = maintain.PACK_BUDGET, grace_ms: int = maintain.GRACE_MS, **limits: int) -> dict[str, int]:
+    """One sweep of loose files and packs, done: numbers of objects collected and packed, and of packs rewritten.
+
+    ``roots(hash)`` are what lines name, trees and pieces; ``nodes(hash, parent, entries)`` with entries ``k:hash``; ``ranks(hash, rank)``.
+    Live is what roots reach, and the pieces of every node reached. While a reached node is missing, nothing is collected and no pack rewritten. A loose
+    file goes only when a committed index names its object, so a crash leaves copies.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(loose)
+    files = files.select(F.regexp_extract("path", r"([0-9a-f]{64})$", 1).alias("hash"), "path", F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    files = tree.checkpointed(files.where("hash <> ''"))
+    marked = tree.reachable(roots, nodes)
+    pieces = nodes.join(marked, "hash", "left_semi").select(F.explode("entries").alias("x")).select(F.substring("x", 3, 64).alias("hash"))
+    live = tree.checkpointed(marked.union(pieces).distinct())
+    # a root may be a piece, which has no node; a parent must be one
+    parents = nodes.join(marked, "hash", "left_semi").where("parent is not null").select(F.col("parent").alias("hash")).distinct()
+    complete = tree.missing(parents, nodes).isEmpty()
+    collected = _drop(maintain.garbage(files, live, now_ms, grace_ms, complete)).count()
+    cold = tree.checkpointed(maintain.pack_candidates(files, live, ranks, now_ms - grace_ms, budget).select("hash", "path", "rank"))
+    bodies = tree.checkpointed(_loose(cold.select("hash"), loose).select("hash", "body"))
+    last = F.coalesce("rank", F.lit((1 << 62)))
+    index = write(bodies.join(cold, "hash").select("hash", F.struct(last.alias("rank"), "hash").alias("rank"), "body"), path, **limits)
+    packed = _drop(cold.join(index.select("hash"), "hash", "left_semi").join(bodies.select("hash"), "hash", "left_semi")).count()
+    rewritten = repack(spark, path, live, loose=loose, **limits).where("rewritten").count() if complete else 0
+    return {"collected": collected, "packed": packed, "rewritten": rewritten}
