@@ -144,3 +144,13 @@ def test_nearest_points(spark):
         xs = sorted(p for g, p in points if g == x.g and p is not None and abs(p) < 1e9)
         want = None if x.v is None or not xs else xs[ticks.nearest_index(xs, x.v)]
         assert x.nearest == want, x
+
+
+def test_nearest_points_of_one_large_group(spark):
+    """Frames that begin at the start grow with their rows; one up to the end is walked anew for each."""
+    n = 20_000
+    points = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") * 3).cast("double").alias("x"))
+    probes = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") * 3 + 2).cast("double").alias("v"))
+    found = axes.nearest(probes, points, ["g"])
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert found.where(F.col("nearest") != F.least(F.col("v") + 1, F.lit(3.0 * (n - 1)))).count() == 0 and found.count() == n

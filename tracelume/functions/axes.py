@@ -38,8 +38,8 @@ def time_ticks(lo: Column, hi: Column, zone: Column | str = "UTC") -> Column:
 def nearest(probes: DataFrame, points: DataFrame, by: list[str], at: str = "v", x: str = "x") -> DataFrame:
     """``probes`` with ``nearest``: of the points of its group the ``x`` next to its ``at``, the lower of two as near; null if the group has none.
 
-    Both tables are ordered together, and a probe takes the last point up to it and the first from it
-    on; no pairs are made. Null and non-finite points are none, and a null probe has no nearest.
+    Both tables are ordered together, and a probe takes the last point up to it and, in the order reversed, the last down to
+    it: both frames begin at the start, so each only grows. No pairs are made. Null and non-finite points are none, and a null probe has no nearest.
     """
     columns = probes.columns
     sound = points.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & (F.abs(F.col(x).cast("double")) < float("inf")))
@@ -47,10 +47,10 @@ def nearest(probes: DataFrame, points: DataFrame, by: list[str], at: str = "v",
     left = probes.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(by)], F.col(at).cast("double").alias("_at"), F.lit(None).cast("double").alias("_x"), row.alias("_row"))
     right = sound.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(by)], F.col(x).cast("double").alias("_at"), F.col(x).cast("double").alias("_x")).withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType))
     keys = [f"_k{k}" for k in range(len(by))]
-    order = Window.partitionBy(*keys).orderBy("_at")
     both = left.union(right)
-    below = F.last("_x", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("_x", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # a frame up to the end is walked anew for each row
+    up_to = lambda order: F.last("_x", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    below, above = up_to(F.asc("_at")), up_to(F.desc("_at"))
     found = both.withColumns({"_lo": below, "_hi": above}).where("_row is not null")
     lower = F.col("_hi").isNull() | (F.col("_at") - F.col("_lo") <= F.col("_hi") - F.col("_at"))
     return found.select("_row.*", F.when(F.col("_at").isNotNull(), F.when(lower & F.col("_lo").isNotNull(), F.col("_lo")).otherwise(F.col("_hi"))).alias("nearest"))
