@@ -98,3 +98,11 @@ def test_of_two_writers_both_appends_stay(spark, tmp_path, monkeypatch):
     assert read(spark, path) == sorted([*OLD, ("s", 2, "s2"), ("t", 1, "t1")])
     assert not real(spark, path, 3, {"parts": [], "floors": None})
     assert snapshots.read(spark, path).where(F.col("session_id") == "t").count() == 2
+
+
+def test_files_do_not_grow_with_sessions(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(0, 600, 1, 3).select(F.concat(F.lit("s/=é "), "id").alias("session_id"), F.col("id").alias("pos"), F.concat(F.lit("line\t"), "id").alias("line"))
+    snapshots.append(rows, path)
+    assert len(list((tmp_path / "log").rglob("part-*.json"))) <= 3
+    assert read(spark, path) == sorted(map(tuple, rows.collect()))

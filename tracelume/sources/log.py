@@ -232,8 +232,11 @@ _LINES = "pos bigint, line string, session_id string"
 
 
 def append(lines: DataFrame, path: str) -> None:
-    """Append ``lines(session_id, pos, line)`` by session; Spark's commit makes a file whole or absent, so nothing is ever torn."""
-    lines.select("session_id", "pos", "line").write.mode("append").partitionBy("session_id").json(path)
+    """Append ``lines(session_id, pos, line)``; Spark's commit makes a file whole or absent, so nothing is ever torn.
+
+    The session is a column and not a folder: files are as many as tasks, however many sessions there are.
+    """
+    lines.select("session_id", "pos", "line").write.mode("append").json(path)
 
 
 def tail_bytes(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataFrame:

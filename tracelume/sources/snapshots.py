@@ -78,7 +78,7 @@ def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame
 
 def _lines(spark: SparkSession, content: dict) -> DataFrame:
     out = spark.createDataFrame([], "session_id string, pos long, line string")
-    # a part is a folder of Spark's own making; the session is its partition
+    # a part is a folder of Spark's own making, of lines of many sessions
     for part in content["parts"]:
         out = out.union(spark.read.schema(log._LINES).json(part).select("session_id", "pos", "line"))
     if content["floors"]:
