@@ -79,6 +79,18 @@ def test_summary_and_buckets(spark):
     assert [(x.model, x.n_calls) for x in rollup.model_tally(df).orderBy("first_pos").collect()] == [("m", 2), ("n", 1)]
 
 
+def test_windows_are_not_shuffled(spark):
+    """Windows without calls are made after the calls' own shuffle, so what is shuffled does not grow with them."""
+    cols = "session_id long, pos long, id long, started_at long, cache_read long, input_tokens long, cache_write long, output_tokens long"
+    rows = [(1, 0, 7, 300_000, 1, 2, 3, 4), (1, 1, 8, 10, 1, None, 3, 4), (1, 2, 9, 86_400_000, 0, 5, 0, 0), (2, 0, 1, 600_000, 0, 1, 0, 0), (2, 1, 2, None, 9, 9, 9, 9), (3, 0, 3, None, 9, 9, 9, 9), (None, 0, 4, 0, 9, 9, 9, 9)]
+    out = rollup.token_buckets(spark.createDataFrame(rows, cols), 5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.session_id, r.bucket): tuple(r)[2:] for r in out.collect()}
+    assert len(got) == out.count() == 289 + 1 + 1
+    assert {k: v for k, v in got.items() if v != (0, 0, 0, 0, "")} == {(1, 0): (1, 0, 3, 4, "8"), (1, 300_000): (1, 2, 3, 4, "7"), (1, 86_400_000): (0, 5, 0, 0, "9"), (2, 600_000): (0, 1, 0, 0, "1")}
+    assert got[None, 0] == (0, 0, 0, 0, "")
+
+
 def test_stack_and_runs(spark):
     p = spark.createDataFrame([("s", 0, 1, k, v) for k, v in (("cacheRead", 900.0), ("in", None), ("cacheWrite", 5.0), ("out", 10.0))], "session_id string, pos long, x long, series string, y double")
     assert {r.series: r.top for r in chart.stacked(p).collect()} == {"cacheRead": 900, "in": None, "cacheWrite": 905, "out": 915}

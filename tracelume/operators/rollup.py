@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelume.functions import expr
@@ -51,15 +51,17 @@ def token_buckets(calls: DataFrame, minutes: int) -> DataFrame:
     window's first call in the log's order, empty for none; null usage adds nothing.
     """
     width = max(1, min(1440, minutes)) * 60_000
-    ends = calls.groupBy("session_id").agg(F.min("started_at").alias("lo"), F.max("started_at").alias("hi"))
-    anchor = expr.local_midnight(F.col("lo"))
-    ends = ends.withColumn("anchor", anchor).select(
-        "session_id", "anchor", expr.bucket_start(F.col("lo"), width, F.col("anchor")).alias("first"), expr.bucket_start(F.col("hi"), width, F.col("anchor")).alias("last")
-    )
-    placed = calls.join(ends, "session_id").withColumn("bucket", expr.bucket_start(F.col("started_at"), width, F.col("anchor")))
+    # one shuffle, of the calls: the windows between two of a session are made where the first of them stands
+    by = Window.partitionBy("session_id")
+    first = F.min("started_at").over(by)
+    placed = calls.where("started_at is not null").withColumn("_lo", first)
+    placed = placed.withColumn("bucket", expr.bucket_start(F.col("started_at"), width, expr.local_midnight(F.col("_lo"))))
+    names = ("cache_read", "input_tokens", "cache_write", "output_tokens")
     total = lambda c: F.sum(F.coalesce(c, F.lit(0).cast("long"))).alias(c)
-    sums = placed.groupBy("session_id", "bucket").agg(*[total(c) for c in ("cache_read", "input_tokens", "cache_write", "output_tokens")], F.min_by("id", "pos").cast("string").alias("call_id"))
-    grid = ends.select("session_id", F.explode(F.sequence("first", "last", F.lit(width).cast("long"))).alias("bucket"))
-    out = grid.join(sums, ["session_id", "bucket"], "left")
-    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cache_read", "input_tokens", "cache_write", "output_tokens")]
-    return out.select("session_id", "bucket", *zero, F.coalesce("call_id", F.lit("")).alias("call_id"))
+    sums = placed.groupBy("session_id", "bucket").agg(*[total(c) for c in names], F.coalesce(F.min_by("id", "pos").cast("string"), F.lit("")).alias("call_id"))
+    step = F.lit(width).cast("long")
+    until = F.coalesce(F.lead("bucket").over(by.orderBy("bucket")) - step, F.col("bucket"))
+    out = sums.withColumn("_until", until).select("*", F.explode(F.sequence("bucket", "_until", step)).alias("_at"))
+    own = (F.col("_at") == F.col("bucket")) & F.col("session_id").isNotNull()  # calls of no session are in no window
+    zero = [F.when(own, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in names]
+    return out.select("session_id", F.col("_at").alias("bucket"), *zero, F.when(own, F.col("call_id")).otherwise(F.lit("")).alias("call_id"))
