@@ -54,6 +54,20 @@ def test_parts_of_a_range_share_lines(tmp_path, monkeypatch, part):
     assert [x["line"] for x in got] == lines and all(text[x["at"] : x["end"]] == x["line"] + "\n" for x in got)
 
 
+def test_small_files_share_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "ROWS", 7)
+    for k in range(600):
+        (tmp_path / f"s{k}.jsonl").write_text(f"a{k}\nb{k}\ntorn")
+    reader = tail.LogTailReader(str(tmp_path))
+    end = reader.latestOffset()
+    half = {name: e // 2 for name, e in end.items()}
+    lines = lambda start: [(x["session_id"], x["line"]) for p in reader.partitions(start, end) for b in reader.read(p) for x in b.to_pylist()]
+    assert len(end) == 600 and len(reader.partitions({}, end)) == len(reader.partitions(half, end)) == 3 and reader.partitions(end, end) == []
+    assert sorted(lines({})) == sorted((f"s{k}", f"{x}{k}") for k in range(600) for x in "ab")
+    assert sorted(lines(half)) == sorted((f"s{k}", f"b{k}") for k in range(600))
+    assert len(lines({name: 1 for name in end})) == 1200  # no offset stands within a line: all were rewritten
+
+
 def chunk(call, seq, kind, **x):
     return (call, seq, 100 + seq, kind, x.get("block"), x.get("usage"), x.get("finish"), x.get("failure"))
 

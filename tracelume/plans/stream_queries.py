@@ -48,11 +48,11 @@ def _write_logs(texts: DataFrame, path: str) -> None:
     uri = path if ":/" in path else f"file://{path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(root, recursive=True)
         for b in batches:
             for session, text in zip(*(c.to_pylist() for c in b.columns)):
-                fs, name = pafs.FileSystem.from_uri(f"{uri}/{session}.jsonl")
-                fs.create_dir(name.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(name) as f:
+                with fs.open_output_stream(f"{root}/{session}.jsonl") as f:
                     f.write(text.encode())
             yield b.slice(0, 0)
 

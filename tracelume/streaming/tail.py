@@ -8,6 +8,7 @@ than its offset, or has no newline before it, was rewritten and is read from its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,6 +18,8 @@ SCHEMA = "session_id string, at long, end long, line string"
 _ARROW = pa.schema([("session_id", pa.string()), ("at", pa.int64()), ("end", pa.int64()), ("line", pa.string())])
 #: Bytes read at a time, backwards for a newline and forwards for lines; and of a partition.
 CHUNK, PART = 1 << 16, 64 << 20
+#: Files of a partition, files that the driver looks at at once, and rows of a batch.
+FILES, LOOKS, ROWS = 256, 16, 10_000
 
 
 def last_newline(file, size: int, floor: int = 0) -> int:
@@ -33,8 +36,10 @@ def last_newline(file, size: int, floor: int = 0) -> int:
 
 
 class Part(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+    """Ranges ``name, start, end, resumed`` of one or more files; a resumed one begins at an offset that the stream keeps."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, bool]]):
+        self.ranges = ranges
 
 
 class LogTailReader(DataSourceStreamReader):
@@ -50,73 +55,95 @@ class LogTailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         fs, root = self._open()
-        ends = {}
-        for f in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-            if f.is_file and f.path.endswith(".jsonl"):
-                with fs.open_input_file(f.path) as file:
-                    if end := last_newline(file, f.size):
-                        ends[f.path[len(root) + 1 :]] = end
-        return ends
+        files = [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file and f.path.endswith(".jsonl")]
+
+        def end(f: pafs.FileInfo) -> int:
+            with fs.open_input_file(f.path) as file:
+                return last_newline(file, f.size)
+
+        with ThreadPoolExecutor(LOOKS) as pool:
+            return {f.path[len(root) + 1 :]: e for f, e in zip(files, pool.map(end, files)) if e}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        fs, root = self._open()
-        parts = []
+        parts, held, size = [], [], 0
         for name, upto in sorted(end.items()):
             from_ = start.get(name, 0)
             if from_ == upto:
                 continue
-            if from_ > upto or not self._at_line(fs, f"{root}/{name}", from_):
+            if from_ > upto:
                 from_ = 0
-            # large ranges are shared out; a part begins and ends at lines of its own finding
+            # large ranges are shared out, and small ones put together; a range begins and ends at lines of its own finding
             for at in range(from_, upto, PART):
-                parts.append(Part(name, at, min(at + PART, upto)))
-        return parts
+                to = min(at + PART, upto)
+                if held and (size + to - at > PART or len(held) == FILES):
+                    parts.append(Part(held))
+                    held, size = [], 0
+                held.append((name, at, to, 0 < from_ == at))
+                size += to - at
+        return [*parts, Part(held)] if held else parts
 
     @staticmethod
-    def _at_line(fs, path: str, at: int) -> bool:
+    def _at_line(file, at: int) -> bool:
         if not at:
             return True
-        with fs.open_input_file(path) as f:
-            f.seek(at - 1)
-            return f.read(1) == b"\n"
+        file.seek(at - 1)
+        return file.read(1) == b"\n"
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         fs, root = self._open()
-        session = part.name.rpartition("/")[2].removesuffix(".jsonl")
-        with fs.open_input_file(f"{root}/{part.name}") as f:
-            at = part.start
-            if at and not self._at_line(fs, f"{root}/{part.name}", at):
-                # within a line, which is the part's before it
+        rows = []
+        for name, start, end, resumed in part.ranges:
+            session = name.rpartition("/")[2].removesuffix(".jsonl")
+            with fs.open_input_file(f"{root}/{name}") as f:
+                for at, to, line in self._lines(f, start, end, resumed):
+                    rows.append((session, at, to, line))
+                    if len(rows) == ROWS:
+                        yield self._batch(rows)
+                        rows = []
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+    def _lines(self, f, start: int, end: int, resumed: bool) -> Iterator[tuple[int, int, str]]:
+        """Lines that begin in a range: their places and texts."""
+        at = start
+        if not self._at_line(f, at):
+            if resumed:
+                # the file was rewritten
+                at = 0
+            else:
+                # within a line, which is the range's before it
                 f.seek(at)
-                while at < part.end:
-                    data = f.read(min(CHUNK, part.end - at))
+                while at < end:
+                    data = f.read(min(CHUNK, end - at))
                     found = data.find(b"\n")
                     at += found + 1 if found >= 0 else len(data)
                     if found >= 0 or not data:
                         break
-            held = b""
-            f.seek(at)
-            place = at
-            while True:
-                # beyond the part's end only the line that stands there is read to its end
-                if place >= part.end and (not held or held.endswith(b"\n")):
-                    break
-                data = f.read(CHUNK if place >= part.end else min(CHUNK, part.end - place))
-                if not data:
-                    break
-                held += data
-                place += len(data)
-                if place >= part.end and (cut := held.find(b"\n", max(0, part.end - at - 1))) >= 0:
-                    held = held[: cut + 1]
-                lines = held.split(b"\n")
-                held, rows = lines.pop(), []
-                for line in lines:
-                    rows.append((session, at, at + len(line) + 1, line.decode("utf-8", "replace")))
-                    at += len(line) + 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
-                if at >= part.end:
-                    break
+        held = b""
+        f.seek(at)
+        place = at
+        while True:
+            # beyond the range's end only the line that stands there is read to its end
+            if place >= end and (not held or held.endswith(b"\n")):
+                break
+            data = f.read(CHUNK if place >= end else min(CHUNK, end - place))
+            if not data:
+                break
+            held += data
+            place += len(data)
+            if place >= end and (cut := held.find(b"\n", max(0, end - at - 1))) >= 0:
+                held = held[: cut + 1]
+            lines = held.split(b"\n")
+            held = lines.pop()
+            for line in lines:
+                yield at, at + len(line) + 1, line.decode("utf-8", "replace")
+                at += len(line) + 1
+            if at >= end:
+                break
 
     def commit(self, end: dict) -> None:
         """Files are the source of record: nothing is to be let go."""
