@@ -205,3 +205,14 @@ def test_failures_are_redacted(spark):
     got = {r.call: r.failure for r in stream.fold_chunks(spark.createDataFrame(rows, stream.CHUNKS)).collect()}
     assert got["a"] == '{"message":"Incorrect API key provided: <redacted>","code":"401","status":401}' and got["b"] == "<redacted>"
     assert got["c"] == '{"message":"stream closed before finish","code":"ABORTED"}'
+
+
+def test_many_calls_are_looked_up(spark):
+    from tracelume import service
+    from tracelume.plans import log_queries
+
+    calls = spark.createDataFrame([(1, 7, 5), (1, 7, 3), (1, 8, 4), (2, 7, 9)], "session_id long, id long, pos long")
+    wanted = spark.createDataFrame([(1, 7), (2, 7), (2, 9), (1, 7)], "session_id long, id long")
+    assert sorted(map(tuple, service.get_calls(calls, wanted).collect())) == [(1, 7, 3), (2, 7, 9)]
+    sf = "/root/testdata/sf0.001"
+    assert log_queries.call_lookup(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()

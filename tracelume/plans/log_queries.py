@@ -165,11 +165,11 @@ def visible_stack(spark, d):
 
 
 def call_lookup(spark, d):
-    """The read interface's lookup of the busiest session's last call, in a log that has each call twice: the first of its id."""
+    """The read interface's lookup of every session's last call, in a log that has each call twice: the first of its id."""
     c = calls_from_events(read(spark, d, "events"))
-    top = c.groupBy("session_id").agg(F.count("*").alias("n"), F.max("id").alias("id")).orderBy(F.desc("n"), "session_id").first()
+    last = c.groupBy("session_id").agg(F.max("id").alias("id"))
     twice = c.union(c.withColumn("pos", F.col("pos") + 1_000_000))
-    return service.get_call(twice, top.session_id, top.id).select("session_id", "id", "pos", "status", "model")
+    return service.get_calls(twice, last).select("session_id", "id", "pos", "status", "model")
 
 
 def session_page(spark, d):
@@ -277,7 +277,7 @@ select session_id, pos, id from l qualify row_number() over (partition by sessio
         "utf16_lengths": "select doc_id, cast(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) as bigint) as n from documents",
         "visible_stack": f"""{time_series}, o as (select *, list_position(['in', 'cacheWrite', 'out'], series) as r from series where series in ('in', 'cacheWrite', 'out'))
 select session_id, pos, series, y, case when y is not null then sum(y) over (partition by session_id, pos order by r) end as top from o""",
-        "call_lookup": f"with {calls}, top as (select session_id, max(id) as id from calls group by 1 order by count(*) desc, session_id limit 1) select session_id, id, pos, status, model from calls where (session_id, id) in (select (session_id, id) from top)",
+        "call_lookup": f"with {calls} select session_id, id, pos, status, model from calls qualify id = max(id) over (partition by session_id)",
         "session_page": f"with {steps}, top as (select session_id from calls group by 1 order by count(*) desc, session_id limit 1) select session_id, id, step, status from stepped where session_id = (select session_id from top) order by pos desc limit 25 offset 5",
         "call_detail": f"""with {lists}, f as (select l.*, c.text, {lost('c.text')} as answer, {lost('l.system')} as first, [{lost('x')} for x in l.messages] as found from lists l join conversations c on c.conv_id = l.session_id and c.turn = l.pos)
 select session_id, pos, cast(call % 3 as varchar) as id, case when session_id % 2 = 1 then 2 else 3 end as version, case when pos % 3 = 0 then pos / 4 end as temperature, case when pos % 3 = 0 then pos::bigint end as max_tokens, case when pos % 3 = 0 then 'END' end as stop,

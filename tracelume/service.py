@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelume.operators import paging, rollup, steps
@@ -26,3 +26,11 @@ def list_calls(calls: DataFrame, session_id: object, limit: object = None, offse
 def get_call(calls: DataFrame, session_id: object, call_id: object) -> DataFrame:
     """The first call of that id in the session, or no row."""
     return calls.where((F.col("session_id") == F.lit(session_id)) & (F.col("id") == F.lit(call_id))).orderBy("pos").limit(1)
+
+
+def get_calls(calls: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for many: the first call of each ``wanted(session_id, id)`` that there is."""
+    key = ["session_id", "id"]
+    first = Window.partitionBy(*key).orderBy("pos")
+    found = calls.join(wanted.select(*key), key, "left_semi").withColumn("_n", F.row_number().over(first))
+    return found.where("_n = 1").drop("_n")
