@@ -75,7 +75,8 @@ def log_migrated(spark, d):
     """The list projection of the same log once all lines are of the latest version, and the request options that they keep."""
     lines = log_lines(spark, d)
     moved, _, _ = migrate.migrate(lines)
-    whole = moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line"))
+    # written once, as it is read twice
+    whole = tree.checkpointed(moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line")))
     opts = log.envelopes(whole).select("session_id", "pos", "opts.temperature", F.col("opts.maxTokens").alias("max_tokens"), F.array_join("opts.stop", "|").alias("stop"))
     c = log.calls(whole).join(opts, ["session_id", "pos"])
     return c.drop("line_bytes", "reasoning_tokens", "object_bytes").withColumns({"called_tools": expr.x_label(F.col("called_tools")), "tool_names": F.array_join("tool_names", ",")})
