@@ -1,6 +1,7 @@
 """Near copies by exact similarity, against all pairs."""
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from tracelume.llm import jaccard, simhash
@@ -73,3 +74,12 @@ def test_large_group_of_near_copies_without_all_pairs(spark, tmp_path):
     spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/docs")
     kept = sorted(x.doc_id for x in jaccard.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect())
     assert kept == [0, *range(1000, 1050)]
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    """45,000 documents, of which some shingles stand in nine, the least that is frequent there, and others in eight."""
+    docs = spark.range(45_000).selectExpr("concat('a b c d e', id, case when id < 450 then concat(' q w r t y', id % 50, ' x', id) when id < 850 then concat(' q w r t z', id % 50, ' x', id) else '' end) as text")
+    got = jaccard._frequent(docs, "text", 5)
+    nine = {xxhash.xxh64_intdigest(f"q w r t y{k}".encode()) >> 2 for k in range(50)}
+    eight = {xxhash.xxh64_intdigest(f"q w r t z{k}".encode()) >> 2 for k in range(50)}
+    assert nine <= set(got.tolist()) and not eight & set(got.tolist())
