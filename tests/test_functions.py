@@ -1,5 +1,6 @@
 """Display formats, ticks, and expressions, by literal facts."""
 
+import json
 import math
 
 import pytest
@@ -79,3 +80,15 @@ def test_expressions(spark):
     assert (row.h0, row.h1, row.h2) == (0, None, 50)
     assert (row.s0.tps, row.s0.approx) == (100, False) and (round(row.s1.tps, 3), row.s1.approx) == (83.333, True) and (row.s2.tps, row.s2.approx) == (4500, True) and row.s3 is None
     assert row.b == -60_000 and row.c == 2
+
+
+def test_wire_json_renders_a_batch_in_parts(spark, monkeypatch):
+    """Records beyond a part, and nulls, in their places: only one part is held as objects."""
+    from tracelume.operators import wire
+
+    monkeypatch.setattr(wire, "AT_ONCE", 7)
+    record = lambda k: json.dumps({"id": str(k), "model": "gpt-4", "request": {"messages": [{"role": "user", "content": [{"type": "text", "text": f"é{k}"}]}]}, "response": {"blocks": []}})
+    rows = [(k, None if k % 10 == 3 else record(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, record string").coalesce(1)
+    got = df.select("k", wire.wire_json(F.col("record"), F.lit("openai-responses"), "request").alias("j")).collect()
+    assert {r.k: r.j for r in got} == {k: wire._line(r, "openai-responses", "request", None) for k, r in rows}
