@@ -168,3 +168,15 @@ def test_nearest_points_of_one_large_group(spark):
     found = axes.nearest(probes, points, ["g"])
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert found.where(F.col("nearest") != F.least(F.col("v") + 1, F.lit(3.0 * (n - 1)))).count() == 0 and found.count() == n
+
+
+def test_attempts_are_handed_what_they_read(spark, tmp_path):
+    """Other columns of a call are not handed over key by key; calls are taken in order of their place."""
+    rows = [(1, "p", 7, 2, "h", "ok", 3_000, "wide"), (1, "p", 5, 1, "h", "error", 1_000, "wide"), (1, "p", 9, 3, "h", "ok", 5_000, "wide")]
+    df = spark.createDataFrame(rows, "session_id long, provider string, id long, pos long, request_hash string, status string, started_at long, other string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    # what Arrow has no type for
+    out = stream.stream_attempts(source.withColumn("other", F.expr("make_interval(0, 1)")), 120_000)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert sorted((r.id, r.attempt) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(5, 1), (7, 2), (9, 1)]

@@ -22,6 +22,11 @@ RECORD = "call string, first_at bigint, ended_at bigint, chunk_count bigint, blo
 ABORTED = json.dumps({"message": "stream closed before finish", "code": "ABORTED"}, separators=(",", ":"))
 
 
+def _in_order(batches: Iterator[pd.DataFrame], by: str, *names: str) -> list[tuple]:
+    """``by`` and the named columns of all rows, in order of ``by``: a key has few rows, for which frames of its own would cost more than the fold."""
+    return sorted((row for b in batches for row in zip(*(b[c].tolist() for c in (by, *names)))), key=lambda row: row[0])
+
+
 def status_of(finish: Column, ended: Column) -> Column:
     """ok unless the finish says otherwise; a stream torn down before its finish is aborted."""
     return F.when(finish.isin("error", "aborted"), finish).when(finish.isNotNull() | ended, "ok").otherwise("aborted")
@@ -71,20 +76,20 @@ class _Fold(StatefulProcessor):
         self.blocks = handle.getListState("blocks", "seq bigint, block string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, ended, count, usage, kind, failure = self.head.get() if self.head.exists() else (None, 0, 0, None, None, None)
+        first, ended, count, usage, kind, failure = self.head.get() or (None, 0, 0, None, None, None)
         done, fresh = False, []
-        for c in pd.concat(list(rows)).sort_values("seq").itertuples():
-            ended = max(ended, c.at)
-            if c.kind == "end":
+        for seq, at, what, block, used, finish, failed in _in_order(rows, "seq", "at", "kind", "block", "usage", "finish_kind", "failure"):
+            ended = max(ended, at)
+            if what == "end":
                 done = True
                 continue
-            first, count = int(c.at) if first is None else min(first, int(c.at)), count + 1
-            if c.kind == "block-end":
-                fresh.append((int(c.seq), c.block if isinstance(c.block, str) else None))
-            elif c.kind == "usage":
-                usage = c.usage if isinstance(c.usage, str) else None
-            elif c.kind == "finish":
-                kind, failure = c.finish_kind, c.failure if isinstance(c.failure, str) else None
+            first, count = int(at) if first is None else min(first, int(at)), count + 1
+            if what == "block-end":
+                fresh.append((int(seq), block if isinstance(block, str) else None))
+            elif what == "usage":
+                usage = used if isinstance(used, str) else None
+            elif what == "finish":
+                kind, failure = finish, failed if isinstance(failed, str) else None
         for timer in list(self.handle.listTimers()) if self.idle_ms is not None else ():
             self.handle.deleteTimer(timer)
         if done:
@@ -106,7 +111,7 @@ class _Fold(StatefulProcessor):
         self.head.clear()
         self.blocks.clear()
         row = [key[0], first, int(ended), count, [b for _, b in held], usage, kind, failure, kind if kind in ("error", "aborted") else "ok"]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"first_at": "Int64"})
+        return pd.DataFrame({c.split()[0]: pd.array([x], "Int64") if c == "first_at bigint" else [x] for c, x in zip(RECORD.split(", "), row)})
 
     def close(self) -> None:
         pass
@@ -200,15 +205,17 @@ def stream_attempts(calls: DataFrame, window_ms: int = RETRY_MS, late_ms: int =
         if state.exists:
             h, attempt, began, ok = state.get
             tracker.state = (h, attempt, began, True, ok)
-        for c in pd.concat(list(batches)).sort_values("pos").itertuples():
-            out.append((*key, c.id, tracker.begin(c.request_hash, c.started_at)))
-            tracker.settle(c.status == "ok")
+        for _, call, request_hash, started_at, status in _in_order(batches, "pos", "id", "request_hash", "started_at", "status"):
+            out.append((*key, call, tracker.begin(request_hash, started_at)))
+            tracker.settle(status == "ok")
         h, attempt, began, _, ok = tracker.state
         state.update((h, attempt, int(began), bool(ok)))
         # one beyond the window, as a retry at its very end still counts; never behind the watermark
         state.setTimeoutTimestamp(max(int(began) + window_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["session_id", "provider", "id", "attempt"])
 
+    # what else a call has would be handed over key by key
+    calls = calls.select("session_id", "provider", "id", "pos", "request_hash", "status", "started_at")
     timed = calls.withColumn("at", F.timestamp_millis("started_at")).withWatermark("at", f"{max(late_ms, window_ms)} milliseconds")
     return timed.groupBy("session_id", "provider").applyInPandasWithState(run, ATTEMPTS, "hash string, attempt int, began bigint, ok boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
