@@ -83,3 +83,19 @@ def test_frequent_shingles_are_counted_over_all_documents(spark):
     nine = {xxhash.xxh64_intdigest(f"q w r t y{k}".encode()) >> 2 for k in range(50)}
     eight = {xxhash.xxh64_intdigest(f"q w r t z{k}".encode()) >> 2 for k in range(50)}
     assert nine <= set(got.tolist()) and not eight & set(got.tolist())
+
+
+def test_bitmaps_pass_over_no_similar_pair_and_nearly_all_others():
+    """Every pair under a shingle had both texts shuffled, in every round again."""
+    r = np.random.default_rng(5)
+    passed = 0
+    for n in (1, 2, 9, 50, 500, 1500, 20_000):
+        for share in (0.0, 0.05, 0.3):
+            a = np.unique(r.integers(0, 1 << 62, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(share * len(a)) :], r.integers(0, 1 << 62, int(share * len(a)), dtype=np.uint64)]))
+            c = r.integers(0, 1 << 62, n, dtype=np.uint64)
+            both = len(np.intersect1d(a, b))
+            open_ = jaccard.may_be_similar([jaccard.bitmap(a)] * 2, [jaccard.bitmap(b), jaccard.bitmap(c)], np.array([len(a) + len(b), len(a) + len(c)]))
+            assert open_[0] or 5 * both < 4 * (len(a) + len(b) - both)
+            passed += not open_[1]
+    assert passed == 18  # all but those of 20,000 shingles, which are compared by their texts
