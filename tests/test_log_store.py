@@ -131,6 +131,26 @@ def test_migrated_records_are_whole(spark):
     assert tuple(got["b"])[4:9] == ("A", None, ["B"], "C", True) and tuple(got["b"].opts) == (None, 3, None)
 
 
+def test_migration_reads_its_lines_twice(spark):
+    """Once for the first appearances of pieces and once for the records, which are joined with those only; the list projection reads them once."""
+    from tracelume.sources import migrate
+
+    lines = spark.createDataFrame([("s", 0, "{}")], "session_id string, pos long, line string")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan()
+    moved = plan(migrate.migrate(lines)[0])
+    assert moved.collectLeaves().size() == 2 and moved.toString().count("Join ") == 1
+    assert plan(log.calls(lines)).collectLeaves().size() == 1
+
+
+def test_a_line_of_two_versions_is_of_the_later(spark):
+    """``v`` is looked at first; an envelope that is not sound is no record of the first version either."""
+    import json
+
+    both = {"schema": 1, "v": 2, "id": "a", "sum": {"messageCount": 4}, "refs": [{"k": "m", "h": "0" * 64, "z": 5}], "request": {"messages": []}}
+    lines = spark.createDataFrame([("s", 0, json.dumps(both)), ("s", 1, json.dumps(both | {"refs": None}))], "session_id string, pos long, line string")
+    assert [(r.pos, r.version, r.message_count, r.object_bytes) for r in log.calls(lines).collect()] == [(0, 2, 4, 5)]
+
+
 def test_points_for_a_width():
     from tracelume.operators import decimate
 

@@ -9,15 +9,20 @@ from tracelume.functions import expr
 from tracelume.operators import tree
 
 
+def parts(system: Column, tools: Column, messages: Column) -> Column:
+    """array<struct<k,body>>: system, tools, then each message; absent parts give none."""
+    piece = lambda k, b: F.struct(F.lit(k).alias("k"), b.alias("body"))
+    whole = F.concat(F.array(piece("s", system), piece("t", tools)), F.transform(messages, lambda m: piece("m", m)))
+    return F.filter(whole, lambda p: p["body"].isNotNull())
+
+
 def request_pieces(calls: DataFrame) -> DataFrame:
     """``call, at, pos, k, hash, body, z``: system, tools, then each message, in that order.
 
     ``calls(call, at, system, tools, messages array<string>)`` with bodies as exact text;
     absent parts give no piece. ``z`` is the body's bytes.
     """
-    piece = lambda k, b: F.struct(F.lit(k).alias("k"), b.alias("body"))
-    parts = F.concat(F.array(piece("s", F.col("system")), piece("t", F.col("tools"))), F.transform("messages", lambda m: piece("m", m)))
-    rows = calls.select("call", "at", F.posexplode(F.filter(parts, lambda p: p["body"].isNotNull())).alias("pos", "p"))
+    rows = calls.select("call", "at", F.posexplode(parts(F.col("system"), F.col("tools"), F.col("messages"))).alias("pos", "p"))
     return rows.select("call", "at", F.col("pos").cast("long").alias("pos"), "p.k", expr.content_hash(F.col("p.body")).alias("hash"), "p.body", F.octet_length("p.body").cast("long").alias("z"))
 
 
@@ -28,11 +33,15 @@ def put(pieces: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return fresh if stored is None else fresh.join(stored.select("hash"), "hash", "left_anti")
 
 
-def marginal_bytes(pieces: DataFrame) -> DataFrame:
-    """``call, bytes``: of pieces whose first appearance, by (at, call, pos), is in the call; zero for calls that add none."""
+def first_bytes(pieces: DataFrame) -> DataFrame:
+    """``call, bytes``: of pieces whose first appearance, by (at, call, pos), is in the call; no row for calls that add none."""
     firsts = pieces.groupBy("hash").agg(F.min(F.struct("at", "call", "pos")).alias("f"), F.first("z").alias("z"))
-    sums = firsts.groupBy(F.col("f.call").alias("call")).agg(F.sum("z").alias("bytes"))
-    return pieces.select("call").distinct().join(sums, "call", "left").select("call", F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
+    return firsts.groupBy(F.col("f.call").alias("call")).agg(F.sum("z").alias("bytes"))
+
+
+def marginal_bytes(pieces: DataFrame) -> DataFrame:
+    """:func:`first_bytes`, and zero for calls that add none."""
+    return pieces.select("call").distinct().join(first_bytes(pieces), "call", "left").select("call", F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
 
 
 def unavailable(h: Column) -> Column:

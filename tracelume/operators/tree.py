@@ -19,32 +19,38 @@ def choose_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
     ``lists(session_id, pos, entries array)``. A list that equals the one before reuses its
     node; one that extends it is a delta, unless its chain has ``interval`` deltas already.
     """
+    return _chosen(lists, interval).drop("_prev")
+
+
+def _chosen(lists: DataFrame, interval: int) -> DataFrame:
+    """The same with the list before as ``_prev``; all windows have one order, so a session is sorted once."""
     by = Window.partitionBy("session_id").orderBy("pos")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.lag("entries").over(by)
-    out = lists.withColumn("_prev", prev)
+    out = lists.withColumn("_prev", F.lag("entries").over(by))
     grows = F.coalesce(expr.is_prefix(F.col("_prev"), F.col("entries")), F.lit(False))
     out = out.withColumns({"_grows": grows, "_same": grows & (F.size("_prev") == F.size("entries"))})
-    out = out.withColumn("_run", F.sum((~F.col("_grows")).cast("long")).over(so_far))
-    within = Window.partitionBy("session_id", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_n", F.sum((~F.col("_same")).cast("long")).over(within) - 1)
+    out = out.withColumn("_sum", F.sum((~F.col("_same")).cast("long")).over(so_far))
+    # lists since the last one that did not grow: sums never fall, so that one has the largest of those
+    out = out.withColumn("_n", F.col("_sum") - F.max(F.when(~F.col("_grows"), F.col("_sum"))).over(so_far))
     depth = F.col("_n") % (interval + 1)
     kind = F.when(F.col("_same"), "reuse").when(depth == 0, "keyframe").otherwise("delta")
-    return out.withColumns({"kind": kind, "depth": depth}).drop("_prev", "_grows", "_same", "_run", "_n")
+    return out.withColumns({"kind": kind, "depth": depth}).drop("_grows", "_same", "_sum", "_n")
 
 
 def build_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
     """``lists`` with ``kind``, ``depth``, and the node that each resolves from: ``hash``, ``parent``, ``own``, and its JSON ``body``.
 
     Entries are ``k:hash`` with k of s, t, m. A node's bytes hold its parent's hash, and its own is theirs, so hashes follow from each
-    other from a keyframe on: a fold over the nodes of one chain, of which there are ``interval`` + 1 at most.
+    other from a keyframe on: a fold over the nodes of one chain, of which there are ``interval`` + 1 at most. It is made in the keyframe's
+    row, and the chain's other rows take their node from there, so lists that lie by session are neither shuffled nor joined.
     """
-    chosen = choose_nodes(lists, interval)
-    by = Window.partitionBy("session_id").orderBy("pos")
-    out = chosen.withColumns({"_prev": F.lag("entries").over(by), "_chain": F.sum((F.col("kind") == "keyframe").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    so_far = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = _chosen(lists, interval).withColumn("_chain", F.sum((F.col("kind") == "keyframe").cast("long")).over(so_far))
     rest = F.slice("entries", F.size("_prev") + 1, F.greatest(F.size("entries") - F.size("_prev"), F.lit(0)))
     out = out.withColumn("own", F.when(F.col("kind") == "delta", rest).otherwise(F.col("entries"))).drop("_prev")
-    steps = out.where("kind <> 'reuse'").groupBy("session_id", "_chain").agg(F.array_sort(F.collect_list(F.struct("depth", "own"))).alias("steps"))
+    chain = Window.partitionBy("session_id", "_chain").orderBy("pos")
+    steps = F.collect_list(F.when(F.col("kind") != "reuse", F.struct("own"))).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = out.withColumn("_steps", F.when(F.col("kind") == "keyframe", steps))
     typed = lambda own: F.transform(own, lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 64).alias("h")))
     start = F.array().cast("array<struct<hash:string,parent:string,body:string>>")
 
@@ -52,9 +58,12 @@ def build_nodes(lists: DataFrame, interval: int = INTERVAL) -> DataFrame:
         parent = F.element_at(done, -1)["hash"]
         return F.concat(done, F.transform(F.array(encode(typed(step["own"]), parent)), lambda body: F.struct(expr.content_hash(body).alias("hash"), parent.alias("parent"), body.alias("body"))))
 
-    chains = steps.select("session_id", "_chain", F.posexplode(F.aggregate("steps", start, lambda done, step: F.when(F.size(done) == 0, F.transform(F.array(encode(typed(step["own"]), F.lit(None).cast("string"))), lambda body: F.struct(expr.content_hash(body).alias("hash"), F.lit(None).cast("string").alias("parent"), body.alias("body")))).otherwise(add(done, step)))).alias("depth", "n"))
-    chains = chains.select("session_id", "_chain", F.col("depth").cast("long").alias("depth"), "n.hash", "n.parent", "n.body")
-    return out.join(chains, ["session_id", "_chain", "depth"]).drop("_chain")
+    root = lambda step: F.transform(F.array(encode(typed(step["own"]), F.lit(None).cast("string"))), lambda body: F.struct(expr.content_hash(body).alias("hash"), F.lit(None).cast("string").alias("parent"), body.alias("body")))
+    folded = F.aggregate("_steps", start, lambda done, step: F.when(F.size(done) == 0, root(step)).otherwise(add(done, step)))
+    out = out.withColumn("_made", F.when(F.col("_steps").isNotNull(), folded)).drop("_steps")
+    out = out.withColumn("_made", F.first("_made").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    node = F.get("_made", F.col("depth").cast("int"))
+    return out.withColumns({c: node[c] for c in ("hash", "parent", "body")}).drop("_made", "_chain")
 
 
 def stored_nodes(built: DataFrame) -> DataFrame:

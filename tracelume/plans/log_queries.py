@@ -30,10 +30,13 @@ def log_text(events: DataFrame) -> DataFrame:
     """``session_id, text`` of a log with a line per event, of the three versions in turn.
 
     Behind a sign-up stands a line of a foreign kind, behind an error one that is no JSON,
-    and every session ends with a torn line.
+    and every session ends with a torn line. Events are dealt by session before they become lines, which are
+    some ten times as long, and into parts that are many enough for those.
     """
-    c = calls_from_events(events)
     text = lambda x: x.cast("string")
+    spark = events.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    c = calls_from_events(events.withColumn("user_id", text(F.col("user_id"))).repartition(parts, "user_id"))
     timing = F.struct(F.col("started_at").alias("startedAt"), (F.col("started_at") + F.col("ttfb_ms")).alias("firstChunkAt"), (F.col("started_at") + F.col("duration_ms")).alias("endedAt"))
     usage = F.when(F.col("status") == "ok", F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), F.col("cache_read").alias("cacheReadTokens"), F.col("cache_write").alias("cacheWriteTokens")))
     head = [text(F.col("id")).alias("id"), text(F.col("session_id")).alias("sessionId"), "purpose", "provider", "model", F.col("request_hash").alias("requestHash"), F.lit(1).alias("attempt"), timing.alias("timing"), "status"]
@@ -47,7 +50,6 @@ def log_text(events: DataFrame) -> DataFrame:
     request = F.struct(F.lit("sys").alias("system"), F.array(message, picture).alias("messages"), F.array(F.struct(F.lit("run_code").alias("name")), F.struct(F.lit("read").alias("name"))).alias("tools"), *options)
     blocks = F.array(block("tool-call", id=F.lit("t1"), name=F.lit("run_code"), arguments=F.lit(PROGRAM)), block("tool-call", id=F.lit("t2"), name=F.col("provider"), arguments=F.lit("{}")))
     response = F.struct(blocks.alias("blocks"), usage.alias("usage"), F.struct(kind.alias("kind"), failed.alias("failure")).alias("finish"))
-    k = F.col("input_tokens")
     named = F.array(F.struct(F.lit("read").alias("name"), F.lit(2).alias("count")))
     sums = F.struct((F.col("id") % 9).alias("messageCount"), (F.col("id") % 1000).alias("requestChars"), F.lit(2).alias("toolCalls"), named.alias("calledTools"), F.array(F.lit("read")).alias("toolNames"), usage.alias("usage"), kind.alias("finishKind"), failed["message"].alias("finishMessage"))
     ref = lambda kind, z: F.struct(F.lit(kind).alias("k"), F.sha2(F.concat(F.lit(kind), text(F.col("id"))), 256).alias("h"), z.alias("z"))
@@ -56,9 +58,11 @@ def log_text(events: DataFrame) -> DataFrame:
     third = F.to_json(F.struct(F.lit(3).alias("v"), *head, F.sha2(text(F.col("id")), 256).alias("tree"), (F.col("id") % 50).alias("zn"), sums.alias("sum"), opts))
     line = F.when(F.col("id") % 3 == 0, first).when(F.col("id") % 3 == 1, second).otherwise(third)
     extra = F.when(F.col("purpose").isNotNull(), F.lit('\n{"schema":9,"id":"foreign"}')).when(F.col("status") == "error", F.lit("\n{broken")).otherwise("")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat(line, extra).alias("line"))))
+    # lines come out of a generator, which is compiled: an aggregate would take them in and interpret them
+    c = c.select("session_id", "pos", F.explode(F.array(F.concat(line, extra))).alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     whole = F.concat(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit('\n{"schema":1,"id":"torn"'))
-    return c.withColumn("k", k).groupBy(text(F.col("session_id")).alias("session_id")).agg(ordered.alias("x")).select("session_id", whole.alias("text"))
+    return c.groupBy("session_id").agg(ordered.alias("x")).select("session_id", whole.alias("text"))
 
 
 def log_lines(spark, d):
@@ -75,10 +79,8 @@ def log_migrated(spark, d):
     """The list projection of the same log once all lines are of the latest version, and the request options that they keep."""
     lines = log_lines(spark, d)
     moved, _, _ = migrate.migrate(lines)
-    # written once, as it is read twice
-    whole = tree.checkpointed(moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line")))
-    opts = log.envelopes(whole).select("session_id", "pos", "opts.temperature", F.col("opts.maxTokens").alias("max_tokens"), F.array_join("opts.stop", "|").alias("stop"))
-    c = log.calls(whole).join(opts, ["session_id", "pos"])
+    whole = moved.union(lines.where(F.get_json_object("line", "$.v") == "3").select("session_id", "pos", "line"))
+    c = log.projected(log.records(whole), "r.opts.temperature", F.col("r.opts.maxTokens").alias("max_tokens"), F.array_join("r.opts.stop", "|").alias("stop"))
     return c.drop("line_bytes", "reasoning_tokens", "object_bytes").withColumns({"called_tools": expr.x_label(F.col("called_tools")), "tool_names": F.array_join("tool_names", ",")})
 
 

@@ -20,6 +20,13 @@ SUM = f"struct<messageCount:bigint,requestChars:bigint,toolCalls:bigint,calledTo
 #: Later versions: a head, a precomputed summary, and references to pieces by hash.
 ENVELOPE = f"v int, sum {SUM}, refs array<struct<k:string,h:string,z:bigint>>, tree string, resp string, zn bigint, id string, sessionId string, purpose string, provider string, model string, reasoningEffort string, requestHash string, attempt int, timing {TIMING}, status string, opts {OPTIONS}"
 
+#: A line of any version.
+RECORD = f"{RECORD_V1}, v int, sum {SUM}, refs array<struct<k:string,h:string,z:bigint>>, tree string, resp string, zn bigint, opts {OPTIONS}"
+#: What is stored of a line of the first version, as strings: keys keep their order.
+EXACT = "request struct<system:string,tools:string,messages:array<string>>, response string"
+#: A line of any version as far as its pieces go.
+PIECES = f"schema int, v int, id string, sum {SUM}, refs array<struct<k:string,h:string,z:bigint>>, tree string, {EXACT}"
+
 #: The list projection that analytics run on.
 CALLS = (
     "session_id string, id string, pos bigint, purpose string, provider string, model string, request_hash string, attempt int, started_at bigint, duration_ms bigint, ttfb_ms bigint, status string, "

@@ -59,50 +59,56 @@ def _common(r: Column) -> dict[str, Column]:
     }
 
 
-def calls(lines: DataFrame) -> DataFrame:
-    """The list projection of lines; what is no valid line of a known version gives no row."""
-    rows = lines.select(
-        "session_id",
-        "pos",
-        F.octet_length("line").cast("long").alias("line_bytes"),
-        F.from_json("line", schema.RECORD_V1).alias("r"),
-        F.from_json("line", schema.ENVELOPE).alias("e"),
-    )
-    e, r = F.col("e"), F.col("r")
-    envelope = e["id"].isNotNull() & e["sum"].isNotNull() & F.when(e["v"] == 3, e["tree"].isNotNull()).when(e["v"] == 2, e["refs"].isNotNull()).otherwise(False)
-    s = e["sum"]
-    objects = F.when(e["v"] == 3, e["zn"]).otherwise(F.aggregate(e["refs"], F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["z"], F.lit(0))))
-    later = rows.where(envelope).select(
-        *[v.alias(k) for k, v in ({"session_id": F.col("session_id"), "pos": F.col("pos"), "version": e["v"]} | _common(e) | _usage(s["usage"])).items()],
-        s["finishKind"].alias("finish_kind"),
-        s["finishMessage"].alias("finish_message"),
-        s["messageCount"].alias("message_count"),
-        s["requestChars"].alias("request_chars"),
-        s["toolCalls"].alias("tool_calls"),
-        s["calledTools"].alias("called_tools"),
-        s["toolNames"].alias("tool_names"),
-        "line_bytes",
-        objects.alias("object_bytes"),
-    )
-    q, p = r["request"], r["response"]
+def is_first(r: Column) -> Column:
+    """Whether a sound record is of the first version: the later ones are told by ``v``."""
+    return ~F.coalesce(r["v"].isin(2, 3), F.lit(False))
+
+
+def records(lines: DataFrame, fields: str = schema.RECORD) -> DataFrame:
+    """``session_id, pos, line, r`` of the sound lines of all versions, each parsed once; of no two versions, as ``v`` goes first.
+
+    ``fields`` may leave out or read otherwise what does not tell whether a line is sound.
+
+    The parsed line comes out of a generator, as a filter on it would be pushed below a projection and parse again.
+    """
+    rows = lines.select("session_id", "pos", "line", F.explode(F.array(F.from_json("line", fields))).alias("r"))
+    r = F.col("r")
+    later = r["id"].isNotNull() & r["sum"].isNotNull() & F.when(r["v"] == 3, r["tree"].isNotNull()).otherwise(r["refs"].isNotNull())
+    return rows.where(F.when(is_first(r), r["schema"] == 1).otherwise(later))
+
+
+def projected(rows: DataFrame, *also: Column | str) -> DataFrame:
+    """The list projection of :func:`records`, and other columns of theirs."""
+    r = F.col("r")
+    first, q, p, s = is_first(r), r["request"], r["response"], r["sum"]
     kind = lambda b: F.try_variant_get(b, "$.type", "string")
     arguments = lambda b: F.coalesce(F.try_variant_get(b, "$.arguments", "string"), F.to_json(F.try_variant_get(b, "$.arguments", "variant")))
     used = F.filter(p["blocks"], lambda b: kind(b) == "tool-call")
-    names = F.flatten(F.transform(used, lambda b: expr.dispatch_names(F.try_variant_get(b, "$.name", "string"), arguments(b))))
+    called = F.flatten(F.transform(used, lambda b: expr.dispatch_names(F.try_variant_get(b, "$.name", "string"), arguments(b))))
+    # a column of its own, as it is read several times
+    rows = rows.withColumn("_names", F.when(first, called))
+    names = F.col("_names")
     count = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), F.size(F.filter(names, lambda x: x == n)).cast("long").alias("count")))
-    first = rows.where(r["schema"] == 1).select(
-        *[v.alias(k) for k, v in ({"session_id": F.col("session_id"), "pos": F.col("pos"), "version": F.lit(1)} | _common(r) | _usage(p["usage"])).items()],
-        p["finish"]["kind"].alias("finish_kind"),
-        p["finish"]["failure"]["message"].alias("finish_message"),
-        F.size(q["messages"]).cast("long").alias("message_count"),
-        expr.request_chars(q["system"], q["messages"]).alias("request_chars"),
-        F.size(names).cast("long").alias("tool_calls"),
-        count.alias("called_tools"),
-        F.transform(q["tools"], lambda t: t["name"]).alias("tool_names"),
-        "line_bytes",
-        F.lit(0).cast("long").alias("object_bytes"),
-    )
-    return later.unionByName(first).select(*_COLUMNS)
+    objects = F.when(r["v"] == 3, r["zn"]).otherwise(F.aggregate(r["refs"], F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["z"], F.lit(0))))
+    either = lambda a, b: F.when(first, a).otherwise(b)
+    columns = {"session_id": F.col("session_id"), "pos": F.col("pos"), "version": either(F.lit(1), r["v"])} | _common(r) | _usage(either(p["usage"], s["usage"]))
+    columns |= {
+        "finish_kind": either(p["finish"]["kind"], s["finishKind"]),
+        "finish_message": either(p["finish"]["failure"]["message"], s["finishMessage"]),
+        "message_count": either(F.size(q["messages"]).cast("long"), s["messageCount"]),
+        "request_chars": either(expr.request_chars(q["system"], q["messages"]), s["requestChars"]),
+        "tool_calls": either(F.size(names).cast("long"), s["toolCalls"]),
+        "called_tools": either(count, s["calledTools"]),
+        "tool_names": either(F.transform(q["tools"], lambda t: t["name"]), s["toolNames"]),
+        "line_bytes": F.octet_length("line").cast("long"),
+        "object_bytes": either(F.lit(0).cast("long"), objects),
+    }
+    return rows.select(*[columns[c].alias(c) for c in _COLUMNS], *also)
+
+
+def calls(lines: DataFrame) -> DataFrame:
+    """The list projection of lines; what is no valid line of a known version gives no row."""
+    return projected(records(lines))
 
 
 def legacy(lines: DataFrame) -> DataFrame:

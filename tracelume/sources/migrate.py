@@ -31,8 +31,7 @@ def batch(sessions: DataFrame, budget: int = BUDGET) -> DataFrame:
     return out.where((F.col("_spent") < budget) | first).drop("_hour", "_before", "_spent")
 
 
-#: What is stored of a line, as strings: keys keep their order.
-_EXACT = "request struct<system:string,tools:string,messages:array<string>>, response string"
+_PIECES = "array<struct<k:string,hash:string,body:string,z:bigint>>"
 
 
 def _quoted(text: Column) -> Column:
@@ -41,8 +40,8 @@ def _quoted(text: Column) -> Column:
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
-#: Escapes that the parser makes of a character beyond the first 65,536; an even number of backslashes stands before.
-_PAIR = r"(?<=(?:^|[^\\])(?:\\\\){0,64})\\u(D[89AB][0-9A-F]{2})\\u(D[C-F][0-9A-F]{2})"
+#: Escapes that the parser makes of a character beyond the first 65,536; an even number of backslashes stands before, which is looked at only where an escape follows.
+_PAIR = r"(?=\\uD)(?<=(?:^|[^\\])(?:\\\\){0,64})\\u(D[89AB][0-9A-F]{2})\\u(D[C-F][0-9A-F]{2})"
 
 
 def _plain(text: Column) -> Column:
@@ -66,40 +65,41 @@ def migrate(lines: DataFrame, interval: int = tree.INTERVAL) -> tuple[DataFrame,
     and only its references become a tree. Pieces are the line's own text, so they hash as they would have when
     they were written, and options of a request stay in its line. What is no valid line stays out, as it does when read.
     """
-    rows = lines.select("session_id", "pos", F.from_json("line", schema.RECORD_V1).alias("r"), F.from_json("line", schema.ENVELOPE).alias("e"), F.from_json("line", _EXACT).alias("x"))
-    key = F.struct("session_id", "pos")
-    first = rows.where(F.col("r.schema") == 1)
-    parts = first.select(
-        key.alias("call"),
-        F.col("r.timing.startedAt").alias("at"),
-        F.when(F.col("x.request.system").isNotNull(), _quoted(F.col("x.request.system"))).alias("system"),
-        _plain(F.col("x.request.tools")).alias("tools"),
-        F.transform(F.coalesce("x.request.messages", F.array().cast("array<string>")), _plain).alias("messages"),
-    )
-    taken = objects.request_pieces(parts)
-    answers = first.where("r.response is not null").select(key.alias("call"), _plain(F.col("x.response")).alias("body"))
-    answers = answers.select("call", F.lit("r").alias("k"), expr.content_hash(F.col("body")).alias("hash"), "body", F.octet_length("body").cast("long").alias("z"))
-    second = log.envelopes(lines).where("version = 2").select(key.alias("call"), F.col("resp"), F.posexplode(F.filter("refs", lambda x: x["k"] != "r")).alias("pos", "x"))
-    named = second.select("call", F.col("pos").cast("long").alias("pos"), F.col("x.k").alias("k"), F.col("x.h").alias("hash"), F.col("x.z").alias("z"))
-    pieces = taken.select("call", "pos", "k", "hash", "z").union(named)
-    firsts = objects.marginal_bytes(pieces.withColumn("at", F.col("call.pos"))).withColumnRenamed("bytes", "zn")
-    entries = pieces.groupBy("call").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "hash"))), lambda x: F.concat(x["k"], F.lit(":"), x["hash"])).alias("entries"))
-    known = log.calls(lines).where("version < 3").withColumn("call", key)
-    lists = known.select("session_id", "pos", "call").join(entries, "call", "left").select("session_id", "pos", F.coalesce("entries", F.array().cast("array<string>")).alias("entries"))
-    built = tree.build_nodes(lists, interval)
+    r, x = F.col("r"), F.col("x")
+    first = log.is_first(r)
+    older = lambda rows: rows.where(first | (r["v"] == 2))
+    hashed = lambda k, body: F.struct(k.alias("k"), expr.content_hash(body).alias("hash"), body.alias("body"), F.octet_length(body).cast("long").alias("z"))
+
+    def taken(request: Column) -> Column:
+        system = F.when(request["system"].isNotNull(), _quoted(request["system"]))
+        messages = F.transform(F.coalesce(request["messages"], F.array().cast("array<string>")), _plain)
+        return F.when(first, F.transform(objects.parts(system, _plain(request["tools"]), messages), lambda p: hashed(p["k"], p["body"])))
+
+    # what a line refers to, and of the first version its text, in the line's own row
+    named = F.transform(F.filter(r["refs"], lambda p: p["k"] != "r"), lambda p: F.struct(p["k"].alias("k"), p["h"].alias("hash"), p["z"].alias("z")))
+    held = F.when(first, F.transform("taken", lambda p: F.struct(p["k"].alias("k"), p["hash"].alias("hash"), p["z"].alias("z")))).otherwise(named)
+    pieces = older(log.records(lines, schema.PIECES)).withColumn("taken", taken(r["request"]))
+    pieces = pieces.select(F.struct("session_id", "pos").alias("call"), F.posexplode(held).alias("pos", "p"))
+    firsts = objects.first_bytes(pieces.select("call", F.col("call.pos").alias("at"), "pos", "p.hash", "p.z")).select("call.*", F.col("bytes").alias("zn"))
+    rows = older(log.records(lines)).withColumn("x", F.when(first, F.from_json("line", schema.EXACT)))
+    answer = F.transform(F.array(_plain(x["response"])), lambda body: hashed(F.lit("r"), body))
+    rows = rows.withColumns({"taken": taken(x["request"]), "answer": F.when(first & r["response"].isNotNull(), answer)})
+    entries = F.transform(held, lambda p: F.concat(p["k"], F.lit(":"), p["hash"]))
+    resp = F.when(first, F.get("answer", F.lit(0))["hash"]).otherwise(F.get(F.filter(r["refs"], lambda p: p["k"] == "r"), F.lit(0))["h"])
+    options = F.when(first, _options(r["request"])).otherwise(_options(r["opts"]))
+    known = log.projected(rows, F.struct(r["reasoningEffort"], r["timing"], options.alias("opts")).alias("h"), entries.alias("entries"), resp.alias("resp"))
+    built = tree.build_nodes(known, interval)
     nodes = built.where("kind <> 'reuse'").select("hash", "parent", F.col("own").alias("entries"), "body")
     # the head and the summary as they were, or as they are computed from a record
     usage = F.when(F.col("has_usage"), F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), F.col("cache_read").alias("cacheReadTokens"), F.col("cache_write").alias("cacheWriteTokens"), F.col("reasoning_tokens").alias("reasoningTokens")))
     names = {"message_count": "messageCount", "request_chars": "requestChars", "tool_calls": "toolCalls", "called_tools": "calledTools", "tool_names": "toolNames"}
     sums = F.struct(*[F.col(c).alias(n) for c, n in names.items()], usage.alias("usage"), F.col("finish_kind").alias("finishKind"), F.col("finish_message").alias("finishMessage"))
-    head = F.when(F.col("r.schema") == 1, F.struct("r.reasoningEffort", "r.timing", _options(F.col("r.request")).alias("opts"))).otherwise(F.struct("e.reasoningEffort", "e.timing", _options(F.col("e.opts")).alias("opts")))
-    heads = rows.where("r.schema = 1 or e.v = 2").select("session_id", "pos", head.alias("h"))
-    resp = answers.select("call", F.col("hash").alias("resp")).union(log.envelopes(lines).where("version = 2 and resp is not null").select(key.alias("call"), "resp"))
-    whole = known.join(heads, ["session_id", "pos"]).join(built.select("session_id", "pos", "hash"), ["session_id", "pos"]).join(resp, "call", "left").join(firsts, "call", "left")
+    whole = built.join(firsts, ["session_id", "pos"], "left")
     fields = [F.lit(3).alias("v"), "id", F.col("session_id").cast("string").alias("sessionId"), "purpose", "provider", "model", F.col("h.reasoningEffort").alias("reasoningEffort"), F.col("request_hash").alias("requestHash"), "attempt"]
     fields += [F.col("h.timing").alias("timing"), "status", F.col("h.opts").alias("opts"), F.col("hash").alias("tree"), "resp", F.coalesce("zn", F.lit(0)).alias("zn"), sums.alias("sum")]
     out = whole.select("session_id", "pos", F.to_json(F.struct(*fields)).alias("line"))
     trees = nodes.select("hash", F.lit("n").alias("k"), "body", F.octet_length("body").cast("long").alias("z"))
-    stored = objects.put(taken.select("hash", "k", "body", "z").union(answers.select("hash", "k", "body", "z")).union(trees))
+    texts = rows.select(F.explode(F.concat("taken", F.coalesce("answer", F.array().cast(_PIECES)))).alias("p")).select("p.hash", "p.k", "p.body", "p.z")
+    stored = objects.put(texts.union(trees))
     nodes = nodes.drop("body")
     return out, stored, nodes
